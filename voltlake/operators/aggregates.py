@@ -20,13 +20,11 @@ def with_subtotals(df: DataFrame, levels: list[list[str]], dims: list[str], aggs
 
     Names are filled after aggregating with the grouping flag, so a null in the data stays apart from a subtotal.
     """
-    return df.groupingSets(levels, *dims).agg(*aggs, *[F.grouping(d).alias(f"_g_{d}") for d in dims]).select(
-        *[F.when(F.col(f"_g_{d}") == 1, "ALL").otherwise(F.col(d)).alias(d) for d in dims],
-        *[c for c in _names(df, levels, dims, aggs)])
-
-
-def _names(df, levels, dims, aggs):
-    return [c for c in df.groupingSets(levels, *dims).agg(*aggs).columns if c not in dims]
+    flags = {d: f"_sub_{d}" for d in dims}
+    g = df.groupingSets(levels, *dims).agg(*aggs, *[F.grouping(d).alias(flag) for d, flag in flags.items()])
+    return g.select(
+        *[F.when(F.col(flag) == 1, "ALL").otherwise(F.col(d)).alias(d) for d, flag in flags.items()],
+        *[c for c in g.columns if c not in dims and c not in flags.values()])
 
 
 def high_risk(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:

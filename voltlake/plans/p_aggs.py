@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import ranked, tile
-from voltlake.functions.scalars import day_text, money, money_sum, r4, r6, share, ts_text
+from voltlake.functions.scalars import day_text, money, money_sum, r4, r6, ts_text
 from voltlake.operators import aggregates as A
 from voltlake.operators import governance as G
 from voltlake.operators.joins import enrich_geography
@@ -141,5 +140,3 @@ def agg_profile(t):
 def agg_catalog_coverage(t):
     return G.coverage(t.documents, t.labels, "doc_id")
 
-
-__all__ = ["ranked", "tile", "share"]

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import day_text, money, money_sum, r6, ts_text
-from voltlake.operators import aggregates as A
+from voltlake.functions.scalars import day_text, money, money_sum, r6
 from voltlake.operators import joins as J
 from voltlake.plans.p_cleanse import SILVER_SQL, silver
 from voltlake.plans.registry import query
-from voltlake.tables import day
 
 
 @query("etl_silver_to_gold", f"""with s as ({SILVER_SQL}),
@@ -19,7 +17,7 @@ from voltlake.tables import day
           from s left join fx_churn ch on s.c_custkey = ch.custkey group by 1)
     select v.seg as segment, u.month, count(*) as customers, cast(sum(u.usage) as double) as usage,
       round(cast(sum(u.amount) as double), 2) as amount, round(avg(v.label), 6) as churn_rate,
-      round(avg(cast(v.ltv as double)), 4) as avg_lifetime_value
+      cast(sum(v.ltv) as double) as lifetime_value
     from v join u on v.c_custkey = u.custkey group by 1, 2""")
 def etl_silver_to_gold(t):
     monthly = t.fx_usage.groupBy("custkey", F.date_format("ts", "yyyy-MM").alias("month")).agg(
@@ -29,7 +27,7 @@ def etl_silver_to_gold(t):
     return gold.groupBy("segment", "month").agg(
         F.count("*").alias("customers"), F.sum("usage").cast("double").alias("usage"),
         F.round(F.sum("amount").cast("double"), 2).alias("amount"), r6(F.avg("label")).alias("churn_rate"),
-        F.round(F.avg(F.col("spend").cast("double")), 4).alias("avg_lifetime_value"))
+        F.sum("spend").cast("double").alias("lifetime_value"))
 
 
 @query("join_contracts", """select c.c_custkey, c.c_mktsegment, count(o.o_orderkey) as n_contracts,
@@ -151,5 +149,3 @@ def join_blocked_semi(t):
     ok = t.documents.groupBy("source").agg(share(F.col("n_chars").between(20, 20000)).alias("s")).where("s >= 0.95")
     return J.gate(t.documents.select("doc_id", "source"), ok, "source")
 
-
-__all__ = ["A", "day", "ts_text"]

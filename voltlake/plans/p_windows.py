@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import day_text, r6, ts_text
+from voltlake.functions.scalars import day_text, ts_text
 from voltlake.operators import windows as W
 from voltlake.plans.registry import query
-from voltlake.tables import day
 
 SCD2_SQL = """select custkey, status, strftime(ts, '%Y-%m-%d') as valid_from, seq,
       strftime(lead(ts) over (partition by custkey order by ts, seq), '%Y-%m-%d') as valid_to,
@@ -34,11 +33,11 @@ def win_scd2_merge(t):
     return shown(W.scd2_merge(base, h.where(F.col("ts") >= cut), "custkey", ["status"], "ts", "seq"))
 
 
-@query("win_sliding_30d", """select user_id, epoch_us(ts) as "at", count(*) over w as n, cast(sum(cast(value as decimal(18,2))) over w as double) as total
-    from events window w as (partition by user_id order by ts range between interval 7 day preceding and current row)""")
+@query("win_sliding_30d", """select distinct o_custkey, epoch_us(o_orderdate) as "at", count(*) over w as n,
+      cast(sum(cast(o_totalprice as decimal(18,2))) over w as double) as total
+    from orders window w as (partition by o_custkey order by o_orderdate range between interval 30 day preceding and current row)""")
 def win_sliding_30d(t):
-    # seven days here: the sample holds thirty days in all
-    return W.sliding(t.events, ["user_id"], "ts", "value", 7 * 86400).withColumn("total", F.col("total").cast("double"))
+    return W.sliding(t.orders, ["o_custkey"], "o_orderdate", "o_totalprice", 30 * 86400).withColumn("total", F.col("total").cast("double"))
 
 
 @query("win_lag_features", """select o_orderkey, o_custkey, cast(row_number() over w as bigint) as order_no,
@@ -79,21 +78,25 @@ def topk_errors(t):
 
 
 def lineage_edges(t):
-    """Lineage events of the lake: each order is an event from its customer's bronze set to its nation's gold set."""
+    """Lineage events, one per order: bronze to silver, silver to gold, and now and then gold back to bronze."""
     c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
-    src = F.format_string("s3://lake/bronze/%s/", F.lower("c_mktsegment"))
-    tgt = F.when(F.col("o_orderkey") % 2 == 0, F.format_string("s3://lake/silver/nation_%d/", "c_nationkey")).otherwise(
-        F.format_string("s3://lake/gold/status_%s/", F.lower("o_orderstatus")))
+    bronze = F.format_string("s3://lake/bronze/%s/", F.lower("c_mktsegment"))
+    silver = F.format_string("s3://lake/silver/nation_%d/", "c_nationkey")
+    gold = F.format_string("s3://lake/gold/status_%s/", F.lower("o_orderstatus"))
+    even, back = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 1000 == 999
     return t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("event_no"), src.alias("source_uri"), tgt.alias("target_uri"),
-        F.lower(F.substring("o_orderpriority", 1, 1)).alias("transformation"), F.col("o_orderdate").alias("ts"))
+        F.col("o_orderkey").alias("event_no"), F.when(back, gold).when(even, bronze).otherwise(silver).alias("source_uri"),
+        F.when(back, bronze).when(even, silver).otherwise(gold).alias("target_uri"),
+        F.substring("o_orderpriority", 1, 1).alias("transformation"), F.col("o_orderdate").alias("ts"))
 
 
-EDGES_SQL = """select o_orderkey as event_no, concat('s3://lake/bronze/', lower(c_mktsegment), '/') as source_uri,
-      case when o_orderkey % 2 = 0 then concat('s3://lake/silver/nation_', c_nationkey, '/')
-           else concat('s3://lake/gold/status_', lower(o_orderstatus), '/') end as target_uri,
-      lower(left(o_orderpriority, 1)) as transformation, o_orderdate as ts
-    from orders join customer on o_custkey = c_custkey"""
+EDGES_SQL = """select o_orderkey as event_no,
+      case when o_orderkey % 1000 = 999 then g when o_orderkey % 2 = 0 then b else s end as source_uri,
+      case when o_orderkey % 1000 = 999 then b when o_orderkey % 2 = 0 then s else g end as target_uri,
+      left(o_orderpriority, 1) as transformation, o_orderdate as ts
+    from (select *, concat('s3://lake/bronze/', lower(c_mktsegment), '/') as b, concat('s3://lake/silver/nation_', c_nationkey, '/') as s,
+            concat('s3://lake/gold/status_', lower(o_orderstatus), '/') as g
+          from orders join customer on o_custkey = c_custkey) x"""
 
 NODES_SQL = f"""with e as ({EDGES_SQL}),
     n as (select source_uri as id, event_no, 0 as side from e union all select target_uri, event_no, 1 from e)
@@ -121,5 +124,3 @@ def set_intersect_online(t):
     return t.fx_online.where("n_events > 2").select("user_id").intersect(
         t.fx_offline.where(F.col("ds") == F.lit("2024-01-15").cast("date")).select("user_id"))
 
-
-__all__ = ["day", "r6"]
