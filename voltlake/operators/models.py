@@ -107,11 +107,11 @@ def train(df: DataFrame, features: list[str], key: str, label: str = "label", ki
     return model, m
 
 
-def predict(model, df: DataFrame) -> DataFrame:
+def predict(model, df: DataFrame, name: str = "churn_score") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(df)
-    return out.select(*df.columns, vector_to_array("probability")[1].alias("churn_score"))
+    return out.select(*df.columns, vector_to_array("probability")[1].alias(name))
 
 
 def tune(df: DataFrame, features: list[str], label: str = "label", trials: int = TRIALS, folds: int = FOLDS, seed: int = 7) -> DataFrame:
