@@ -23,9 +23,8 @@ def by_user(log: DataFrame, user: str, key: str) -> DataFrame:
 
 
 def merge_context(updates: DataFrame, key: str, name: str, value: str, seq: str) -> DataFrame:
-    """Latest value per context entry; entries are gathered per conversation only after that."""
-    latest = updates.groupBy(key, name).agg(F.max_by(value, seq).alias("v"))
-    return latest.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(name), F.col("v"))))).alias("context"))
+    """Context of each conversation as one row per entry; the last update of an entry wins."""
+    return updates.groupBy(key, name).agg(F.max_by(value, seq).alias(value))
 
 
 def append(log: DataFrame, new: DataFrame, known: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:

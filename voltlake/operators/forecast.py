@@ -80,7 +80,7 @@ def fallback(forecast: DataFrame, series: DataFrame, keys: list[str], as_of: str
     mean = recent(series, keys, as_of).groupBy(*keys).agg(F.avg("y").alias("mean"))
     on = [*keys, "wd"]
     j = forecast.withColumn("wd", F.weekday("ds")).join(wd, on, "left")
-    j = j.join(mean, keys, "left") if keys else j.crossJoin(F.broadcast(mean))  # one row
+    j = j.withColumn("_k", F.lit(1)).join(mean.withColumn("_k", F.lit(1)), [*keys, "_k"], "left")
     origin = F.when(F.col("yhat").isNotNull(), "model").when(F.col("last_wd").isNotNull(), "weekday").otherwise("mean")
     return j.select(*keys, "ds", F.coalesce("yhat", "last_wd", "mean").alias("yhat"), origin.alias("origin"))
 

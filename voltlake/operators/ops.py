@@ -111,7 +111,7 @@ def service_metrics(log: DataFrame, ts: str, minutes: int = 1) -> DataFrame:
     per_user = log.groupBy(start.alias("start"), "user_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "FAILED").alias("f"), F.sum(F.col("latency_ms").cast("decimal(18,2)")).alias("busy"))
     return per_user.groupBy("start").agg(
         F.count("*").alias("active_conversations"), r6(F.sum("n") / F.lit(float(minutes))).alias("tasks_per_minute"),
-        r6(F.sum("busy").cast("double") / F.lit(60_000.0 * minutes)).alias("utilisation"), r6(F.sum("f") / F.sum("n")).alias("error_rate"))
+        F.round(F.sum("busy").cast("double") / F.lit(60_000.0 * minutes), 8).alias("utilisation"), r6(F.sum("f") / F.sum("n")).alias("error_rate"))
 
 
 def latency_percentiles(log: DataFrame, ts: str, value: str, seconds: int = 300) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlake.functions.scalars import ds_text
-from voltlake.tables import day
 
 LINEAGE = ("source_uri string, target_uri string, transformation string, agent_name string, run_id string, "
            "records_out long, timestamp string, metadata map<string,string>, ds string")
@@ -132,8 +131,27 @@ def read_text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     return spark.read.text(path, wholetext=whole)
 
 
-def iso(ts: str) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+def iso(ts: Column) -> Column:
+    """ISO text of an instant; a fraction is written only when there is one."""
+    whole = F.unix_micros(ts.cast("timestamp")) % 1_000_000 == 0
+    return F.when(whole, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def serialize(c: Column, kind: T.DataType) -> Column:
+    """Instants to ISO text through structs, maps and arrays of structs; an instant that stands in an array itself stays."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return iso(c)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[serialize(c[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: serialize(v, kind.valueType))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType)):
+        return F.transform(c, lambda v: serialize(v, kind.elementType))
+    return c
+
+
+def serialize_rows(df: DataFrame) -> DataFrame:
+    return df.select(*[serialize(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def run_with_lineage(df: DataFrame, target: str, source: str, transformation: str, run_id: str, at: str = "2024-01-31T00:00:00") -> DataFrame:
@@ -147,5 +165,3 @@ def run_with_lineage(df: DataFrame, target: str, source: str, transformation: st
 def append_lineage(row: DataFrame, path: str) -> None:
     row.write.mode("append").partitionBy("ds").parquet(path)
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("day",)]
