@@ -78,10 +78,10 @@ def stratified_effect(df: DataFrame, stratum: str, treated: str, outcome: str) -
 
 def propensity_effect(df: DataFrame, covariates: list[str], treated: str, outcome: str) -> DataFrame:
     """Effect by inverse weighting with a fitted logistic propensity, kept within 0.01 and 0.99."""
-    from voltlake.operators.models import pipeline, predict
+    from voltlake.operators.models import pipeline, predict, stored
 
     data = df.select(treated, outcome, *[F.col(c).cast("double").alias(c) for c in covariates])
-    scored = predict(pipeline(covariates, treated).fit(data), data, "propensity")
+    scored = predict(stored(pipeline(covariates, treated).fit(data), df.sparkSession), data, "propensity")
     e = F.least(F.greatest(F.col("propensity"), F.lit(0.01)), F.lit(0.99))
     wt, wc = F.col(treated) / e, (1 - F.col(treated)) / (1 - e)
     y = F.col(outcome)

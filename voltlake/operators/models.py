@@ -99,7 +99,7 @@ def train(df: DataFrame, features: list[str], key: str, label: str = "label", ki
     from voltlake.operators import metrics as M
 
     numbered = df.select(key, label, *[F.col(f).cast("double").alias(f) for f in features]).withColumn("split", split(key))
-    model = pipeline(features, label, kind).fit(numbered.where("split = 'train'"))
+    model = stored(pipeline(features, label, kind).fit(numbered.where("split = 'train'")), df.sparkSession)
     scored = predict(model, numbered.where("split <> 'train'"))
     one = lambda d: d.withColumn("_k", F.lit(1))
     m = one(M.auc(scored, "churn_score", label)).join(one(M.confusion(scored, "churn_score", label, threshold)), "_k").join(
@@ -107,6 +107,17 @@ def train(df: DataFrame, features: list[str], key: str, label: str = "label", ki
     return model, m
 
 
+def stored(model, spark, uri: str | None = None):
+    """The model as read back from its folder: what later jobs score with, free of the state of its training run."""
+    from pyspark.ml import PipelineModel
+
+    from voltlake.session import scratch
+
+    uri = uri or scratch(spark, "model")
+    model.write().overwrite().save(uri)
+    return PipelineModel.load(uri)
+
+
 def predict(model, df: DataFrame, name: str = "churn_score") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
