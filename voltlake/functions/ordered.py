@@ -1,18 +1,37 @@
 """Ordered computations (running totals, neighbours, carried values, ranks) that survive a hot key.
 
-A plain window over one key sorts that key in one task. Here the order is cut into slots: each (key, slot) is
+A plain window over one key sorts that key in one task, which is the cheapest plan while every key is small. So the
+largest key is measured first. If it is too large for a task, the order is cut into slots: each (key, slot) is
 windowed alone, a small table with one row per (key, slot) is windowed per key, and its result is added to the rows
 of the slot. A slot is any expression that never falls when the leading order column rises: a day of a timestamp,
-or a range of values cut at the data's own quantiles.
+or a range of values cut at the data's own quantiles. Both plans give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT = "_slot"
+HOT_ROWS = "spark.voltlake.hotRows"  # rows of one key that one task may sort
+DEFAULT_HOT_ROWS = 2_000_000
+Slot = Column | Callable[[], Column]
+
+
+def is_hot(df: DataFrame, keys: list[str]) -> bool:
+    """Whether some key has more rows than one task should sort. Counts are reduced before the shuffle; one row is fetched."""
+    limit = int(df.sparkSession.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
+    slim = df.select(*keys) if keys else df.select(F.lit(1))
+    if slim.limit(limit + 1).count() <= limit:  # a small frame has no large key
+        return False
+    return not keys or not slim.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).isEmpty()
+
+
+def _slot(slot: Slot) -> Column:
+    return slot() if callable(slot) and not isinstance(slot, Column) else slot
 
 
 def slot_count(df: DataFrame) -> int:
@@ -41,10 +60,14 @@ def time_slot(micros: Column, seconds: int = 86400) -> Column:
     return F.floor(micros / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def running_total(df: DataFrame, keys: list[str], slot: Column, order: list, totals: dict[str, Column],
-                  whole: bool = False) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], slot: Slot, order: list, totals: dict[str, Column],
+                  whole: bool = False, hot: bool | None = None) -> DataFrame:
     """Add inclusive running sums in ``order`` per key; with ``whole`` also the key's total as ``<name>_all``."""
-    base = df.withColumn(SLOT, slot)
+    if not (is_hot(df, keys) if hot is None else hot):
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in totals.items()],
+                         *([F.sum(c).over(W.partitionBy(*keys)).alias(f"{n}_all") for n, c in totals.items()] if whole else []))
+    base = df.withColumn(SLOT, _slot(slot))
     per = [*keys, SLOT]
     w = W.partitionBy(*per).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = base.select("*", *[F.sum(c).over(w).alias(f"_run_{n}") for n, c in totals.items()])
@@ -64,9 +87,13 @@ def running_total(df: DataFrame, keys: list[str], slot: Column, order: list, tot
     )
 
 
-def carry_last(df: DataFrame, keys: list[str], slot: Column, order: list[str], columns: list[str]) -> DataFrame:
+def carry_last(df: DataFrame, keys: list[str], slot: Slot, order: list[str], columns: list[str], hot: bool | None = None) -> DataFrame:
     """Replace each of ``columns`` by its last non-null value at or before the row."""
-    base = df.withColumn(SLOT, slot)
+    others = [c for c in df.columns if c not in columns]
+    if not (is_hot(df, keys) if hot is None else hot):
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select(*others, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
+    base = df.withColumn(SLOT, _slot(slot))
     per = [*keys, SLOT]
     w = W.partitionBy(*per).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = base.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_loc_{c}") for c in columns])
@@ -75,19 +102,21 @@ def carry_last(df: DataFrame, keys: list[str], slot: Column, order: list[str], c
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_end_{c}") for c in columns])
     before = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
     prior = ends.select(*per, *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_pri_{c}") for c in columns])
-    rest = [c for c in df.columns if c not in columns]
     return local.join(prior, per, "left").select(
-        *rest, *[F.coalesce(F.col(f"_loc_{c}"), F.col(f"_pri_{c}")).alias(c) for c in columns])
+        *others, *[F.coalesce(F.col(f"_loc_{c}"), F.col(f"_pri_{c}")).alias(c) for c in columns])
 
 
-def neighbour(df: DataFrame, keys: list[str], slot: Column, order: list[str], names: dict[str, str],
-              following: bool = False) -> DataFrame:
+def neighbour(df: DataFrame, keys: list[str], slot: Slot, order: list[str], names: dict[str, str],
+              following: bool = False, hot: bool | None = None) -> DataFrame:
     """Add ``new = column of the previous row`` (or of the following one) for each ``new: column`` of ``names``."""
-    base = df.withColumn(SLOT, slot)
+    step = F.lead if following else F.lag
+    if not (is_hot(df, keys) if hot is None else hot):
+        w = W.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[step(c).over(w).alias(n) for n, c in names.items()])
+    base = df.withColumn(SLOT, _slot(slot))
     per = [*keys, SLOT]
     row = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
     w = W.partitionBy(*per).orderBy(*order)
-    step = F.lead if following else F.lag
     edge = F.min_by if following else F.max_by
     local = base.withColumn("_row", row).withColumn("_near", step("_row").over(w))
     ends = base.groupBy(*per).agg(edge(row, F.struct(*order)).alias("_edge"))
@@ -109,16 +138,20 @@ def trailing_total(df: DataFrame, keys: list[str], at: str, totals: dict[str, Co
         *keys, (F.col(at) + F.lit(seconds * 1_000_000)).alias(at), *[(-F.col(n)).alias(n) for n in totals], F.lit(1).alias("_leaves"))
     phase = F.when(F.col("_leaves") == 1, 2 if inclusive else 0).otherwise(1)
     both = enter.unionByName(leave).withColumn("_phase", phase)
-    run = running_total(both, keys, time_slot(F.col(at), slot_seconds), [at, "_phase"], {f"_t_{n}": F.col(n) for n in totals})
+    run = running_total(both, keys, time_slot(F.col(at), slot_seconds), [at, "_phase"], {f"_t_{n}": F.col(n) for n in totals},
+                        hot=is_hot(df, keys))
     return run.where("_leaves = 0").select(*keys, at, *[F.col(f"_t_{n}").alias(n) for n in totals])
 
 
 def ranked(df: DataFrame, score: str, tie: str) -> DataFrame:
     """Add ``rank_no`` (1 = lowest score, ties by ``tie``, a unique number) and ``rows_all`` over the whole frame."""
+    if not is_hot(df, []):
+        w = W.orderBy(score, tie)
+        return df.select("*", F.row_number().over(w).cast("long").alias("rank_no"), F.count("*").over(W.partitionBy()).alias("rows_all"))
     scores = df.groupBy(score).agg(F.count("*").alias("_n"))
-    placed = running_total(scores, [], value_slot(df, score), [score], {"_upto": F.col("_n")}, whole=True).select(
+    placed = running_total(scores, [], lambda: value_slot(df, score), [score], {"_upto": F.col("_n")}, whole=True, hot=True).select(
         score, (F.col("_upto") - F.col("_n")).alias("_below"), F.col("_upto_all").alias("rows_all"))
-    inner = running_total(df, [score], value_slot(df, tie), [tie], {"_place": F.lit(1)})
+    inner = running_total(df, [score], lambda: value_slot(df, tie), [tie], {"_place": F.lit(1)})
     return inner.join(placed, score).select(*df.columns, (F.col("_below") + F.col("_place")).alias("rank_no"), "rows_all")
 
 
@@ -138,5 +171,6 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right
     lt = left.select(*keys, F.col(left_at).alias("_t"), F.lit(1).alias("_side"), payload.alias("_left"))
     rt = right.groupBy(*keys, F.col(right_at).alias("_t")).agg(F.max(pick).alias("_hit")).withColumn("_side", F.lit(0))
     both = lt.unionByName(rt, allowMissingColumns=True)
-    found = carry_last(both, keys, time_slot(F.col("_t"), slot_seconds), ["_t", "_side"], ["_hit"])
+    hot = is_hot(left.select(*keys).unionAll(right.select(*keys)), keys)
+    found = carry_last(both, keys, time_slot(F.col("_t"), slot_seconds), ["_t", "_side"], ["_hit"], hot)
     return found.where("_side = 1").select("_left.*", F.col("_hit._at").alias(right_at), *[F.col(f"_hit.{v}").alias(v) for v in values])

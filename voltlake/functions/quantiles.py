@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import running_total, value_slot
+from voltlake.functions.ordered import is_hot, running_total, value_slot
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated percentiles per key; one row per key with ``probs``' names as columns."""
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    run = running_total(counts, keys, value_slot(present, value), [value], {"_upto": F.col("_n")}, whole=True)
+    run = running_total(counts, keys, lambda: value_slot(present, value), [value], {"_upto": F.col("_n")}, whole=True, hot=is_hot(present, keys))
     x, last, first = F.col(value).cast("double"), F.col("_upto"), F.col("_upto") - F.col("_n")
     parts, out = [], []
     for name, p in probs.items():

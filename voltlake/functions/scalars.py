@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,19 @@ def money(c, scale: int = 2) -> Column:
     return col(c).cast(f"decimal(18,{scale})")
 
 
+def minor(c, scale: int = 2) -> Column:
+    """Whole minor units of an amount with ``scale`` decimals; adding them is exact and fast, and overflow raises."""
+    return F.rint(col(c) * float(10 ** scale)).cast("long")
+
+
 def money_sum(c, scale: int = 2) -> Column:
-    return F.sum(money(c, scale)).cast("double")
+    return F.sum(minor(c, scale)).cast("double") / float(10 ** scale)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work per row when the input arrives in few pieces; large inputs stay as they are."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if 2 * df.rdd.getNumPartitions() <= want else df
 
 
 def r6(c) -> Column:

@@ -12,7 +12,7 @@ from voltlake.functions.scalars import money_sum, r6, share
 
 def monthly_usage(usage: DataFrame, key: str, ts: str) -> DataFrame:
     return usage.groupBy(key, F.date_format(ts, "yyyy-MM").alias("month")).agg(
-        money_sum("qty").alias("usage"), r6(F.sum(F.col("amount").cast("decimal(20,4)"))).alias("amount"), F.count("*").alias("n"))
+        money_sum("qty").alias("usage"), r6(money_sum("amount", 4)).alias("amount"), F.count("*").alias("n"))
 
 
 def with_subtotals(df: DataFrame, levels: list[list[str]], dims: list[str], aggs: list[Column]) -> DataFrame:

@@ -31,5 +31,5 @@ def append(log: DataFrame, new: DataFrame, known: DataFrame, key: str, order: st
     """The log with new messages numbered ``msg-n`` by position, and messages of unknown conversations."""
     orphans = new.join(known, key, "left_anti")
     both = log.unionByName(new.join(known, key, "left_semi"))
-    numbered = running_total(both, [key], value_slot(both, order), [order], {"pos": F.lit(1)})
+    numbered = running_total(both, [key], lambda: value_slot(both, order), [order], {"pos": F.lit(1)})
     return numbered.withColumn("message_id", F.format_string("msg-%d", "pos")).drop("pos"), orphans

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import running_total, value_slot
+from voltlake.functions.ordered import is_hot, running_total, value_slot
 from voltlake.functions.quantiles import percentiles
 from voltlake.functions.scalars import lookup, r6
 
@@ -48,7 +48,7 @@ def ks(df: DataFrame, features: list[str], current: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per feature, with its asymptotic significance."""
     both = long_form(df.withColumn("cur", current.cast("int")), features, "cur")
     g = both.groupBy("feature", "x").agg(F.count_if(F.expr("cur = 0")).alias("r"), F.count_if(F.expr("cur = 1")).alias("c"))
-    run = running_total(g, ["feature"], value_slot(both, "x"), ["x"], {"cr": F.col("r"), "cc": F.col("c")}, whole=True)
+    run = running_total(g, ["feature"], lambda: value_slot(both, "x"), ["x"], {"cr": F.col("r"), "cc": F.col("c")}, whole=True, hot=is_hot(both, ["feature"]))
     d = F.max(F.abs(F.col("cr") / F.col("cr_all") - F.col("cc") / F.col("cc_all")))
     t = run.groupBy("feature").agg(d.alias("d"), F.max("cr_all").alias("n"), F.max("cc_all").alias("m"))
     lam = F.col("d") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))

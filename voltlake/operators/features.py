@@ -65,7 +65,7 @@ def backfill(daily: DataFrame, key: str, start: str, end: str) -> DataFrame:
     born = facts.groupBy(key).agg(F.min("ds").alias("born"))
     blank = born.select(key, F.explode(F.sequence("born", last)).alias("ds"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(28,2)").alias("v"))
     dense = facts.select(key, "ds", "n", F.col("v").cast("decimal(28,2)").alias("v")).unionByName(blank).groupBy(key, "ds").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    run = running_total(dense, [key], F.date_format("ds", "yyyyMM").cast("int"), ["ds"], {"n_events": F.col("n"), "total": F.col("v")})
+    run = running_total(dense, [key], F.date_format("ds", "yyyyMM").cast("int"), ["ds"], {"n_events": F.col("n"), "total": F.col("v")}, hot=False)  # at most one row per day and key
     return run.select(key, "ds", "n_events", "total")
 
 

@@ -45,7 +45,7 @@ def band(df: DataFrame, x: str, bands: DataFrame, lo: str, hi: str, name: str, b
     edge = bands.select(F.col(lo).cast("double").alias("_x"), F.struct(F.col(hi).alias("hi"), F.col(name).alias("name")).alias("_b"), F.lit(0).alias("_side"))
     rows = df.select(F.col(x).cast("double").alias("_x"), F.struct(*df.columns).alias("_row"), F.lit(1).alias("_side"))
     both = rows.unionByName(edge, allowMissingColumns=True)
-    found = carry_last(both, [], value_slot(rows, "_x"), ["_x", "_side"], ["_b"]).where("_side = 1")
+    found = carry_last(both, [], lambda: value_slot(rows, "_x"), ["_x", "_side"], ["_b"]).where("_side = 1")
     return found.select("_row.*", F.when(F.col("_x") < F.col("_b.hi"), F.col("_b.name")).alias(name))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import running_total, value_slot
+from voltlake.functions.ordered import is_hot, running_total, value_slot
 from voltlake.functions.scalars import r6, share
 
 # AUC from which a model counts as strong, and the AUC below which an alarm is raised.
@@ -18,8 +18,8 @@ def _by_score(df: DataFrame, keys: list[str], score: str, label: str, descending
     s = F.col(score).cast("double")
     g = df.select(*keys, (-s if descending else s).alias("_s"), F.col(label).cast("int").alias("_y")).groupBy(*keys, "_s").agg(
         F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    slot = value_slot(df.select((-s if descending else s).alias("_s")), "_s")
-    return running_total(g, keys, slot, ["_s"], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, whole=True)
+    slot = lambda: value_slot(df.select((-s if descending else s).alias("_s")), "_s")
+    return running_total(g, keys, slot, ["_s"], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, whole=True, hot=is_hot(df, keys))
 
 
 def auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import r6
+from voltlake.functions.scalars import r6, spread
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -18,30 +18,37 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda w: w != "")
 
 
-def index_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Inverted index: term, document and count, with the number of documents per term."""
-    words = docs.select(doc_id, F.explode(tokens(F.col(text))).alias("term"))
-    tf = words.groupBy("term", doc_id).agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    return tf.join(df, "term")
+def term_counts(docs: DataFrame, doc_id: str, text: str, terms: list[str] | None = None) -> DataFrame:
+    """Count of each term (or of the given ones) per document, reduced before the shuffle."""
+    words = spread(docs.select(doc_id, text)).select(doc_id, F.explode(tokens(F.col(text))).alias("term"))
+    if terms is not None:
+        words = words.where(F.col("term").isin(terms))
+    return words.groupBy("term", doc_id).agg(F.count("*").alias("tf"))
+
 
+def document_counts(tf: DataFrame) -> DataFrame:
+    """Documents per term. It reads ``tf`` as a whole, so that one query computes the counts once and reuses them."""
+    return tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
-def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
+
+def index_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Inverted index: term, document and count, with the number of documents per term."""
+    tf = term_counts(docs, doc_id, text)
+    return tf.join(document_counts(tf), "term")
 
 
 def search(docs: DataFrame, doc_id: str, text: str, query: str, top_k: int = 5) -> DataFrame:
     """Best documents by summed tf x ln(1 + N/df), ties by id.
 
-    Only the terms of the query matter, so they are counted inside each row: no text and no index is shuffled, and
-    each task keeps its best ``top_k`` rows.
+    Only words of the query leave the scan. The table of document counts has one row per word of the query, so it is
+    broadcast; each task keeps its best ``top_k`` documents.
     """
     terms = list(dict.fromkeys(w for w in re.split(r"\W+", query.lower()) if w))
-    tf = [_count(F.col("_w"), q).alias(f"t{i}") for i, q in enumerate(terms)]
-    rows = docs.select(doc_id, tokens(F.col(text)).alias("_w")).select(doc_id, *tf)
-    s = rows.agg(F.count("*").alias("n"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()  # one number per term
-    score = sum((F.col(f"t{i}") * F.log(F.lit(1 + s["n"] / s[f"d{i}"])) for i in range(len(terms)) if s[f"d{i}"]), F.lit(0.0))
-    return rows.select(doc_id, r6(score).alias("score")).where("score > 0").orderBy(F.desc("score"), doc_id).limit(top_k)
+    tf = term_counts(docs, doc_id, text, terms)
+    n = docs.count()  # from the footers of the files
+    weight = F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df"))
+    hits = tf.join(F.broadcast(document_counts(tf)), "term")
+    return hits.groupBy(doc_id).agg(r6(F.sum(F.col("tf") * weight)).alias("score")).orderBy(F.desc("score"), doc_id).limit(top_k)
 
 
 def dot(a: Column, b: Column) -> Column:

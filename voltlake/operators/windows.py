@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import neighbour, ranked, running_total, tile, time_slot, trailing_total, value_slot
+from voltlake.functions.ordered import is_hot, neighbour, ranked, running_total, tile, time_slot, trailing_total
 from voltlake.tables import micros
 
-YEAR = 366 * 86400
-
 
 def scd2(history: DataFrame, key: str, attrs: list[str], ts: str, seq: str, slot_seconds: int = 30 * 86400) -> DataFrame:
     """Validity intervals of a slowly changing dimension, type 2: one row per change of ``attrs``."""
+    hot = is_hot(history, [key])
     at = time_slot(micros(ts), slot_seconds)
-    prev = neighbour(history, [key], at, [ts, seq], {**{f"_p_{a}": a for a in attrs}, "_p_seq": seq})
+    prev = neighbour(history, [key], at, [ts, seq], {**{f"_p_{a}": a for a in attrs}, "_p_seq": seq}, hot=hot)
     same = F.col("_p_seq").isNotNull()
     for a in attrs:
         same = same & F.col(a).eqNullSafe(F.col(f"_p_{a}"))
     changes = prev.where(~same).select(*history.columns)
-    nxt = neighbour(changes, [key], time_slot(micros(ts), slot_seconds), [ts, seq], {"valid_to": ts}, following=True)
+    nxt = neighbour(changes, [key], at, [ts, seq], {"valid_to": ts}, following=True, hot=hot)
     return nxt.select(key, *attrs, F.col(ts).alias("valid_from"), seq, "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
@@ -45,9 +44,9 @@ def last_n(df: DataFrame, key: str, order: str, n: int | None) -> DataFrame:
 
 def order_features(orders: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     """Days since the previous order, spend of the previous order and order number, per order."""
-    slot = time_slot(micros(ts), 90 * 86400)
-    prev = neighbour(orders, [key], slot, [ts, seq], {"prev_ts": ts, "prev_total": "o_totalprice"})
-    numbered = running_total(prev, [key], slot, [ts, seq], {"order_no": F.lit(1)})
+    hot, slot = is_hot(orders, [key]), time_slot(micros(ts), 90 * 86400)
+    prev = neighbour(orders, [key], slot, [ts, seq], {"prev_ts": ts, "prev_total": "o_totalprice"}, hot=hot)
+    numbered = running_total(prev, [key], slot, [ts, seq], {"order_no": F.lit(1)}, hot=hot)
     return numbered.withColumn("gap_days", F.datediff(F.col(ts).cast("date"), F.col("prev_ts").cast("date")))
 
 
@@ -82,5 +81,3 @@ def day_spine(df: DataFrame, start: str, end: str) -> DataFrame:
     """All days of an inclusive range."""
     return df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("ds"))
 
-
-__all__ = ["scd2", "scd2_merge", "last_n", "order_features", "lift_deciles", "sliding", "top_n", "first_occurrence", "day_spine", "value_slot"]

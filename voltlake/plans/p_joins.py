@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import day_text, money, money_sum, r6
+from voltlake.functions.scalars import day_text, minor, money, money_sum, r6
 from voltlake.operators import joins as J
 from voltlake.plans.p_cleanse import SILVER_SQL, silver
 from voltlake.plans.registry import query
@@ -21,12 +21,12 @@ from voltlake.plans.registry import query
     from v join u on v.c_custkey = u.custkey group by 1, 2""")
 def etl_silver_to_gold(t):
     monthly = t.fx_usage.groupBy("custkey", F.date_format("ts", "yyyy-MM").alias("month")).agg(
-        F.sum(money("qty")).alias("usage"), F.sum(money("amount", 4)).alias("amount"))
+        F.sum(minor("qty")).alias("usage"), F.sum(minor("amount", 4)).alias("amount"))
     gold = silver(t).select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment")).join(
         t.fx_churn.select("custkey", "label", "spend"), "custkey", "left").join(monthly, "custkey")
     return gold.groupBy("segment", "month").agg(
-        F.count("*").alias("customers"), F.sum("usage").cast("double").alias("usage"),
-        F.round(F.sum("amount").cast("double"), 2).alias("amount"), r6(F.avg("label")).alias("churn_rate"),
+        F.count("*").alias("customers"), (F.sum("usage").cast("double") / 100.0).alias("usage"),
+        F.round(F.sum("amount").cast("double") / 10_000.0, 2).alias("amount"), r6(F.avg("label")).alias("churn_rate"),
         F.sum("spend").cast("double").alias("lifetime_value"))
 
 
