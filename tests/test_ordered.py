@@ -92,3 +92,12 @@ def test_percentiles(spark, slots, data):
 def test_zero_mad_gives_no_score(spark):
     z = robust_z(spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 9.0)], "k int, x double"), ["k"], "x")
     assert all(r["z"] is None for r in z.collect())
+
+
+def test_bands_merge_equals_broadcast(spark, slots):
+    from voltlake.operators.joins import band
+
+    bands = spark.createDataFrame([("a", 0.0, 10.0), ("b", 10.0, 20.0), ("c", 25.0, 30.0)], "band string, lo double, hi double")
+    df = spark.createDataFrame([(i, float(i % 35) - 2) for i in range(105)], "id int, x double")
+    want = sorted(map(tuple, band(df, "x", bands, "lo", "hi", "band").collect()))
+    assert sorted(map(tuple, band(df, "x", bands, "lo", "hi", "band", broadcast_rows=1).collect())) == want

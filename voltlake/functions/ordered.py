@@ -22,12 +22,15 @@ Slot = Column | Callable[[], Column]
 
 
 def is_hot(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some key has more rows than one task should sort. Counts are reduced before the shuffle; one row is fetched."""
+    """Whether some key has more rows than one task should sort.
+
+    One aggregate over the key columns, reduced before the shuffle; a single number is fetched.
+    """
     limit = int(df.sparkSession.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
-    slim = df.select(*keys) if keys else df.select(F.lit(1))
-    if slim.limit(limit + 1).count() <= limit:  # a small frame has no large key
-        return False
-    return not keys or not slim.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).isEmpty()
+    if not keys:
+        return df.count() > limit
+    largest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+    return (largest or 0) > limit
 
 
 def _slot(slot: Slot) -> Column:

@@ -34,7 +34,7 @@ def with_scenarios(df: DataFrame, scenarios: dict[str, float]) -> DataFrame:
     return df.select("*", F.inline(arr))
 
 
-def band(df: DataFrame, x: str, bands: DataFrame, lo: str, hi: str, name: str, broadcast_rows: int = 10_000) -> DataFrame:
+def band(df: DataFrame, x: str, bands: DataFrame, lo: str, hi: str, name: str, broadcast_rows: int = 100) -> DataFrame:
     """Band with ``lo <= x < hi`` of non-overlapping bands; null outside all of them.
 
     A band table of checked size is broadcast. A larger one is merged in order with the rows and carried forward.

@@ -74,14 +74,15 @@ def agg_clv(t):
       coalesce(month, 'ALL') as month, count(*) as signups
     from e group by grouping sets ((channel, region, week), (channel, region, month), (channel, month), ())""")
 def agg_signups_channel(t):
-    s = t.events.where("event_type = 'signup'").select("user_id", "ts")
+    # sign-ups are counted per user and week first, so a very active user is a few rows in the join
+    s = t.events.where("event_type = 'signup'").groupBy(
+        "user_id", day_text(F.date_trunc("week", "ts")).alias("week"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     c = t.customer.select("c_custkey", "c_nationkey")
     e = enrich_geography(s.join(c, F.col("user_id") == F.col("c_custkey")), t.nation, t.region, "c_nationkey").select(
-        (F.col("user_id") % 4).cast("string").alias("channel"), F.col("r_name").alias("region"),
-        day_text(F.date_trunc("week", "ts")).alias("week"), F.date_format("ts", "yyyy-MM").alias("month"))
+        (F.col("user_id") % 4).cast("string").alias("channel"), F.col("r_name").alias("region"), "week", "month", "n")
     dims = ["channel", "region", "week", "month"]
     levels = [["channel", "region", "week"], ["channel", "region", "month"], ["channel", "month"], []]
-    return A.with_subtotals(e, levels, dims, [F.count("*").alias("signups")])
+    return A.with_subtotals(e, levels, dims, [F.sum("n").alias("signups")])
 
 
 @query("agg_high_risk", """select count(*) as predictions_count, cast(count(*) filter (where score >= 0.7) as bigint) as high_risk_count,

@@ -16,7 +16,7 @@ from voltlake.plans.registry import query
     v as (select c_custkey, any_value(c_mktsegment) as seg, any_value(ch.label) as label, any_value(ch.spend) as ltv
           from s left join fx_churn ch on s.c_custkey = ch.custkey group by 1)
     select v.seg as segment, u.month, count(*) as customers, cast(sum(u.usage) as double) as usage,
-      round(cast(sum(u.amount) as double), 2) as amount, round(avg(v.label), 6) as churn_rate,
+      round(cast(sum(u.amount) as double), 4) as amount, round(avg(v.label), 6) as churn_rate,
       cast(sum(v.ltv) as double) as lifetime_value
     from v join u on v.c_custkey = u.custkey group by 1, 2""")
 def etl_silver_to_gold(t):
@@ -26,7 +26,7 @@ def etl_silver_to_gold(t):
         t.fx_churn.select("custkey", "label", "spend"), "custkey", "left").join(monthly, "custkey")
     return gold.groupBy("segment", "month").agg(
         F.count("*").alias("customers"), (F.sum("usage").cast("double") / 100.0).alias("usage"),
-        F.round(F.sum("amount").cast("double") / 10_000.0, 2).alias("amount"), r6(F.avg("label")).alias("churn_rate"),
+        F.round(F.sum("amount").cast("double") / 10_000.0, 4).alias("amount"), r6(F.avg("label")).alias("churn_rate"),
         F.sum("spend").cast("double").alias("lifetime_value"))
 
 
@@ -117,12 +117,12 @@ def join_positions_prices(t):
 SCENARIOS = {f"shift_{s:+d}": 1 + s / 100 for s in (-50, -40, -30, -20, -10, 0, 10, 20, 30, 40, 50)}
 
 
-@query("join_scenarios_cross", f"""select o_orderstatus, scenario, round(cast(sum(cast(o_totalprice as decimal(18,2))) as double) * factor, 2) as value
+@query("join_scenarios_cross", f"""select o_orderstatus, scenario, round(cast(sum(cast(o_totalprice as decimal(18,2))) as double) * factor, 4) as value
     from orders cross join (values {', '.join(f"('{k}', {v!r}e0)" for k, v in SCENARIOS.items())}) s(scenario, factor)
     group by o_orderstatus, scenario, factor""")
 def join_scenarios_cross(t):
     base = t.orders.groupBy("o_orderstatus").agg(money_sum("o_totalprice").alias("total"))
-    return J.with_scenarios(base, SCENARIOS).select("o_orderstatus", "scenario", F.round(F.col("total") * F.col("factor"), 2).alias("value"))
+    return J.with_scenarios(base, SCENARIOS).select("o_orderstatus", "scenario", F.round(F.col("total") * F.col("factor"), 4).alias("value"))
 
 
 BANDS = [("low", 0.0, 10.0), ("mid", 10.0, 30.0), ("high", 30.0, 45.0)]

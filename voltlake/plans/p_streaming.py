@@ -91,7 +91,7 @@ def st_sliding(t):
 def st_budget_alert(t):
     out = scratch(t.spark, "budget")
     J.budget_alerts(arrivals(t, out), "value", BUDGET, f"{out}/alerts", f"{out}/cp")
-    last = t.spark.read.parquet(f"{out}/alerts").groupBy("start").agg(F.max(F.struct("spend", "level")).alias("r"))
+    last = t.spark.read.schema("start timestamp, spend decimal(28,2), level string, batch int").parquet(f"{out}/alerts").groupBy("start").agg(F.max(F.struct("spend", "level")).alias("r"))
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("r.spend").cast("double").alias("spend"), "r.level")
 
 
@@ -100,7 +100,7 @@ def st_budget_alert(t):
 def st_recurring_error(t):
     out = scratch(t.spark, "recurring")
     J.recurring_errors(arrivals(t, out).where("event_type = 'error'"), ["user_id"], f"{out}/store", f"{out}/alerts", f"{out}/cp")
-    return t.spark.read.parquet(f"{out}/alerts").select("user_id", "at", "n")
+    return t.spark.read.schema("user_id long, at long, n long, recurring boolean, ds string").parquet(f"{out}/alerts").select("user_id", "at", "n")
 
 
 @query("st_late_rows", "select event_id, user_id % 5 > 2 as late from events")
