@@ -51,14 +51,14 @@ def ml_split_time(t):
 
 
 @query("ml_leakage_check", """with p as (select count(*) as c from lineitem join orders on l_orderkey = o_orderkey where l_shipdate > o_orderdate),
-    s as (select count(*) as c from (select user_id from events where user_id % 7 = 0 group by user_id
+    s as (select count(*) as c from (select user_id from events group by user_id
           having min(ts >= timestamp '2024-01-21') <> max(ts >= timestamp '2024-01-21')) x),
     n as (select (abs(corr(cast(value as double), value * 2 + 1)) > 0.99)::int + (abs(corr(cast(user_id as double), value * 2 + 1)) > 0.99)::int as c
-          from events where user_id % 7 = 0)
+          from events)
     select p.c as future_features, s.c as shared_keys, cast(n.c as bigint) as near_label, true as leak from p, s, n""")
 def ml_leakage_check(t):
     pairs = t.lineitem.select("l_orderkey", "l_shipdate").join(t.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    sp = t.events.where("user_id % 7 = 0").select("user_id", "value", (F.col("value") * 2 + 1).alias("y"), L.split_by_time("ts", "2024-01-21", "2024-02-01").alias("split"))
+    sp = t.events.select("user_id", "value", (F.col("value") * 2 + 1).alias("y"), L.split_by_time("ts", "2024-01-21", "2024-02-01").alias("split"))
     return L.leakage(pairs, "l_shipdate", "o_orderdate", sp, "user_id", ["value", "user_id"], "y")
 
 

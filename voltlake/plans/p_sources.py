@@ -43,7 +43,8 @@ def src_ingest_dedup(t):
     return S.duplicate_rate(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("src_schema_gate")
+@query("src_schema_gate", """select name, declared, actual, problem, (select count(*) from events) as rows_refused from (values ('extra', null, 'int', 'unexpected'),
+    ('props', 'string', null, 'missing'), ('value', 'double', 'string', 'type')) v(name, declared, actual, problem)""")
 def src_schema_gate(t):
     actual = t.events.withColumn("value", F.col("value").cast("string")).withColumn("extra", F.lit(1)).drop("props")
     bad = S.schema_violations(t.spark, actual.schema, t.events.schema)

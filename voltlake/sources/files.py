@@ -12,16 +12,14 @@ LINEAGE = ("source_uri string, target_uri string, transformation string, agent_n
            "records_out long, timestamp string, metadata map<string,string>, ds string")
 
 
-def write_partitioned(df: DataFrame, path: str, ds: str = "ds", salt: Column | None = None, salts: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, ds: str = "ds") -> None:
     """Overwrite only the partitions present in ``df``.
 
-    Rows of a partition are gathered before writing, so that it gets few files. With ``salts`` a large partition is
-    spread over that many writers.
+    Rows of a partition are brought together, so that it gets few files; adaptive execution splits a partition that is
+    too large for one writer and merges small ones.
     """
-    if salts > 1:
-        df = df.withColumn("_salt", F.pmod(F.xxhash64(salt if salt is not None else F.struct(*df.columns)), F.lit(salts)))
-        df = df.repartition(ds, "_salt").drop("_salt")
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(ds).parquet(path)
+    even = df.hint("rebalance", F.col(ds))
+    even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(ds).parquet(path)
 
 
 def land(df: DataFrame, path: str, date: str) -> dict:
@@ -120,14 +118,12 @@ def fallback_partition(spark: SparkSession, path: str, passed: DataFrame, ds: st
     return spark.read.option("basePath", path).parquet(path).where(F.col("ds").cast("string") == F.lit(best))
 
 
-def compact(spark: SparkSession, path: str, out: str, ds: str = "ds", files_per_partition: int = 1, keep_from: str | None = None) -> None:
-    """Rewrite partitions with few files into a new folder and drop those before ``keep_from``."""
+def compact(spark: SparkSession, path: str, out: str, ds: str = "ds", keep_from: str | None = None) -> None:
+    """Rewrite partitions with few files of the advisory size into a new folder and drop those before ``keep_from``."""
     df = spark.read.parquet(path)
     if keep_from:
         df = df.where(F.col(ds).cast("string") >= keep_from)
-    data = [c for c in df.columns if c != ds]
-    slot = F.pmod(F.xxhash64(*data), F.lit(files_per_partition))
-    df.withColumn("_f", slot).repartition(ds, "_f").drop("_f").write.mode("overwrite").partitionBy(ds).parquet(out)
+    df.hint("rebalance", F.col(ds)).write.mode("overwrite").partitionBy(ds).parquet(out)
 
 
 def write_json(df: DataFrame, path: str) -> str:
