@@ -14,7 +14,7 @@ def one(spark, col):
     return spark.range(1).select(col.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("d,m,c", itertools.product(["none", "medium", "high"], ["none", "medium", "high"], [False, True]))
+@pytest.mark.parametrize("d,m,c", list(itertools.product(["none", "medium", "high"], ["none", "medium", "high"], [False, True])))
 def test_drift_action(spark, d, m, c):
     sev = "high" if c else "none"
     want = ("emergency_retrain" if c else "trigger_retrain") if "high" in (d, m, sev) else "schedule_review" if "medium" in (d, m) else "monitor"

@@ -9,8 +9,6 @@ from voltlake.operators import joins as J
 from voltlake.operators import quality as Q
 from voltlake.plans.registry import query
 
-RES = "cast({n} as bigint) as evaluated, cast({bad} as bigint) as unexpected, {bad} = 0 as success"
-
 
 def res(kind, column, bad, src, n="count(*)"):
     return f"select '{kind}' as expectation, '{column}' as \"column\", cast({n} as bigint) as evaluated, cast({bad} as bigint) as unexpected, {bad} = 0 as success from {src}"
