@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from voltlake import plans  # noqa: E402
 from tools.check import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +21,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in plans.QUERIES if n not in SLOW])
 def test_query(spark, con, name):
     rows, state, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
     assert state in ("ok", "rows-only") or (state == "EMPTY" and name in EMPTY_OK), (rows, state, note)
