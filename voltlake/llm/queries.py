@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
+from voltlake.llm import mixing, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -25,3 +26,22 @@ def query(name: str, sql: str | None = None):
 @query("op7_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fp.fingerprints(lake(spark, sf_dir).documents)
+
+
+@query("op8_warc", """
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as payload_bytes from pages),
+f as (select *, min(page_id) over (partition by html) as first from p),
+d as (select *, list_transform(range(0, 20), lambda i: ('0x' || substr(sha1(html), 2 * i::integer + 1, 2))::integer) as b from f),
+e as (select *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((b[1 + (5 * i) // 8] * 256 + coalesce(b[2 + (5 * i) // 8], 0)) >> (11 - (5 * i) % 8)) & 31)::integer, 1)) as t from d)
+select page_id, payload_bytes, array_to_string(t, '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to from e""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_and_read(lake(spark, sf_dir).pages)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_mixing", mixing.mix_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(lake(spark, sf_dir).documents)
