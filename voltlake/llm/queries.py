@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
-from voltlake.llm import mixing, warc
+from voltlake.llm import decontaminate, mixing, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -45,3 +45,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_mixing", mixing.mix_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(lake(spark, sf_dir).documents)
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lake(spark, sf_dir)
+    out = decontaminate.decontaminate(t.documents, t.benchmark, texts=False)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
