@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import tasks, text_key
+from voltlake.llm.common import tasks
 
 SLOTS = 32
 BUCKETS = 1 << 18
@@ -83,28 +83,27 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(shared & (either > 0), same / either).otherwise(0.0).cast("double")
 
 
-def next_ids(keys: DataFrame) -> DataFrame:
-    """(doc_id, tid, nx_id, nx_tid, n) of distinct keys (doc_id, tid, n): the next in ascending order, nulls last, the first after the last.
+def row_key() -> Column:
+    """One key for id and text, never null, so that joins and the shuffle before them agree on the partitioning."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5("text")))).alias("key")
+
+
+def next_keys(keys: DataFrame) -> DataFrame:
+    """(key, n, nx) of distinct rows (doc_id, key, n): the key of the next row by ascending doc_id, nulls last, and of the first after the last.
 
     The ids are cut into as many ranges as there are shuffle partitions; each is ordered alone, and the first row of
     every range, one row a range, closes the gaps between them.
     """
-    spark = keys.sparkSession
-    ranges = max(2, tasks(spark))
+    ranges = max(2, tasks(keys.sparkSession))
     cuts = sorted(set(keys.filter("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    binned = keys.withColumn("bin", F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)), place))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("tid")]
-    inner = Window.partitionBy("bin").orderBy(*order)
-    led = binned.withColumn("nx", F.lead(F.struct("doc_id", "tid")).over(inner))
-    heads = binned.withColumn("r", F.row_number().over(inner)).filter("r = 1").select("bin", F.struct("doc_id", "tid").alias("head"))
+    binned = keys.withColumn("bin", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
+    inner = Window.partitionBy("bin").orderBy(F.col("doc_id").asc_nulls_last(), F.col("key"))
+    led = binned.withColumn("nx", F.lead("key").over(inner))
+    heads = binned.groupBy("bin").agg(F.min(F.struct("doc_id", "key"))["key"].alias("head"))
     across = Window.orderBy("bin")
-    heads = heads.select("bin", F.lead("head").over(across).alias("after"), F.first("head").over(across).alias("start"))
-    heads = heads.select("bin", F.coalesce("after", "start").alias("after"))
-    return (
-        led.join(F.broadcast(heads), "bin")  # at most one row a range
-        .select("doc_id", "tid", "n", F.coalesce("nx", "after").alias("nx"))
-        .select("doc_id", "tid", "n", F.col("nx.doc_id").alias("nx_id"), F.col("nx.tid").alias("nx_tid")))
+    heads = heads.select("bin", F.coalesce(F.lead("head").over(across), F.first("head").over(across)).alias("after"))
+    return led.join(F.broadcast(heads), "bin").select("key", "n", F.coalesce("nx", "after").alias("nx"))  # at most one row a range
 
 
 def fingerprints(docs: DataFrame, idf_band=IDF_BAND, buckets: int = BUCKETS) -> DataFrame:
@@ -116,17 +115,15 @@ def fingerprints(docs: DataFrame, idf_band=IDF_BAND, buckets: int = BUCKETS) ->
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     flags = band(docs, *idf_band, buckets)
-    own = with_fingerprint(docs.select("doc_id", text_key(), "text"), "text", "fingerprint", flags, buckets)
-    own = own.repartition(tasks(docs.sparkSession), "doc_id", "tid")
-    keys = docs.select("doc_id", text_key(), F.char_length("text").alias("n")).groupBy("doc_id", "tid").agg(F.max("n").alias("n"))
-    order = next_ids(keys)
-    nxt = (
-        own.withColumnsRenamed({"doc_id": "nx_id", "tid": "nx_tid", "fingerprint": "nx_fingerprint"})
-        .join(order.withColumnsRenamed({"nx_id": "q_id", "nx_tid": "q_tid", "doc_id": "for_id", "tid": "for_tid"}),
-              F.col("nx_id").eqNullSafe(F.col("q_id")) & (F.col("nx_tid") == F.col("q_tid")))
-        .select("for_id", "for_tid", "n", "nx_fingerprint", F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail"))
-        .dropDuplicates(["for_id", "for_tid"]))
-    both = own.join(nxt, F.col("doc_id").eqNullSafe(F.col("for_id")) & (F.col("tid") == F.col("for_tid")))
+    own = with_fingerprint(docs.select("doc_id", row_key(), "text"), "text", "fingerprint", flags, buckets)
+    own = own.repartition(tasks(docs.sparkSession), "key")
+    keys = docs.select("doc_id", row_key(), F.char_length("text").alias("n")).groupBy("doc_id", "key").agg(F.max("n").alias("n"))
+    order = next_keys(keys).withColumnRenamed("key", "before")
+    tails = (
+        own.join(order, own["key"] == order["nx"])
+        .select("before", "n", F.col("fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail"))
+        .dropDuplicates(["before"]))
+    both = own.join(tails, own["key"] == tails["before"])
     edited = both.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), "fingerprint", "nx_fingerprint",
         F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), "tail").alias("edited"))
