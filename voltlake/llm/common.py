@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +18,25 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
     small_batches(spark)
+    ship(spark)
     return Lake(spark, sf_dir)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed (as --py-files does)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_voltlake_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    if root.is_dir():
+        file = Path(tempfile.mkdtemp(prefix="voltlake-")) / "voltlake.zip"
+        with zipfile.ZipFile(file, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(file))
+    sc._voltlake_sent = True
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts can be long, so a batch sent to Python holds few rows."""
     spark.conf.set(ARROW_ROWS, "256")

@@ -89,7 +89,7 @@ def row_key() -> Column:
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
-    """(key, n, nx) of distinct rows (doc_id, key, n): the key of the next row by ascending doc_id, nulls last, and of the first after the last.
+    """(doc_id, key, n, nx) of distinct rows (doc_id, key, n): the key of the next row by ascending doc_id, nulls last, and of the first after the last.
 
     The ids are cut into as many ranges as there are shuffle partitions; each is ordered alone, and the first row of
     every range, one row a range, closes the gaps between them.
@@ -103,7 +103,7 @@ def next_keys(keys: DataFrame) -> DataFrame:
     heads = binned.groupBy("bin").agg(F.min(F.struct("doc_id", "key"))["key"].alias("head"))
     across = Window.orderBy("bin")
     heads = heads.select("bin", F.coalesce(F.lead("head").over(across), F.first("head").over(across)).alias("after"))
-    return led.join(F.broadcast(heads), "bin").select("key", "n", F.coalesce("nx", "after").alias("nx"))  # at most one row a range
+    return led.join(F.broadcast(heads), "bin").select("doc_id", "key", "n", F.coalesce("nx", "after").alias("nx"))  # at most one row a range
 
 
 def fingerprints(docs: DataFrame, idf_band=IDF_BAND, buckets: int = BUCKETS) -> DataFrame:
@@ -115,13 +115,13 @@ def fingerprints(docs: DataFrame, idf_band=IDF_BAND, buckets: int = BUCKETS) ->
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     flags = band(docs, *idf_band, buckets)
-    own = with_fingerprint(docs.select("doc_id", row_key(), "text"), "text", "fingerprint", flags, buckets)
-    own = own.repartition(tasks(docs.sparkSession), "key")
+    own = with_fingerprint(docs.select(row_key(), "text"), "text", "fingerprint", flags, buckets)
+    own = own.repartition(tasks(docs.sparkSession), "key")  # both joins below read this one shuffle
     keys = docs.select("doc_id", row_key(), F.char_length("text").alias("n")).groupBy("doc_id", "key").agg(F.max("n").alias("n"))
     order = next_keys(keys).withColumnRenamed("key", "before")
     tails = (
         own.join(order, own["key"] == order["nx"])
-        .select("before", "n", F.col("fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail"))
+        .select("before", "doc_id", "n", F.col("fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail"))
         .dropDuplicates(["before"]))
     both = own.join(tails, own["key"] == tails["before"])
     edited = both.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
-from voltlake.llm import decontaminate, mixing, warc
+from voltlake.llm import decontaminate, mixing, quality, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -52,3 +52,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lake(spark, sf_dir)
     out = decontaminate.decontaminate(t.documents, t.benchmark, texts=False)
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lake(spark, sf_dir)
+    return quality.classify(t.documents, t.labels).select("doc_id", "log_weight", "score", "kept")

@@ -6,7 +6,7 @@ import numpy as np
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
-PIECE = 8 << 20  # bytes hashed at once, so that a very long text needs little memory
+PIECE = 1 << 20  # bytes hashed at once, so that a very long text needs little memory
 
 #: ASCII lower case; all other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -20,17 +20,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE^0 .. BASE^(n-1) modulo 2^64, kept for later calls."""
+def _powers(base: U) -> np.ndarray:
+    out = np.full(PIECE, base, dtype=U)
+    out[0] = U(1)
+    return np.multiply.accumulate(out)
+
+
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for i below PIECE, made once a process."""
     global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 2 * len(_POWERS)), BASE, dtype=U)
-        out[0] = U(1)
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS[:n]
+    if _POWERS is None:
+        _POWERS = (_powers(BASE), _powers(U(pow(int(BASE), -1, 1 << 64))))
+    return _POWERS
 
 
-_POWERS = np.ones(1, dtype=U)
+_POWERS = None
 
 
 def table(members: str | bytes) -> np.ndarray:
@@ -47,22 +51,35 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of every word; words are disjoint and in order."""
+    """Hash of the bytes of every word, from differences of prefix sums; words may overlap, their starts are in order."""
     out = np.empty(len(starts), dtype=U)
+    up, down = powers()
     first = 0
     while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE)))
-        a, b = starts[first:last], ends[first:last]
-        size = b - a
-        at = np.cumsum(size) - size
-        own = np.repeat(a - at, size) + np.arange(int(size.sum()))
-        place = own - np.repeat(a, size)
-        value = (buf[own].astype(U) + U(1)) * powers(int(size.max()))[place]
-        out[first:last] = mixed(np.add.reduceat(value, at) + size.astype(U))
+        at = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
+        if ends[last - 1] - at > PIECE:  # a word longer than a piece
+            out[first] = _long_word(buf, at, int(ends[first]))
+            first += 1
+            continue
+        part = buf[at: int(ends[last - 1])]
+        sums = np.zeros(len(part) + 1, dtype=U)
+        np.cumsum((part + U(1)) * up[: len(part)], out=sums[1:])
+        a, b = starts[first:last] - at, ends[first:last] - at
+        out[first:last] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
         first = last
     return out
 
 
+def _long_word(buf: np.ndarray, start: int, end: int) -> U:
+    """The same hash, added up over pieces."""
+    up, total = powers()[0], 0
+    for k in range(start, end, PIECE):
+        part = buf[k: min(k + PIECE, end)]
+        total += int(np.sum((part + U(1)) * up[: len(part)])) * pow(int(BASE), k - start, 1 << 64)
+    return mixed(np.array([(total + end - start) & ((1 << 64) - 1)], dtype=U))[0]
+
+
 def sequences(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` words."""
     m = len(words) - n + 1
