@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
-from voltlake.llm import decontaminate, mixing, quality, warc
+from voltlake.llm import decontaminate, mixing, neardup, quality, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -58,3 +58,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lake(spark, sf_dir)
     return quality.classify(t.documents, t.labels).select("doc_id", "log_weight", "score", "kept")
+
+
+@query("op10_neardup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(lake(spark, sf_dir).documents).select("doc_id", "n_shingles", "component_id", "kept")
