@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
-from voltlake.llm import decontaminate, mixing, neardup, quality, warc
+from voltlake.llm import decontaminate, mixing, neardup, quality, suffix_dedup, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -63,3 +63,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_neardup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(lake(spark, sf_dir).documents).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeats(lake(spark, sf_dir).documents)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
