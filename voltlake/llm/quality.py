@@ -87,7 +87,7 @@ def _count(frame: DataFrame, classes: int) -> np.ndarray:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        total = np.zeros((classes, width + 1), dtype=np.int64)
+        total = np.zeros((classes, width + 1), dtype=np.int32)
         for rows in batches:
             grams: list[list] = [[] for _ in range(classes)]
             for text, cls in zip(rows.column("text").to_pylist(), rows.column("cls").to_pylist(), strict=True):
@@ -97,7 +97,9 @@ def _count(frame: DataFrame, classes: int) -> np.ndarray:
                 if g:
                     total[c, :width] += np.bincount(np.concatenate(g), minlength=width)
         cls, gram = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(gram), pa.array(total[cls, gram])], ["cls", "gram", "n"])
+        n = total[cls, gram].astype(np.int64)
+        for k in range(0, len(n), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k: k + 50_000]) for x in (cls, gram, n)], ["cls", "gram", "n"])
 
     out = np.zeros((classes, width + 1))
     summed = frame.mapInArrow(run, "cls long, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
-from voltlake.llm import decontaminate, mixing, neardup, quality, suffix_dedup, warc
+from voltlake.llm import decontaminate, html_extract, langid, mixing, neardup, quality, suffix_dedup, token_counts, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -69,3 +69,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.repeats(lake(spark, sf_dir).documents)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(lake(spark, sf_dir).documents)
+
+
+@query("op3_html_extract")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(lake(spark, sf_dir).pages)
+
+
+@query("op5_langid")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(lake(spark, sf_dir).documents).select("doc_id", "held_out", "lang_pred", "score")
