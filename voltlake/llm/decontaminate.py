@@ -190,32 +190,29 @@ def _hits(matchers: list[Matcher], text: str | None) -> tuple[np.ndarray, np.nda
     return starts, ends, hit, buf, {item for item, _ in found}
 
 
-SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, drop_document boolean"
+COUNTS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, drop_document boolean"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, max_share: float = 0.5,
-                  columns: tuple = ("doc_id",), texts: bool = True) -> DataFrame:
-    """``columns`` of every row with its counts, the text without its hit words, and whether hits cover more than ``max_share`` of it.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, max_share: float = 0.5, texts: bool = True) -> DataFrame:
+    """row (a struct of the columns of ``docs``, without the text if ``texts`` is off), its counts, its text without the hit words, and whether hits cover more than
+    ``max_share`` of its words.
 
     A null text has no words and stays null; null item ids count as one item named ``null``; an empty benchmark hits
-    nothing. Columns of ``docs`` that are not asked for are ignored, so names may clash.
+    nothing. As the columns of ``docs`` stay in their struct, their names may clash with the counts.
     """
     small_batches(docs.sparkSession)
-    blocks = item_blocks(benchmark, block_words)
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
-    asked = docs.select(*columns, F.col("text").alias("_vl_text"))
-    fields = [f for f in asked.schema.fields if f.name != "_vl_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + SCHEMA
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_words)]
+    asked = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    names = [x.split()[0] for x in COUNTS.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         matchers = [Matcher(b.value, window) for b in shared]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
         for rows in batches:
             out = []
-            for text in rows.column("_vl_text").to_pylist():
+            for text in rows.column("text").to_pylist():
                 starts, ends, hit, buf, items = _hits(matchers, text)
                 n, n_hit = len(starts), int(hit.sum())
                 ids = ",".join(sorted("null" if i is None else str(i) for i in items))
@@ -226,7 +223,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                         keep[starts[a]: ends[b - 1]] = False
                     clean = np.frombuffer(text.encode(), dtype=np.uint8)[keep].tobytes().decode()
                 out.append((n, n_hit, len(items), hashlib.sha256(ids.encode()).hexdigest(), n_hit > 0, clean if texts else None, n_hit > max_share * n))
-            made = [pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()])]
-            yield pa.RecordBatch.from_arrays([rows.column(f.name) for f in fields] + made, [f.name for f in fields] + names)
+            made = list(zip(*out, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([rows.column("row")] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["row", *names])
 
-    return asked.mapInArrow(run, schema)
+    return asked.mapInArrow(run, f"row {asked.schema['row'].dataType.simpleString()}, {COUNTS}")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The columns of ``docs`` with hit words cut out of the texts; documents that consist mostly of them go."""
+    found = decontaminate(docs, benchmark, **options).filter("not drop_document")
+    return found.select(*[F.col("clean_text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -63,8 +63,9 @@ def fit(docs: DataFrame) -> dict | None:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
     counts: dict[str, np.ndarray] = {}
-    for r in known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
+    got = known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    for lang, at, n in zip(got["lang"].to_pylist(), got["bucket"].to_pylist(), got["n"].to_pylist(), strict=True):
+        counts.setdefault(lang, np.zeros(BUCKETS))[at] = n
     if not counts:
         return None
     names = sorted(counts)

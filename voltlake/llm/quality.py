@@ -103,8 +103,8 @@ def _count(frame: DataFrame, classes: int) -> np.ndarray:
 
     out = np.zeros((classes, width + 1))
     summed = frame.mapInArrow(run, "cls long, gram long, n long").groupBy("cls", "gram").agg(F.sum("n").alias("n"))
-    for r in summed.toLocalIterator():  # a table of fixed size: n-gram buckets by class
-        out[r["cls"], r["gram"]] = r["n"]
+    got = summed.toArrow()  # a table of fixed size: n-gram buckets by class
+    out[got["cls"].to_numpy(), got["gram"].to_numpy()] = got["n"].to_numpy()
     return out
 
 

@@ -50,8 +50,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontaminate")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lake(spark, sf_dir)
-    out = decontaminate.decontaminate(t.documents, t.benchmark, texts=False)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    out = decontaminate.decontaminate(t.documents.select("doc_id", "text"), t.benchmark, texts=False)
+    return out.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 @query("op9_quality")
