@@ -209,10 +209,12 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     """(rid, text, starts): of every row with a repeated string its text and the runs of starts of such strings; rows that repeat id and text are one."""
     docs = docs.select("doc_id", "text")
     anchors = written(_anchors(docs, length, gram), "anchors")
-    often = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # counts are written tables, so that the joins below read plain shuffles, of which hot partitions can be split
+    often = written(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     seen = written(anchors.join(often, "h"), "repeated")
-    kinds = seen.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "s", "m", "anchor")).alias("one"))
-    many = written(kinds.join(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "h"), "kinds")
+    kinds = written(seen.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "s", "m", "anchor")).alias("one")), "kinds")
+    size = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "kinds-of-anchor")
+    many = kinds.join(size, "h")
     # bytes are needed of one occurrence of every segment whose anchor has several
     wanted = many.filter("kinds > 1").select("one.rid", F.struct("h", "seg", "one.s", "one.m", "one.anchor", F.lit(length - 1).alias("more")).alias("w"))
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
@@ -220,7 +222,6 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     own = docs.select(row_key(), "text")
     held = written(own.join(needed, F.col("rid") == F.col("need")).drop("need").dropDuplicates(["rid"]), "held")
     parts = written(_cut_out(held.select("text", "wanted").filter("wanted is not null")), "segments")
-    size = many.filter("kinds > 1").select("h", "kinds").distinct()
     parts = parts.join(size, "h")
     found = _by_shards(parts.filter(F.col("kinds") <= hot), length)
     if not size.filter(F.col("kinds") > hot).isEmpty():
