@@ -8,21 +8,13 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from voltlake.session import build
 
     s = build("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
 
-
-@pytest.fixture
-def slots(spark):
-    """Force the slotted plans by declaring every key hot."""
-    from voltlake.functions.ordered import HOT_ROWS
-
-    spark.conf.set(HOT_ROWS, "3")
-    yield
-    spark.conf.unset(HOT_ROWS)

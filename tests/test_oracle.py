@@ -27,15 +27,5 @@ def test_query(spark, con, name):
     assert state in ("ok", "rows-only") or (state == "EMPTY" and name in EMPTY_OK), (rows, state, note)
 
 
-HOT = ["win_scd2", "win_scd2_merge", "win_lag_features", "win_sliding_30d", "win_lift_deciles", "seg_customers", "join_point_in_time", "risk_stale_prices", "ml_auc", "ml_roc_points",
-       "drift_ks", "drift_psi", "ano_usage", "cost_gate", "cost_budget_levels", "ops_error_freq", "ops_latency_pct", "risk_var", "conv_append", "dq_score_window"]
-
-
-@pytest.mark.parametrize("name", HOT)
-def test_query_with_every_key_hot(spark, con, slots, name):
-    rows, state, note = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF)
-    assert state == "ok" or (state == "EMPTY" and name in EMPTY_OK), (rows, state, note)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

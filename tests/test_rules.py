@@ -208,6 +208,50 @@ def test_splits_and_algorithms(spark):
     assert models.algorithms("clustering")[0] == "kmeans" and models.algorithms("?") == ("xgboost",)
 
 
-def test_tiers(spark, slots):
+def test_tiers(spark):
     t = customers.value_tiers(spark.range(9).select("id", F.col("id").cast("double").alias("s")), "s", "id")
     assert [r["tier"] for r in t.orderBy("id").collect()] == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+
+
+def test_a_chain_is_walked_to_its_end(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "source string, target string")
+    assert catalog.reach(e, spark.createDataFrame([("n0",)], "id string")).count() == 30
+
+
+def test_empty_and_one_class_input(spark):
+    from voltlake.operators import aggregates, drift, experiments, features, metrics, windows
+
+    one = spark.createDataFrame([(0.1, 1, 1), (0.2, 1, 2)], "s double, y int, k int")
+    assert {r["fpr"] for r in metrics.roc_points(one, "s", "y").collect()} == {None}
+    assert {r["lift"] for r in windows.lift_deciles(one.withColumn("y", F.lit(0)), "s", "y", "k").collect()} == {None}
+    for cur in (0, 1):
+        assert drift.psi(one, ["s"], F.lit(cur)).first()["psi"] is None
+        assert drift.ks(one, ["s"], F.lit(cur)).first()["ks"] is None
+    none = one.where("false").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert aggregates.row_stats(none, "ts", "2024-01-02").first()["completeness"] is None
+    assert features.completeness(none, ["s"]).first()["completeness"] is None
+    arms = spark.createDataFrame([(a, int(a > 0)) for a in (0, 0, 1, 1)], "arm int, hit int")
+    assert experiments.analyse(arms, "arm", "hit", 0).first()["lift"] is None
+
+
+def test_search_splits_words_as_documents_are(spark):
+    from voltlake.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "foo_bar baz"), (2, "other")], "doc_id int, text string")
+    assert [r["doc_id"] for r in retrieval.search(docs, "doc_id", "text", "foo_bar").collect()] == [1]
+
+
+def test_many_labels(spark):
+    from voltlake.operators import retrieval
+
+    v = spark.range(1500).select(F.col("id").alias("i"), F.array(F.cos(F.col("id") / 477.0), F.sin(F.col("id") / 477.0)).cast("array<float>").alias("e"), F.col("id").alias("l"))
+    got = retrieval.relevance(v, "i", "e", "l", 1)
+    assert got.count() == 1500
+
+
+def test_dead_letter_takes_any_schema(spark):
+    from voltlake.sources import files
+
+    raw = spark.createDataFrame([(1, '{"a": 1.25, "b": {"x": 2}}'), (2, "{"), (3, None)], "id int, j string")
+    good, bad = files.dead_letter(raw, "j", "a decimal(10,2), b struct<x:int>")
+    assert [(r.id, str(r.a), r.b.x) for r in good.collect()] == [(1, "1.25", 2)] and sorted(r.id for r in bad.collect()) == [2, 3]

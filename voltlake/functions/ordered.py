@@ -1,10 +1,9 @@
 """Ordered computations (running totals, neighbours, carried values, ranks) that survive a hot key.
 
-A plain window over one key sorts that key in one task, which is the cheapest plan while every key is small. So the
-largest key is measured first. If it is too large for a task, the order is cut into slots: each (key, slot) is
-windowed alone, a small table with one row per (key, slot) is windowed per key, and its result is added to the rows
-of the slot. A slot is any expression that never falls when the leading order column rises: a day of a timestamp,
-or a range of values cut at the data's own quantiles. Both plans give the same rows.
+A plain window over one key sorts that key in one task. So the order is cut into slots: each (key, slot) is windowed
+alone, a small table with one row per (key, slot) is windowed per key, and its result is added to the rows of the
+slot. A slot is any expression that never falls when the leading order column rises, nulls first: a span of time, or a range of
+values cut at the data's own quantiles. There is one plan for every size, and null keys and values keep their rows, as in a window.
 """
 
 from __future__ import annotations
@@ -16,21 +15,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT = "_slot"
-HOT_ROWS = "spark.voltlake.hotRows"  # rows of one key that one task may sort
-DEFAULT_HOT_ROWS = 2_000_000
 Slot = Column | Callable[[], Column]
 
 
-def is_hot(df: DataFrame, keys: list[str]) -> bool:
-    """Whether some key has more rows than one task should sort.
-
-    One aggregate over the key columns, reduced before the shuffle; a single number is fetched.
-    """
-    limit = int(df.sparkSession.conf.get(HOT_ROWS, str(DEFAULT_HOT_ROWS)))
+def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on keys that may be null; the columns of ``left`` and the other columns of ``right``."""
     if not keys:
-        return df.count() > limit
-    largest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
-    return (largest or 0) > limit
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def _slot(slot: Slot) -> Column:
@@ -56,7 +52,7 @@ def _search(column: str, cuts: list[float]) -> Column:
         mid = (lo + hi) // 2
         return f"if(cast(`{column}` as double) < {cuts[mid]!r}D, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
-    return F.expr(tree(0, len(cuts)))
+    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.expr(tree(0, len(cuts))))
 
 
 def time_slot(micros: Column, seconds: int = 86400) -> Column:
@@ -64,12 +60,8 @@ def time_slot(micros: Column, seconds: int = 86400) -> Column:
 
 
 def running_total(df: DataFrame, keys: list[str], slot: Slot, order: list, totals: dict[str, Column],
-                  whole: bool = False, hot: bool | None = None) -> DataFrame:
+                  whole: bool = False) -> DataFrame:
     """Add inclusive running sums in ``order`` per key; with ``whole`` also the key's total as ``<name>_all``."""
-    if not (is_hot(df, keys) if hot is None else hot):
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in totals.items()],
-                         *([F.sum(c).over(W.partitionBy(*keys)).alias(f"{n}_all") for n, c in totals.items()] if whole else []))
     base = df.withColumn(SLOT, _slot(slot))
     per = [*keys, SLOT]
     w = W.partitionBy(*per).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -81,7 +73,7 @@ def running_total(df: DataFrame, keys: list[str], slot: Slot, order: list, total
         *[F.sum(f"_sum_{n}").over(before).alias(f"_off_{n}") for n in totals],
         *([F.sum(f"_sum_{n}").over(W.partitionBy(*keys)).alias(f"{n}_all") for n in totals] if whole else []),
     )
-    out = local.join(offsets, per, "left")
+    out = join_back(local, offsets, per)
     zero = F.lit(0)
     return out.select(
         *df.columns,
@@ -90,12 +82,9 @@ def running_total(df: DataFrame, keys: list[str], slot: Slot, order: list, total
     )
 
 
-def carry_last(df: DataFrame, keys: list[str], slot: Slot, order: list[str], columns: list[str], hot: bool | None = None) -> DataFrame:
+def carry_last(df: DataFrame, keys: list[str], slot: Slot, order: list[str], columns: list[str]) -> DataFrame:
     """Replace each of ``columns`` by its last non-null value at or before the row."""
     others = [c for c in df.columns if c not in columns]
-    if not (is_hot(df, keys) if hot is None else hot):
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select(*others, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
     base = df.withColumn(SLOT, _slot(slot))
     per = [*keys, SLOT]
     w = W.partitionBy(*per).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -105,17 +94,14 @@ def carry_last(df: DataFrame, keys: list[str], slot: Slot, order: list[str], col
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_end_{c}") for c in columns])
     before = W.partitionBy(*keys).orderBy(SLOT).rowsBetween(W.unboundedPreceding, -1)
     prior = ends.select(*per, *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_pri_{c}") for c in columns])
-    return local.join(prior, per, "left").select(
+    return join_back(local, prior, per).select(
         *others, *[F.coalesce(F.col(f"_loc_{c}"), F.col(f"_pri_{c}")).alias(c) for c in columns])
 
 
 def neighbour(df: DataFrame, keys: list[str], slot: Slot, order: list[str], names: dict[str, str],
-              following: bool = False, hot: bool | None = None) -> DataFrame:
+              following: bool = False) -> DataFrame:
     """Add ``new = column of the previous row`` (or of the following one) for each ``new: column`` of ``names``."""
     step = F.lead if following else F.lag
-    if not (is_hot(df, keys) if hot is None else hot):
-        w = W.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[step(c).over(w).alias(n) for n, c in names.items()])
     base = df.withColumn(SLOT, _slot(slot))
     per = [*keys, SLOT]
     row = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
@@ -125,7 +111,7 @@ def neighbour(df: DataFrame, keys: list[str], slot: Slot, order: list[str], name
     ends = base.groupBy(*per).agg(edge(row, F.struct(*order)).alias("_edge"))
     far = ends.select(*per, step("_edge").over(W.partitionBy(*keys).orderBy(SLOT)).alias("_far"))
     near = F.coalesce(F.col("_near"), F.col("_far"))
-    return local.join(far, per, "left").select(*df.columns, *[near[n].alias(n) for n in names])
+    return join_back(local, far, per).select(*df.columns, *[near[n].alias(n) for n in names])
 
 
 def trailing_total(df: DataFrame, keys: list[str], at: str, totals: dict[str, Column], seconds: int,
@@ -141,21 +127,17 @@ def trailing_total(df: DataFrame, keys: list[str], at: str, totals: dict[str, Co
         *keys, (F.col(at) + F.lit(seconds * 1_000_000)).alias(at), *[(-F.col(n)).alias(n) for n in totals], F.lit(1).alias("_leaves"))
     phase = F.when(F.col("_leaves") == 1, 2 if inclusive else 0).otherwise(1)
     both = enter.unionByName(leave).withColumn("_phase", phase)
-    run = running_total(both, keys, time_slot(F.col(at), slot_seconds), [at, "_phase"], {f"_t_{n}": F.col(n) for n in totals},
-                        hot=is_hot(df, keys))
+    run = running_total(both, keys, time_slot(F.col(at), slot_seconds), [at, "_phase"], {f"_t_{n}": F.col(n) for n in totals})
     return run.where("_leaves = 0").select(*keys, at, *[F.col(f"_t_{n}").alias(n) for n in totals])
 
 
 def ranked(df: DataFrame, score: str, tie: str) -> DataFrame:
     """Add ``rank_no`` (1 = lowest score, ties by ``tie``, a unique number) and ``rows_all`` over the whole frame."""
-    if not is_hot(df, []):
-        w = W.orderBy(score, tie)
-        return df.select("*", F.row_number().over(w).cast("long").alias("rank_no"), F.count("*").over(W.partitionBy()).alias("rows_all"))
     scores = df.groupBy(score).agg(F.count("*").alias("_n"))
-    placed = running_total(scores, [], lambda: value_slot(df, score), [score], {"_upto": F.col("_n")}, whole=True, hot=True).select(
+    placed = running_total(scores, [], lambda: value_slot(df, score), [score], {"_upto": F.col("_n")}, whole=True).select(
         score, (F.col("_upto") - F.col("_n")).alias("_below"), F.col("_upto_all").alias("rows_all"))
     inner = running_total(df, [score], lambda: value_slot(df, tie), [tie], {"_place": F.lit(1)})
-    return inner.join(placed, score).select(*df.columns, (F.col("_below") + F.col("_place")).alias("rank_no"), "rows_all")
+    return join_back(inner, placed, [score]).select(*df.columns, (F.col("_below") + F.col("_place")).alias("rank_no"), "rows_all")
 
 
 def tile(rank: Column, rows: Column, n: int) -> Column:
@@ -174,6 +156,5 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right
     lt = left.select(*keys, F.col(left_at).alias("_t"), F.lit(1).alias("_side"), payload.alias("_left"))
     rt = right.groupBy(*keys, F.col(right_at).alias("_t")).agg(F.max(pick).alias("_hit")).withColumn("_side", F.lit(0))
     both = lt.unionByName(rt, allowMissingColumns=True)
-    hot = is_hot(left.select(*keys).unionAll(right.select(*keys)), keys)
-    found = carry_last(both, keys, time_slot(F.col("_t"), slot_seconds), ["_t", "_side"], ["_hit"], hot)
+    found = carry_last(both, keys, time_slot(F.col("_t"), slot_seconds), ["_t", "_side"], ["_hit"])
     return found.where("_side = 1").select("_left.*", F.col("_hit._at").alias(right_at), *[F.col(f"_hit.{v}").alias(v) for v in values])

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import is_hot, running_total, value_slot
+from voltlake.functions.ordered import join_back, running_total, value_slot
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated percentiles per key; one row per key with ``probs``' names as columns."""
     present = df.where(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    run = running_total(counts, keys, lambda: value_slot(present, value), [value], {"_upto": F.col("_n")}, whole=True, hot=is_hot(present, keys))
+    run = running_total(counts, keys, lambda: value_slot(present, value), [value], {"_upto": F.col("_n")}, whole=True)
     x, last, first = F.col(value).cast("double"), F.col("_upto"), F.col("_upto") - F.col("_n")
     parts, out = [], []
     for name, p in probs.items():
@@ -28,7 +28,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Add ``median``, ``mad`` and ``z`` = 0.6745 (x - median) / MAD per key; ``z`` is null where MAD is 0."""
     med = percentiles(df, keys, value, {"median": 0.5})
-    dev = df.join(med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    dev = join_back(df, med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     mad = percentiles(dev, keys, "_dev", {"mad": 0.5})
     z = F.when(F.col("mad") > 0, F.lit(0.6745) * (F.col(value) - F.col("median")) / F.col("mad"))
-    return dev.join(mad, keys).drop("_dev").withColumn("z", z)
+    return join_back(dev, mad, keys).drop("_dev").withColumn("z", z)

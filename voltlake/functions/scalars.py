@@ -37,10 +37,9 @@ def money_sum(c, scale: int = 2) -> Column:
     return F.sum(minor(c, scale)).cast("double") / float(10 ** scale)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work per row when the input arrives in few pieces; large inputs stay as they are."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if 2 * df.rdd.getNumPartitions() <= want else df
+def ratio(a, b) -> Column:
+    """Quotient as a double; null where the divisor is 0 or null."""
+    return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
 def r6(c) -> Column:

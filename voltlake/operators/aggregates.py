@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import money_sum, r6, share
+from voltlake.functions.scalars import money_sum, r6, ratio, share
 
 
 def monthly_usage(usage: DataFrame, key: str, ts: str) -> DataFrame:
@@ -47,7 +47,7 @@ def row_stats(df: DataFrame, ts: str, as_of: str) -> DataFrame:
     """Rows, completeness over all cells, last change and hours since then."""
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
     hours = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.max(ts).cast("timestamp"))) / F.lit(3.6e9)
-    return df.agg(F.count("*").alias("row_count"), r6(1 - nulls / (F.count("*") * len(df.columns))).alias("completeness"),
+    return df.agg(F.count("*").alias("row_count"), r6(1 - ratio(nulls, F.count("*") * len(df.columns))).alias("completeness"),
                   F.max(ts).alias("last_modified"), r6(hours).alias("freshness_hours"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions.quantiles import robust_z
-from voltlake.functions.scalars import r6
+from voltlake.functions.scalars import r6, ratio
 
 Z_LIMIT = 3.5
 # Precision, recall and false-positive targets of a detector.
@@ -33,10 +33,10 @@ def tune_threshold(df: DataFrame, score: str, label: str) -> DataFrame:
     from voltlake.operators.metrics import _by_score
 
     g = _by_score(df, [], score, label, descending=True)
-    p, r = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), F.col("cum_pos") / F.col("cum_pos_all")
-    fpr = F.col("cum_neg") / F.col("cum_neg_all")
+    p, r = ratio("cum_pos", F.col("cum_pos") + F.col("cum_neg")), ratio("cum_pos", "cum_pos_all")
+    fpr = ratio("cum_neg", "cum_neg_all")
     x = g.select(r6(-F.col("_s")).alias("threshold"), r6(p).alias("precision"), r6(r).alias("recall"), r6(fpr).alias("false_positive_rate"),
-                 r6(2 * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg") + F.col("cum_pos_all"))).alias("f1"))
+                 r6(ratio(2 * F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg") + F.col("cum_pos_all"))).alias("f1"))
     ok = (F.col("precision") >= MIN_PRECISION) & (F.col("recall") >= MIN_RECALL) & (F.col("false_positive_rate") <= MAX_FPR)
     x = x.withColumn("feasible", ok)
     return x.agg(F.max(F.struct("feasible", "f1", "threshold", "precision", "recall", "false_positive_rate")).alias("b")).select("b.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,18 +36,18 @@ def lineage_graph(events: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return lineage_nodes(events, order), edges
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, upstream: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = False) -> DataFrame:
     """Datasets reachable from each seed with their smallest depth; cycles end because a pair is visited once.
 
     One round per depth. Each round is checkpointed in the shared folder, so the plan does not grow with the depth
     and a lost executor does not restart the walk.
     """
     a, b = ("target", "source") if upstream else ("source", "target")
-    steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    steps = checkpointed(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
     frontier = seeds.select(F.col("id").alias("root"), F.col("id").alias("node"))
     seen = checkpointed(frontier.withColumn("depth", F.lit(0)))
     frontier = seen.select("root", "node")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):  # ends when nothing new is found
         found = frontier.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
         fresh = checkpointed(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():

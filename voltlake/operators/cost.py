@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions.ordered import running_total
 from voltlake.functions.quantiles import robust_z
-from voltlake.functions.scalars import first_reason, lookup, r6
+from voltlake.functions.scalars import first_reason, lookup, r6, ratio
 
 # Budget, ceilings and prices in GBP.
 DAILY_BUDGET, TASK_CEILING = 150.0, 50.0
@@ -58,7 +58,7 @@ def forecast(log: DataFrame, start: str, days: int = 30, flat: float = 0.01) ->
     daily = daily_spend(log).select(F.col("spend").cast("double").alias("y"), F.datediff("ds", F.lit(start).cast("date")).cast("double").alias("x"))
     m, sd, slope = F.avg("y"), F.stddev_samp("y"), F.regr_slope("y", "x")
     half = 1.96 * sd * days ** 0.5
-    trend = F.when(slope / m > flat, "rising").when(slope / m < -flat, "falling").otherwise("stable")
+    trend = F.when(ratio(slope, m) > flat, "rising").when(ratio(slope, m) < -flat, "falling").otherwise("stable")
     return daily.agg(F.lit(days).alias("forecast_days"), r6(m * days).alias("projected_total"), r6(m * days - half).alias("lo95"), r6(m * days + half).alias("hi95"), trend.alias("trend"))
 
 
@@ -118,7 +118,7 @@ def attribution(log: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     """Share of spend with a known owner. Spend is summed per key before the join."""
     s = log.groupBy(key).agg(F.sum("cost_gbp").alias("s")).join(owners.select(key, F.lit(1).alias("_o")), key, "left")
     known = F.sum(F.when(F.col("_o") == 1, F.col("s")))
-    share = known.cast("double") / F.sum("s").cast("double")
+    share = ratio(known, F.sum("s"))
     return s.agg(F.sum("s").cast("double").alias("spend"), known.cast("double").alias("attributed"), r6(share).alias("coverage"), (share >= 0.95).alias("met"))
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import is_hot, running_total, value_slot
+from voltlake.functions.ordered import running_total, value_slot
 from voltlake.functions.quantiles import percentiles
-from voltlake.functions.scalars import lookup, r6
+from voltlake.functions.scalars import lookup, r6, ratio
 
 # Thresholds (all exceeded strictly), severities, actions and alert levels.
 PSI_LIMIT, KS_LIMIT, PERFORMANCE_LIMIT = 0.2, 0.3, 0.10
@@ -29,18 +29,18 @@ def psi(df: DataFrame, features: list[str], current: Column) -> DataFrame:
     probs = {f"c{i}": i / 10 for i in range(1, 10)}
     cuts = percentiles(both.where("cur = 0"), ["feature"], "x", probs)
     # one row per feature of a declared schema, so the cut points are small whatever the row count
-    j = both.join(F.broadcast(cuts), "feature")
+    j = both.join(F.broadcast(cuts), "feature", "left")
     bin_ = sum((F.col("x") > F.col(c)).cast("int") for c in probs)
-    shares = j.groupBy("feature", bin_.alias("bin")).agg(F.count_if(F.expr("cur = 0")).alias("r"), F.count_if(F.expr("cur = 1")).alias("c"))
+    shares = j.groupBy("feature", F.coalesce(bin_, F.lit(-1)).alias("bin")).agg(F.count_if(F.expr("cur = 0")).alias("r"), F.count_if(F.expr("cur = 1")).alias("c"))
     wide = shares.groupBy("feature").agg(F.sum("r").alias("rs"), F.sum("c").alias("cs"), F.map_from_entries(F.collect_list(F.struct("bin", F.struct("r", "c")))).alias("m"))
 
     def term(i):
         cell = F.col("m")[i]
-        p = F.greatest(F.coalesce(cell["r"], F.lit(0)) / F.col("rs"), F.lit(FLOOR))
-        q = F.greatest(F.coalesce(cell["c"], F.lit(0)) / F.col("cs"), F.lit(FLOOR))
+        p = F.greatest(F.coalesce(cell["r"], F.lit(0)) / F.nullif("rs", F.lit(0)), F.lit(FLOOR))
+        q = F.greatest(F.coalesce(cell["c"], F.lit(0)) / F.nullif("cs", F.lit(0)), F.lit(FLOOR))
         return (q - p) * F.log(q / p)
 
-    value = sum((term(i) for i in range(10)), F.lit(0.0))
+    value = F.when((F.col("rs") > 0) & (F.col("cs") > 0), sum((term(i) for i in range(10)), F.lit(0.0)))  # null without rows on a side
     return wide.select("feature", r6(value).alias("psi"), (value > PSI_LIMIT).alias("drift"))
 
 
@@ -48,12 +48,12 @@ def ks(df: DataFrame, features: list[str], current: Column) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per feature, with its asymptotic significance."""
     both = long_form(df.withColumn("cur", current.cast("int")), features, "cur")
     g = both.groupBy("feature", "x").agg(F.count_if(F.expr("cur = 0")).alias("r"), F.count_if(F.expr("cur = 1")).alias("c"))
-    run = running_total(g, ["feature"], lambda: value_slot(both, "x"), ["x"], {"cr": F.col("r"), "cc": F.col("c")}, whole=True, hot=is_hot(both, ["feature"]))
-    d = F.max(F.abs(F.col("cr") / F.col("cr_all") - F.col("cc") / F.col("cc_all")))
+    run = running_total(g, ["feature"], lambda: value_slot(both, "x"), ["x"], {"cr": F.col("r"), "cc": F.col("c")}, whole=True)
+    d = F.max(F.abs(ratio("cr", "cr_all") - ratio("cc", "cc_all")))
     t = run.groupBy("feature").agg(d.alias("d"), F.max("cr_all").alias("n"), F.max("cc_all").alias("m"))
-    lam = F.col("d") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
+    lam = F.col("d") * F.sqrt(ratio(F.col("n") * F.col("m"), F.col("n") + F.col("m")))
     series = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 6)), F.lit(0.0))
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series))
+    p = F.when(F.col("d").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
     return t.select("feature", r6("d").alias("ks"), (F.col("d") > KS_LIMIT).alias("drift"), r6(p).alias("p_value"))
 
 
@@ -77,7 +77,7 @@ def model_drift(metrics: DataFrame, period: str = "period") -> DataFrame:
     """Compare the rows ``baseline`` and ``current`` of a metrics table with auc and calibration_error."""
     at = lambda p, c: F.max(F.when(F.col(period) == p, F.col(c)))
     g = metrics.agg(*[at(p, c).alias(f"{p}_{c}") for p in ("baseline", "current") for c in ("auc", "calibration_error")])
-    drop = (F.col("baseline_auc") - F.col("current_auc")) / F.col("baseline_auc") * 100
+    drop = ratio(F.col("baseline_auc") - F.col("current_auc"), "baseline_auc") * 100
     return g.select("*", r6(drop).alias("auc_drop_pct"), (drop > PERFORMANCE_LIMIT * 100).alias("drift_detected"), model_severity(drop).alias("drift_severity"))
 
 
@@ -92,7 +92,7 @@ def importance_shift(a: DataFrame, b: DataFrame) -> DataFrame:
         return d.select("feature", F.col("importance").alias(n), F.lit(1).alias("_k"))
     j = shares(a, "a").join(shares(b, "b").drop("_k"), "feature", "full_outer")
     s = j.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.collect_list(F.struct(F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))).alias("r"))
-    gap = F.aggregate("r", F.lit(0.0), lambda acc, r: acc + F.abs(r["a"] / F.col("sa") - r["b"] / F.col("sb")))
+    gap = F.aggregate("r", F.lit(0.0), lambda acc, r: acc + F.abs(F.try_divide(r["a"], F.col("sa")) - F.try_divide(r["b"], F.col("sb"))))
     return s.select((0.5 * gap).alias("shift"))
 
 

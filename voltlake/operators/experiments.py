@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import normal_cdf, r6
+from voltlake.functions.scalars import normal_cdf, r6, ratio
 
 Z_ALPHA, Z_POWER, ALPHA, MIN_POWER = 1.959964, 0.841621, 0.05, 0.80
 
@@ -42,18 +42,18 @@ def analyse(units: DataFrame, arm: str, hit: str, control) -> DataFrame:
     j = against_control(arm_rates(units, arm, hit), arm, control)
     pool = (F.col("x") + F.col("x0")) / (F.col("n") + F.col("n0"))
     diff = F.col("p") - F.col("p0")
-    z = diff / F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("n0")))
+    z = ratio(diff, F.sqrt(pool * (1 - pool) * (1 / F.col("n") + 1 / F.col("n0"))))
     pval = 2 * (1 - normal_cdf(F.abs(z)))
     half = Z_ALPHA * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n") + F.col("p0") * (1 - F.col("p0")) / F.col("n0"))
     win = F.when(pval < ALPHA, F.when(diff > 0, F.col(arm).cast("string")).otherwise(F.lit(str(control)))).otherwise("none")
-    return j.select(arm, r6("p0").alias("control_rate"), r6("p").alias("rate"), r6(diff / F.col("p0")).alias("lift"), r6(z).alias("z"), r6(pval).alias("p_value"),
+    return j.select(arm, r6("p0").alias("control_rate"), r6("p").alias("rate"), r6(ratio(diff, "p0")).alias("lift"), r6(z).alias("z"), r6(pval).alias("p_value"),
                     r6(diff - half).alias("ci_low"), r6(diff + half).alias("ci_high"), win.alias("winner"))
 
 
 def power(units: DataFrame, arm: str, hit: str, control) -> DataFrame:
     j = against_control(arm_rates(units, arm, hit), arm, control)
     se = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n") + F.col("p0") * (1 - F.col("p0")) / F.col("n0"))
-    pw = normal_cdf(F.abs(F.col("p") - F.col("p0")) / se - Z_ALPHA)
+    pw = normal_cdf(ratio(F.abs(F.col("p") - F.col("p0")), se) - Z_ALPHA)
     return j.select(arm, r6(pw).alias("power"), (pw >= MIN_POWER).alias("enough"))
 
 
@@ -63,7 +63,7 @@ def balance(df: DataFrame, arm: str, covariates: list[str], control) -> DataFram
     g = df.select(arm, F.inline(cells)).groupBy("covariate", arm).agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"))
     c = g.where(F.col(arm) == control).select("covariate", F.col("m").alias("m0"), F.col("s").alias("s0"))
     j = g.where(F.col(arm) != control).join(c, "covariate")
-    return j.select("covariate", arm, r6((F.col("m") - F.col("m0")) / F.sqrt((F.col("s") + F.col("s0")) / 2)).alias("smd"))
+    return j.select("covariate", arm, r6(ratio(F.col("m") - F.col("m0"), F.sqrt((F.col("s") + F.col("s0")) / 2))).alias("smd"))
 
 
 def stratified_effect(df: DataFrame, stratum: str, treated: str, outcome: str) -> DataFrame:
@@ -85,7 +85,7 @@ def propensity_effect(df: DataFrame, covariates: list[str], treated: str, outcom
     e = F.least(F.greatest(F.col("propensity"), F.lit(0.01)), F.lit(0.99))
     wt, wc = F.col(treated) / e, (1 - F.col(treated)) / (1 - e)
     y = F.col(outcome)
-    return scored.agg(F.count("*").alias("units"), (F.sum(wt * y) / F.sum(wt) - F.sum(wc * y) / F.sum(wc)).alias("effect"))
+    return scored.agg(F.count("*").alias("units"), (ratio(F.sum(wt * y), F.sum(wt)) - ratio(F.sum(wc * y), F.sum(wc))).alias("effect"))
 
 
 def uplift(units: DataFrame, stratum: str, arm: str, hit: str, control) -> DataFrame:
@@ -100,5 +100,5 @@ def canary(df: DataFrame, key: Column, share_of_ten: int, metrics: dict[str, Col
     at = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     out = g.agg(*[at(s, c).alias(f"{s}_{c}") for s in ("canary", "production") for c in ("n", *metrics)])
     return out.select(*[r6(c).alias(c) if not c.endswith("_n") else F.col(c) for c in out.columns],
-                      *[r6(F.col(f"canary_{m}") / F.col(f"production_{m}") - 1).alias(f"{m}_change") for m in metrics])
+                      *[r6(ratio(f"canary_{m}", f"production_{m}") - 1).alias(f"{m}_change") for m in metrics])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlake.functions.ordered import running_total
-from voltlake.functions.scalars import money, r6
+from voltlake.functions.scalars import money, r6, ratio
 from voltlake.operators.joins import enrich_geography, full_parity
 
 # The customer feature group and the type names it is declared with.
@@ -65,7 +65,7 @@ def backfill(daily: DataFrame, key: str, start: str, end: str) -> DataFrame:
     born = facts.groupBy(key).agg(F.min("ds").alias("born"))
     blank = born.select(key, F.explode(F.sequence("born", last)).alias("ds"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(28,2)").alias("v"))
     dense = facts.select(key, "ds", "n", F.col("v").cast("decimal(28,2)").alias("v")).unionByName(blank).groupBy(key, "ds").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    run = running_total(dense, [key], F.date_format("ds", "yyyyMM").cast("int"), ["ds"], {"n_events": F.col("n"), "total": F.col("v")}, hot=False)  # at most one row per day and key
+    run = running_total(dense, [key], F.date_format("ds", "yyyyMM").cast("int"), ["ds"], {"n_events": F.col("n"), "total": F.col("v")})  # at most one row per day and key
     return run.select(key, "ds", "n_events", "total")
 
 
@@ -77,7 +77,7 @@ def parity(offline: DataFrame, online_: DataFrame, keys: list[str], features: li
     """Share of (key, feature) cells equal in both stores."""
     j = full_parity(offline, online_, keys, features)
     equal = reduce(lambda a, b: a + b, [F.count_if(f"{c}_equal") for c in features])
-    s = equal / (F.count("*") * len(features))
+    s = ratio(equal, F.count("*") * len(features))
     return j.agg(F.count("*").alias("keys"), r6(s).alias("parity"), (s >= MIN_PARITY).alias("passed"), (s >= CONTRACT_PARITY).alias("contract_passed"))
 
 
@@ -88,7 +88,7 @@ def freshness(df: DataFrame, event_time: str, as_of: str) -> DataFrame:
 
 def completeness(df: DataFrame, features: list[str]) -> DataFrame:
     nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in features])
-    s = 1 - nulls / (F.count("*") * len(features))
+    s = 1 - ratio(nulls, F.count("*") * len(features))
     return df.agg(r6(s).alias("completeness"), (s >= MIN_COMPLETE).alias("passed"))
 
 

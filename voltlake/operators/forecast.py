@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import r6
+from voltlake.functions.scalars import r6, ratio
 
 WINDOW_DAYS = 28
 Z95 = 1.96
@@ -67,9 +67,9 @@ def metrics(bt: DataFrame, keys: list[str]) -> DataFrame:
     inside = F.abs(e) <= F.lit(Z_LEVELS[0.8]) * F.col("sd")
     return bt.groupBy(*keys).agg(
         F.count("*").alias("n"), r6(mae).alias("mae"), r6(F.sqrt(F.avg(e * e))).alias("rmse"),
-        r6(F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y"))))).alias("mape"), r6(F.sum(e) / F.sum("y")).alias("bias"),
+        r6(F.avg(F.when(F.col("y") != 0, F.abs(e / F.col("y"))))).alias("mape"), r6(ratio(F.sum(e), F.sum("y"))).alias("bias"),
         r6(F.avg(F.when(inside, 1.0).otherwise(0.0))).alias("coverage_80"), r6(F.avg(0.5 * F.abs(e))).alias("pinball_50"),
-        r6(1 - mae / naive).alias("skill"))
+        r6(1 - ratio(mae, naive)).alias("skill"))
 
 
 def fallback(forecast: DataFrame, series: DataFrame, keys: list[str], as_of: str) -> DataFrame:

@@ -34,14 +34,11 @@ def with_scenarios(df: DataFrame, scenarios: dict[str, float]) -> DataFrame:
     return df.select("*", F.inline(arr))
 
 
-def band(df: DataFrame, x: str, bands: DataFrame, lo: str, hi: str, name: str, broadcast_rows: int = 100) -> DataFrame:
+def band(df: DataFrame, x: str, bands: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
     """Band with ``lo <= x < hi`` of non-overlapping bands; null outside all of them.
 
-    A band table of checked size is broadcast. A larger one is merged in order with the rows and carried forward.
+    Bands are merged in order with the rows and carried forward, whatever their number.
     """
-    if bands.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        b = F.broadcast(bands.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), name))
-        return df.join(b, (F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi")), "left").drop("_lo", "_hi")
     edge = bands.select(F.col(lo).cast("double").alias("_x"), F.struct(F.col(hi).alias("hi"), F.col(name).alias("name")).alias("_b"), F.lit(0).alias("_side"))
     rows = df.select(F.col(x).cast("double").alias("_x"), F.struct(*df.columns).alias("_row"), F.lit(1).alias("_side"))
     both = rows.unionByName(edge, allowMissingColumns=True)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import is_hot, running_total, value_slot
-from voltlake.functions.scalars import r6, share
+from voltlake.functions.ordered import running_total, value_slot
+from voltlake.functions.scalars import r6, ratio, share
 
 # AUC from which a model counts as strong, and the AUC below which an alarm is raised.
 STRONG_AUC, ALARM_AUC, MAX_AUC_DROP = 0.80, 0.78, 0.05
@@ -19,7 +19,7 @@ def _by_score(df: DataFrame, keys: list[str], score: str, label: str, descending
     g = df.select(*keys, (-s if descending else s).alias("_s"), F.col(label).cast("int").alias("_y")).groupBy(*keys, "_s").agg(
         F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
     slot = lambda: value_slot(df.select((-s if descending else s).alias("_s")), "_s")
-    return running_total(g, keys, slot, ["_s"], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, whole=True, hot=is_hot(df, keys))
+    return running_total(g, keys, slot, ["_s"], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}, whole=True)
 
 
 def auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
@@ -36,8 +36,8 @@ def auc(df: DataFrame, score: str, label: str, keys: list[str] | None = None) ->
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """One point per distinct score: rates of positives and negatives scored at or above it."""
     g = _by_score(df, [], score, label, descending=True)
-    return g.select(r6(-F.col("_s")).alias("threshold"), r6(F.col("cum_pos") / F.col("cum_pos_all")).alias("tpr"),
-                    r6(F.col("cum_neg") / F.col("cum_neg_all")).alias("fpr"))
+    return g.select(r6(-F.col("_s")).alias("threshold"), r6(ratio("cum_pos", "cum_pos_all")).alias("tpr"),
+                    r6(ratio("cum_neg", "cum_neg_all")).alias("fpr"))
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:

@@ -175,10 +175,3 @@ def pass_rates(card: DataFrame) -> DataFrame:
     from voltlake.operators.aggregates import with_subtotals
 
     return with_subtotals(card, [["domain", "job"], ["domain"], []], ["domain", "job"], [F.count("*").alias("metrics"), r6(F.avg(F.col("passed").cast("double"))).alias("pass_rate")])
-
-
-def plan_estimate(plans: DataFrame, stages: str, costs: dict[str, float], seconds: dict[str, int]) -> DataFrame:
-    """Cost and duration of each plan, the sums over its stages; an unknown stage counts 0. Summed inside the row."""
-    c = F.aggregate(F.transform(stages, lambda s: lookup(s, costs, 0.0)), F.lit(0.0), lambda a, v: a + v)
-    d = F.aggregate(F.transform(stages, lambda s: lookup(s, seconds, 0)), F.lit(0), lambda a, v: a + v)
-    return plans.withColumn("total_cost_gbp", r6(c)).withColumn("total_seconds", d)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import r6
+from voltlake.functions.scalars import r6, ratio
 
 GRID = tuple(round(0.80 + 0.05 * i, 2) for i in range(9))
 COST_SHARE, ELASTICITY, STANDING_SHARE = 0.7, -1.5, 0.05
@@ -32,7 +32,7 @@ def best(cands: DataFrame, strategy: str) -> DataFrame:
     g = cands.where(allowed).groupBy("segment").agg(F.max(row).alias("b"))
     return g.select(
         "segment", F.lit(strategy).alias("strategy"), F.round(F.col("b.price"), 4).alias("unit_rate"), F.round(F.col("b.p0") * STANDING_SHARE, 4).alias("standing_charge"),
-        r6(F.col("b.margin") / F.col("b.margin0") - 1).alias("margin_impact"), r6(F.col("b.demand") / F.col("b.q0") - 1).alias("demand_impact"),
+        r6(ratio("b.margin", "b.margin0") - 1).alias("margin_impact"), r6(ratio("b.demand", "b.q0") - 1).alias("demand_impact"),
         (-F.col("b.nf")).alias("factor"))
 
 
@@ -56,5 +56,5 @@ def kpis(cands: DataFrame, chosen: DataFrame) -> DataFrame:
     g = new.groupBy("segment").agg(
         F.max(F.when(F.col("factor") == F.col("pick"), F.col("revenue"))).alias("new"), F.max(F.col("p0") * F.col("q0")).alias("now"),
         F.avg("margin").alias("m"), F.stddev_samp("margin").alias("sd"))
-    up, rar = F.sum("new") / F.sum("now") - 1, F.sum("m") / F.sum("sd")
+    up, rar = ratio(F.sum("new"), F.sum("now")) - 1, ratio(F.sum("m"), F.sum("sd"))
     return g.agg(r6(up).alias("revenue_improvement"), r6(rar).alias("risk_adjusted_return"), (up >= 0.02).alias("revenue_ok"), (rar >= 1.5).alias("return_ok"))

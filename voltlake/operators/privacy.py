@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions.quantiles import robust_z
-from voltlake.functions.scalars import day_text, lookup, spread
+from voltlake.functions.scalars import day_text, lookup
 
 # Words that mark a column name, the three pattern sets and the severities.
 PII_WORDS = (
@@ -44,7 +44,7 @@ def name_is_pii(name: Column) -> Column:
 
 def scan_values(df: DataFrame, fields: list[str], patterns: dict[str, str]) -> DataFrame:
     """Matches per field and type. Counts are summed on the map side in one pass over the text; no text is shuffled."""
-    sums = spread(df.select(*fields)).agg(*[
+    sums = df.select(*fields).agg(*[
         F.coalesce(F.sum(F.regexp_count(F.col(f), F.lit(p))), F.lit(0)).alias(f"{f}|{k}") for f in fields for k, p in patterns.items()])
     cells = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(k).alias("type"), F.col(f"`{f}|{k}`").alias("count")) for f in fields for k in patterns])

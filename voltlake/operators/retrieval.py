@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import r6, spread
+from voltlake.functions.scalars import r6, ratio
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -20,7 +19,7 @@ def tokens(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, doc_id: str, text: str, terms: list[str] | None = None) -> DataFrame:
     """Count of each term (or of the given ones) per document, reduced before the shuffle."""
-    words = spread(docs.select(doc_id, text)).select(doc_id, F.explode(tokens(F.col(text))).alias("term"))
+    words = docs.select(doc_id, text).select(doc_id, F.explode(tokens(F.col(text))).alias("term"))
     if terms is not None:
         words = words.where(F.col("term").isin(terms))
     return words.groupBy("term", doc_id).agg(F.count("*").alias("tf"))
@@ -43,7 +42,7 @@ def search(docs: DataFrame, doc_id: str, text: str, query: str, top_k: int = 5)
     Only words of the query leave the scan. The table of document counts has one row per word of the query, so it is
     broadcast; each task keeps its best ``top_k`` documents.
     """
-    terms = list(dict.fromkeys(w for w in re.split(r"\W+", query.lower()) if w))
+    terms = list(docs.sparkSession.range(1).select(F.array_distinct(tokens(F.lit(query)))).first()[0])  # split as the documents are
     tf = term_counts(docs, doc_id, text, terms)
     n = docs.count()  # from the footers of the files
     weight = F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df"))
@@ -61,20 +60,20 @@ def nearest(vectors: DataFrame, vec_id: str, vector: str, query: list[float], to
     return vectors.select(vec_id, F.round(dot(F.col(vector), q), 5).alias("score")).orderBy(F.desc("score"), vec_id).limit(top_k)
 
 
-def relevance(vectors: DataFrame, vec_id: str, vector: str, label: str, k: int, max_labels: int = 1000) -> DataFrame:
+def relevance(vectors: DataFrame, vec_id: str, vector: str, label: str, k: int, block: int = 256) -> DataFrame:
     """Precision and nDCG at k of a search with each label's mean vector; rows of the same label are relevant.
 
-    The label means are few (checked) and are broadcast as one array; every row scores against all of them in place,
-    and the rank filter keeps k rows per label on the map side.
+    The label means are searched in blocks of about ``block`` labels: a row meets each block once and scores against it in place, and the rank
+    filter keeps k rows per label on the map side.
     """
     cells = vectors.select(label, F.posexplode(vector).alias("pos", "x"))
     mean = cells.groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = mean.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
-    if means.limit(max_labels + 1).count() > max_labels:
-        raise ValueError("too many labels to score every row against each of them")
-    table = means.agg(F.collect_list(F.struct(F.col(label).alias("q"), "c")).alias("_all")).withColumn("_k", F.lit(1))
-    sims = vectors.withColumn("_k", F.lit(1)).join(F.broadcast(table), "_k").select(vec_id, label, vector, F.inline("_all")).select(
-        "q", vec_id, (F.col(label) == F.col("q")).cast("int").alias("rel"), dot(F.col(vector), F.col("c")).alias("s"))
+    blocks = -(-max(1, vectors.select(label).distinct().count()) // block)
+    table = means.groupBy(F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct(F.col(label).alias("q"), "c")).alias("_all"))
+    rows = vectors.select(vec_id, label, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    sims = rows.join(table, "_b").select(vec_id, label, vector, F.inline("_all")).select(
+        "q", vec_id, F.col(label).eqNullSafe(F.col("q")).cast("int").alias("rel"), dot(F.col(vector), F.col("c")).alias("s"))
     w = W.partitionBy("q").orderBy(F.desc("s"), vec_id)
     top = sims.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     ideal = sum(1.0 / math.log2(i + 1) for i in range(1, k + 1))
@@ -91,7 +90,7 @@ def index_freshness(source: DataFrame, indexed: DataFrame, key: str, ts: str) ->
     """Share of the source in the index, and hours by which the index lags."""
     flag = source.select(key, ts).join(indexed.select(key).withColumn("_i", F.lit(1)), key, "left")
     lag = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.max(F.when(F.col("_i") == 1, F.col(ts))).cast("timestamp"))) / F.lit(3.6e9)
-    share = F.count("_i") / F.count("*")
+    share = ratio(F.count("_i"), F.count("*"))
     return flag.agg(F.count("*").alias("documents"), F.count("_i").alias("indexed"), r6(share).alias("coverage"), r6(lag).alias("lag_hours"),
                     ((share >= 0.95) & (lag <= 24)).alias("met"))
 

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voltlake.functions.ordered import is_hot, neighbour, ranked, running_total, tile, time_slot, trailing_total
+from voltlake.functions.ordered import neighbour, ranked, running_total, tile, time_slot, trailing_total
+from voltlake.functions.scalars import ratio
 from voltlake.tables import micros
 
 
 def scd2(history: DataFrame, key: str, attrs: list[str], ts: str, seq: str, slot_seconds: int = 30 * 86400) -> DataFrame:
     """Validity intervals of a slowly changing dimension, type 2: one row per change of ``attrs``."""
-    hot = is_hot(history, [key])
     at = time_slot(micros(ts), slot_seconds)
-    prev = neighbour(history, [key], at, [ts, seq], {**{f"_p_{a}": a for a in attrs}, "_p_seq": seq}, hot=hot)
+    prev = neighbour(history, [key], at, [ts, seq], {**{f"_p_{a}": a for a in attrs}, "_p_seq": seq})
     same = F.col("_p_seq").isNotNull()
     for a in attrs:
         same = same & F.col(a).eqNullSafe(F.col(f"_p_{a}"))
     changes = prev.where(~same).select(*history.columns)
-    nxt = neighbour(changes, [key], at, [ts, seq], {"valid_to": ts}, following=True, hot=hot)
+    nxt = neighbour(changes, [key], at, [ts, seq], {"valid_to": ts}, following=True)
     return nxt.select(key, *attrs, F.col(ts).alias("valid_from"), seq, "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
@@ -44,9 +44,9 @@ def last_n(df: DataFrame, key: str, order: str, n: int | None) -> DataFrame:
 
 def order_features(orders: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
     """Days since the previous order, spend of the previous order and order number, per order."""
-    hot, slot = is_hot(orders, [key]), time_slot(micros(ts), 90 * 86400)
-    prev = neighbour(orders, [key], slot, [ts, seq], {"prev_ts": ts, "prev_total": "o_totalprice"}, hot=hot)
-    numbered = running_total(prev, [key], slot, [ts, seq], {"order_no": F.lit(1)}, hot=hot)
+    slot = time_slot(micros(ts), 90 * 86400)
+    prev = neighbour(orders, [key], slot, [ts, seq], {"prev_ts": ts, "prev_total": "o_totalprice"})
+    numbered = running_total(prev, [key], slot, [ts, seq], {"order_no": F.lit(1)})
     return numbered.withColumn("gap_days", F.datediff(F.col(ts).cast("date"), F.col("prev_ts").cast("date")))
 
 
@@ -55,11 +55,11 @@ def lift_deciles(df: DataFrame, score: str, label: str, key: str, n: int = 10) -
     r = ranked(df.select((-F.col(score)).alias("_s"), label, key), "_s", key)
     d = r.groupBy(tile(F.col("rank_no"), F.col("rows_all"), n).alias("decile")).agg(F.count("*").alias("n"), F.sum(label).alias("positives"))
     up, every = W.orderBy("decile").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()  # one row per decile
-    rate = F.col("positives") / F.col("n")
-    base = F.sum("positives").over(every) / F.sum("n").over(every)
+    rate = ratio("positives", "n")
+    base = ratio(F.sum("positives").over(every), F.sum("n").over(every))
     return d.select("decile", "n", "positives", F.round(rate, 6).alias("response"),
-                    F.round(F.sum("positives").over(up) / F.sum("positives").over(every), 6).alias("gain"),
-                    F.round(rate / base, 6).alias("lift"))
+                    F.round(ratio(F.sum("positives").over(up), F.sum("positives").over(every)), 6).alias("gain"),
+                    F.round(ratio(rate, base), 6).alias("lift"))
 
 
 def sliding(df: DataFrame, keys: list[str], ts: str, value: str, seconds: int) -> DataFrame:

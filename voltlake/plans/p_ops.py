@@ -12,23 +12,14 @@ from voltlake.plans.registry import query
 from voltlake.session import scratch
 from voltlake.tables import micros
 
-# Expected cost (GBP) and duration (s) of each pipeline stage, the stages of each task, and the ceilings.
-STAGES = {
-    "supervisor-director": (0.5, 10), "intake-triage": (0.1, 5), "data-cataloguer": (0.5, 30), "data-contracts-quality": (1.0, 60),
-    "ingestion-orchestrator": (2.0, 120), "etl-transformer": (3.0, 180), "feature-store-manager": (2.0, 90), "experiment-planner": (0.2, 15),
-    "churn-forecast-modeler": (15.0, 300), "acquisition-forecast-modeler": (12.0, 240), "load-consumption-forecast": (18.0, 360),
-    "pricing-tariff-optimizer": (1.5, 30), "portfolio-risk-modeler": (3.0, 60), "trial-design-causal-inference": (1.0, 20),
-    "anomaly-fraud-detector": (2.5, 90), "customer-segmentation-clv": (4.0, 120), "prompt-model-evaluator": (1.5, 45), "mlops-deployer": (1.0, 180),
-    "monitoring-drift-watcher": (1.5, 60), "crosscloud-trainer": (15.0, 2700), "viz-storyteller": (0.8, 90), "human-loop-coordinator": (0.1, 5),
-    "compliance-privacy-auditor": (0.5, 30), "cost-optimizer": (0.2, 15), "knowledge-manager": (0.3, 20),
-}
-TASK_STAGES = {
-    "daily_churn_pipeline": ("ingestion-orchestrator", "data-contracts-quality", "etl-transformer", "feature-store-manager", "churn-forecast-modeler", "viz-storyteller"),
-    "forecast_load": ("ingestion-orchestrator", "load-consumption-forecast", "viz-storyteller"),
-    "train_acquisition": ("experiment-planner", "acquisition-forecast-modeler", "mlops-deployer"),
-    "detect_fraud": ("anomaly-fraud-detector", "viz-storyteller"),
-}
-OTHER_STAGES = ("supervisor-director", "intake-triage")
+# The names a policy knows, and the ceilings.
+AGENTS = (
+    "supervisor-director", "intake-triage", "data-cataloguer", "data-contracts-quality", "ingestion-orchestrator", "etl-transformer",
+    "feature-store-manager", "experiment-planner", "churn-forecast-modeler", "acquisition-forecast-modeler", "load-consumption-forecast",
+    "pricing-tariff-optimizer", "portfolio-risk-modeler", "trial-design-causal-inference", "anomaly-fraud-detector", "customer-segmentation-clv",
+    "prompt-model-evaluator", "mlops-deployer", "monitoring-drift-watcher", "crosscloud-trainer", "viz-storyteller", "human-loop-coordinator",
+    "compliance-privacy-auditor", "cost-optimizer", "knowledge-manager",
+)
 CEILINGS = {0: 8.0, 1: 10.0, 2: 12.0, 3: 15.0, 4: 20.0}
 BUDGET = 14_000.0
 
@@ -188,21 +179,6 @@ def ops_triage(t):
     return O.triage(request_texts(t), "request").drop("request")
 
 
-@query("ops_plan_estimate", f"""with r as (select conv_id, turn, conv_id % 9 as i from conversations where role = 'user')
-    select conv_id, turn, case when i in (0, 7) then 23.8e0 when i = 1 then 20.8e0 when i = 4 then 13.2e0 when i = 3 then 3.3e0 else 0.6e0 end as total_cost_gbp,
-      case when i in (0, 7) then 840 when i = 1 then 570 when i = 4 then 435 when i = 3 then 180 else 15 end as total_seconds from r""")
-def ops_plan_estimate(t):
-    tri = O.triage(request_texts(t), "request")
-    arr = lambda names: F.array(*[F.lit(n) for n in names])
-    stages = None
-    for task, names in TASK_STAGES.items():
-        hit = F.col("task") == task
-        stages = F.when(hit, arr(names)) if stages is None else stages.when(hit, arr(names))
-    plans = tri.select("conv_id", "turn", stages.otherwise(arr(OTHER_STAGES)).alias("stages"))
-    est = O.plan_estimate(plans, "stages", {k: v[0] for k, v in STAGES.items()}, {k: v[1] for k, v in STAGES.items()})
-    return est.drop("stages")
-
-
 @query("ops_request_gate", """with a as (select *, count(*) over (partition by user_id order by ts range between interval 6 hour preceding and current row) as active from events)
     select event_id, case when event_type = 'view' then 'Missing business justification' when value > 50 then concat('Estimated cost ', cast(value as varchar), ' exceeds limit of £50')
       when active >= 5 then 'Maximum concurrent tasks (5) reached' else 'All validations passed' end as reason from a""")
@@ -336,7 +312,7 @@ AGENTS = ["etl-transformer", "pricing-tariff-optimizer", "viz-storyteller", "unl
 def ops_policy_gate(t):
     s = t.events.select("event_id", pick(AGENTS).alias("agent"), (F.col("value") * 2).alias("cost"), (F.col("event_id") % 5).alias("retries"))
     a, c, r = F.col("agent"), F.col("cost"), F.col("retries")
-    return s.select("event_id", "agent", O.policy_gate(a, c, r, F.lit(3), 150.0, True).alias("reason"), O.director_gate(a, sorted(STAGES), c, r, F.lit(3)).alias("director_reason"))
+    return s.select("event_id", "agent", O.policy_gate(a, c, r, F.lit(3), 150.0, True).alias("reason"), O.director_gate(a, sorted(AGENTS), c, r, F.lit(3)).alias("director_reason"))
 
 
 # Declared targets of the contracts this library can measure.

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from voltlake.functions.scalars import r6, spread, ts_text
+from voltlake.functions.scalars import r6, ts_text
 from voltlake.operators import catalog as K
 from voltlake.operators import governance as G
 from voltlake.operators import privacy as P
@@ -58,8 +58,8 @@ def pii_violations(t):
       where {' or '.join(f"regexp_matches(text, '{p}')" for p in P.GUARD_PATTERNS.values())}
     union all select 'pages', page_id from pages where {' or '.join(f"regexp_matches(html, '{p}')" for p in P.GUARD_PATTERNS.values())}""")
 def pii_row_guard(t):
-    d = spread(t.documents.select("doc_id", "text")).where(P.has_pii(F.col("text"))).select(F.lit("documents").alias("dataset"), F.col("doc_id").alias("id"))
-    return d.unionByName(spread(t.pages.select("page_id", "html")).where(P.has_pii(F.col("html"))).select(F.lit("pages").alias("dataset"), F.col("page_id").alias("id")))
+    d = t.documents.select("doc_id", "text").where(P.has_pii(F.col("text"))).select(F.lit("documents").alias("dataset"), F.col("doc_id").alias("id"))
+    return d.unionByName(t.pages.select("page_id", "html").where(P.has_pii(F.col("html"))).select(F.lit("pages").alias("dataset"), F.col("page_id").alias("id")))
 
 
 def mask_sql(c):
@@ -68,7 +68,7 @@ def mask_sql(c):
 
 @query("pii_mask", f"select doc_id, sha256({mask_sql('text')}) as masked_sha, len({mask_sql('text')}) as masked_len from documents")
 def pii_mask(t):
-    m = spread(t.documents.select("doc_id", "text")).select("doc_id", P.mask(F.col("text")).alias("m"))
+    m = t.documents.select("doc_id", "text").select("doc_id", P.mask(F.col("text")).alias("m"))
     return m.select("doc_id", F.sha2("m", 256).alias("masked_sha"), F.length("m").cast("long").alias("masked_len"))
 
 

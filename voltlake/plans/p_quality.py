@@ -36,7 +36,7 @@ def dq_regex(t):
 
 @query("dq_row_count", res("row_count", "*", "case when count(*) between 1 and 10000000 then 0 else 1 end", "lineitem"))
 def dq_row_count(t):
-    return Q.validate(t.lineitem, Q.suite_for("usage_feed"))
+    return Q.validate(t.lineitem, Q.suite_for("usage_feed", *Q.GENERIC_BOUNDS))
 
 
 def customer_contract(t):

@@ -148,7 +148,7 @@ def src_kv_update(t):
     return kv.update(t.customer.select("c_custkey", "c_name", "c_acctbal"), ch.unionByName(new), ["c_custkey"], ["c_acctbal"])
 
 
-@query("src_kv_query", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' order by o_orderkey limit 100")
+@query("src_kv_query", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F' order by o_orderkey")
 def src_kv_query(t):
     return kv.query(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"), F.col("o_orderstatus") == "F", "o_orderkey").drop("o_orderstatus")
 

@@ -122,6 +122,6 @@ def st_online_features(t):
 @query("st_dq_gate")
 def st_dq_gate(t):
     out = scratch(t.spark, "gate")
-    suite = [Q.Expect("not_null", "event_id"), Q.Expect("between", "value", 0, 400), Q.Expect("row_count", low=1, high=10_000_000)]
+    suite = [Q.Expect("not_null", "event_id"), Q.Expect("between", "value", 0, 400), Q.Expect("row_count", low=1)]
     J.quality_gate(arrivals(t, out), suite, f"{out}/good", f"{out}/blocked", f"{out}/results", f"{out}/cp")
     return t.spark.read.parquet(f"{out}/results")

@@ -52,10 +52,12 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
-def list_objects(spark: SparkSession, root: str, prefix: str = "", max_keys: int = 1000) -> DataFrame:
-    """Keys below ``root`` that start with ``prefix``, in order, at most ``max_keys``."""
+def list_objects(spark: SparkSession, root: str, prefix: str = "", max_keys: int | None = None, after: str | None = None) -> DataFrame:
+    """Keys below ``root`` that start with ``prefix``, in order: all, or a page of ``max_keys`` behind the key ``after``."""
     full = F.element_at(F.split("path", F.lit(root.rstrip("/") + "/"), 2), 2)
-    return listing(spark, root).select(full.alias("key"), "length").where(F.col("key").startswith(prefix)).orderBy("key").limit(max_keys)
+    keys = listing(spark, root).select(full.alias("key"), "length").where(F.col("key").startswith(prefix)).orderBy("key")
+    keys = keys if after is None else keys.where(F.col("key") > after)
+    return keys if max_keys is None else keys.limit(max_keys)
 
 
 def exists(keys: DataFrame, objects: DataFrame) -> DataFrame:
@@ -101,8 +103,8 @@ def dead_letter(raw: DataFrame, column: str, schema: str) -> tuple[DataFrame, Da
     parsed = raw.withColumn("_p", F.from_json(column, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_p._bad").isNotNull() | F.col(column).isNull()
     keep = [c for c in raw.columns if c != column]
-    names = [f.split()[0] for f in schema.split(",")]
-    return parsed.where(~bad).select(*keep, *[F.col(f"_p.{n}").alias(n) for n in names]), parsed.where(bad).select(*raw.columns)
+    names = T.StructType.fromDDL(schema).fieldNames()
+    return parsed.where(~bad).select(*keep, *[F.col("_p").getField(n).alias(n) for n in names]), parsed.where(bad).select(*raw.columns)
 
 
 def quarantine(df: DataFrame, bad: Column, clean_path: str, bad_path: str) -> None:

@@ -31,6 +31,7 @@ def update(table: DataFrame, changes: DataFrame, keys: list[str], fields: list[s
     return j.select(*[value(f) if f in fields else F.col(f) for f in table.columns])
 
 
-def query(table: DataFrame, condition: Column, range_key: str, limit: int = 100) -> DataFrame:
-    """Rows of a key condition in range-key order, at most ``limit``; each task keeps only its first rows."""
-    return table.where(condition).orderBy(range_key).limit(limit)
+def query(table: DataFrame, condition: Column, order_key: str, limit: int | None = None, after=None) -> DataFrame:
+    """Rows of a key condition in the order of the range key or of another index: all, or ``limit`` rows behind ``after``."""
+    rows = table.where(condition if after is None else condition & (F.col(order_key) > F.lit(after))).orderBy(order_key)
+    return rows if limit is None else rows.limit(limit)

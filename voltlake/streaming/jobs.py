@@ -89,19 +89,19 @@ def budget_alerts(stream: DataFrame, cost: str, budget: float, path: str, checkp
 def recurring_errors(stream: DataFrame, keys: list[str], store: str, path: str, checkpoint: str, hours: int = 24, threshold: int = 3, ts: str = "ts"):
     """Errors that are the third or later of their kind within the trailing span.
 
-    No per-key state: each batch is stored by day, and the days it touches (and the day after) are counted again with
+    No per-key state: each batch is stored by day, and the days its span reaches are counted again with
     the skew-safe trailing count and replaced. Late and repeated batches lead to the same result.
     """
 
     def sink(df: DataFrame, i: int) -> None:
         spark = df.sparkSession
         _replace(df.select(*keys, ts, ds_text(ts).alias("ds"), F.lit(i).alias("batch")), store, ["ds", "batch"])
-        touched = df.select(F.explode(F.array(F.to_date(ts), F.date_add(F.to_date(ts), 1))).alias("d")).distinct()
+        back = (hours + 23) // 24
+        touched = df.where(F.col(ts).isNotNull()).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(back)), lambda n: F.date_add(F.to_date(ts), n))).alias("d")).distinct()
         days = [r[0] for r in touched.collect()]  # days of one batch
         if not days:
             return
         names = {d.strftime("%Y%m%d") for d in days}
-        back = (hours + 23) // 24
         need = {p for d in days for p in _days_before(d, back)}
         hist = spark.read.option("basePath", store).parquet(store).where(F.col("ds").cast("string").isin(sorted(need)))
         freq = O.error_frequency(hist.select(*keys, ts), keys, ts, hours, threshold).where("recurring")
