@@ -14,6 +14,7 @@ out, which changes no component.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 128
 TREES = 4
-LEAF = 48
+LEAF = 512
 FIRST_LEVEL = 2
-MAX_LEVEL = 12
+MAX_LEVEL = 8
 SLACK = 0.14  # estimates this far below the threshold still go to the exact check, four deviations and more
 
 _SPACE = table(b" \t\n\r\x0b\x0c")
@@ -123,33 +124,50 @@ def _branch(held: DataFrame) -> DataFrame:
     return held.select("node", "c", "label", "sketch").mapInArrow(run, "node long, c binary, label binary").dropDuplicates(["node", "c"])
 
 
-def _likely(classes: DataFrame, groups: DataFrame, percent: float) -> DataFrame:
-    """Of groups of classes, the parts whose tokens and set sizes allow a link; each part once, however many nodes hold it."""
-    least = percent / 100 - SLACK
+def _likely(classes: DataFrame, groups: DataFrame, percent: float, labels: DataFrame | None = None) -> DataFrame:
+    """Of groups (g, c) of classes, what their tokens and set sizes allow to be linked, once, however many nodes hold it.
+
+    Without ``labels`` the pairs (g, members) of a spanning forest of the closest estimates. With ``labels`` (node, label) the parts
+    that pairs of different labels connect, (g, members, labels).
+    """
+    least, labelled = percent / 100 - SLACK, labels is not None
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for rows in batches:
-            parts = set()
+            found: dict[tuple, list | None] = {}
             for group in rows.column("rows").to_pylist():
                 group.sort(key=lambda r: r["c"])
                 tokens = np.stack([np.frombuffer(r["sketch"], dtype=np.uint32) for r in group])
                 size = np.array([r["n"] for r in group])
-                parent = list(range(len(group)))
+                own = np.unique([r["label"] for r in group], return_inverse=True)[1] if labelled else np.arange(len(group))
+                pairs, weight = [], []
                 for i in range(len(group) - 1):
-                    near = (tokens[i + 1:] == tokens[i]).mean(axis=1) >= least
-                    near &= 100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i])
-                    for j in (np.flatnonzero(near) + i + 1).tolist():
-                        parent[_root(parent, j)] = _root(parent, i)
-                held: dict[int, list] = {}
-                for i, r in enumerate(group):
-                    held.setdefault(_root(parent, i), []).append(r["c"])
-                parts |= {tuple(g) for g in held.values() if len(g) > 1}
-            yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in parts], pa.list_(pa.binary()))], ["members"])
-
-    held = groups.join(classes.select("c", "n", "sketch"), "c").groupBy("g").agg(F.collect_list(F.struct("c", "n", "sketch")).alias("rows"))
-    return held.mapInArrow(run, "members array<binary>").withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"])
+                    may = (100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i])) & (own[i + 1:] != own[i])
+                    j = np.flatnonzero(may) + i + 1
+                    near = (tokens[j] == tokens[i]).mean(axis=1)
+                    pairs += [(i, int(k)) for k in j[near >= least]]
+                    weight += near[near >= least].tolist()
+                parent = list(range(len(group)))
+                for _, (i, j) in sorted(zip((-w for w in weight), pairs, strict=True)):
+                    ri, rj = _root(parent, i), _root(parent, j)
+                    if ri != rj:
+                        parent[rj] = ri
+                        if not labelled:
+                            found[(group[i]["c"], group[j]["c"])] = None
+                if labelled:
+                    held: dict[int, list] = {}
+                    for i, r in enumerate(group):
+                        held.setdefault(_root(parent, i), []).append(r)
+                    found.update({tuple(r["c"] for r in p): [r["label"] for r in p] for p in held.values() if len(p) > 1})
+            yield pa.RecordBatch.from_arrays([pa.array([list(m) for m in found], pa.list_(pa.binary())), pa.array(list(found.values()), pa.list_(pa.binary()))], ["members", "labels"])
+
+    held = groups.join(classes.select("c", "n", "sketch"), "c")
+    held = held.withColumn("label", F.col("c")) if labels is None else held.join(labels, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c"))
+    held = held.groupBy("g").agg(F.collect_list(F.struct("c", "n", "sketch", "label")).alias("rows"))
+    made = held.mapInArrow(run, "members array<binary>, labels array<binary>")
+    return made.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"])
 
 
 def _root(parent: list[int], i: int) -> int:
@@ -159,8 +177,11 @@ def _root(parent: list[int], i: int) -> int:
     return i
 
 
-def _confirmed(parts: DataFrame, texts: DataFrame, percent: float, n: int) -> DataFrame:
-    """Links (a, b) that join the members of each part as far as their full sets do."""
+def _confirmed(parts: DataFrame, texts: DataFrame, percent: float, n: int, level: int = 0) -> DataFrame:
+    """Links (a, b) of each part (g, members, labels): a is the first, in the order of the level, of the members its full sets connect, b another one.
+
+    Members of one label are connected beforehand and not compared.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -168,9 +189,12 @@ def _confirmed(parts: DataFrame, texts: DataFrame, percent: float, n: int) -> Da
         for rows in batches:
             a, b = [], []
             for group in rows.column("rows").to_pylist():
-                group.sort(key=lambda r: r["c"])
+                group.sort(key=lambda r: _rank(level, r["c"]))
                 sets = [shingles(r["text"], n) for r in group]
-                parent = list(range(len(group)))
+                parent, first = list(range(len(group))), {}
+                for i, r in enumerate(group):
+                    parent[i] = first.setdefault(r["label"] or r["c"], i)
+                known = list(parent)
                 for i in range(len(group)):
                     for j in range(i + 1, len(group)):
                         ri, rj = _root(parent, i), _root(parent, j)
@@ -178,18 +202,26 @@ def _confirmed(parts: DataFrame, texts: DataFrame, percent: float, n: int) -> Da
                             continue
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                         if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                            parent[rj] = ri
-                            a.append(group[i]["c"])
-                            b.append(group[j]["c"])
+                            parent[max(ri, rj)] = min(ri, rj)
+                for i in range(len(group)):
+                    if (r := _root(parent, i)) != _root(known, i):
+                        a.append(group[r]["c"])
+                        b.append(group[i]["c"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    held = parts.select("g", F.explode("members").alias("c")).join(texts, "c").groupBy("g").agg(F.collect_list(F.struct("c", "text")).alias("rows"))
+    members = F.arrays_zip("members", F.coalesce("labels", F.array_repeat(F.lit(None).cast("binary"), F.size("members"))).alias("labels"))
+    each = parts.select("g", F.explode(members).alias("m")).select("g", F.col("m.members").alias("c"), F.col("m.labels").alias("label"))
+    held = each.join(texts, "c").groupBy("g").agg(F.collect_list(F.struct("c", "text", "label")).alias("rows"))
     return held.mapInArrow(run, "a binary, b binary")
 
 
-def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, text) of the classes named: one text each."""
-    need = wanted.select("c").distinct().join(classes.select("c", "tid"), "c")
+def _rank(level: int, c: bytes) -> bytes:
+    return hashlib.md5(bytes([level]) + c).digest()
+
+
+def _texts(docs: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(c, text) of the members of the parts: one text each."""
+    need = parts.select(F.explode("members").alias("c")).distinct().join(classes.select("c", "tid"), "c")
     return docs.select(text_key(), "text").join(need, "tid").groupBy("c").agg(F.first("text").alias("text"))
 
 
@@ -198,37 +230,46 @@ def links(docs: DataFrame, classes: DataFrame, percent: float = PERCENT, n: int
     nodes, found, small = written(_start(classes, trees), "nodes"), [], []
     for level in range(FIRST_LEVEL, MAX_LEVEL + 1):
         size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        size = size.filter("size > 1 and l0 != l1").select("node", "size")
+        size = written(size.filter("size > 1 and l0 != l1").select("node", "size"), "sizes")
         alive = written(nodes.join(size, "node"), "alive")
-        few = alive.filter(F.col("size") <= leaf)
-        lists = few.groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("members"))
-        once = lists.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"])
-        small.append(written(_likely(classes, once.select("g", F.explode("members").alias("c")), percent), "likely"))
-        large = alive.filter(F.col("size") > leaf)
-        if large.isEmpty():
+        lists = alive.filter(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("members"))
+        small.append(lists.select("members"))
+        if size.filter(F.col("size") > leaf).isEmpty():
             break
+        large = alive.filter(F.col("size") > leaf)
         if level == MAX_LEVEL:
-            small.append(written(_likely(classes, _blocks(large, leaf), percent), "likely"))
+            small.append(_blocks(large, leaf).groupBy("g").agg(F.array_sort(F.collect_list("c")).alias("members")).select("members"))
             break
-        pivots = large.groupBy("node").agg(F.min_by("c", F.xxhash64("c", F.lit(level))).alias("pivot"))
+        pivots = large.groupBy("node").agg(F.min_by("c", F.unhex(F.md5(F.concat(F.unhex(F.lit(f"{level:02X}")), "c")))).alias("pivot"))
         # every chunk of a large node is compared with the node's pivot, which is in each of them
-        chunks = large.join(pivots, "node").withColumn("k", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / (leaf - 8))))
+        chunks = large.join(pivots, "node").withColumn("k", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / 40)))
         stars = chunks.select("node", "k", "c").union(chunks.select("node", "k", F.col("pivot").alias("c"))).distinct()
-        parts = written(_likely(classes, stars.select(F.concat_ws(":", "node", "k").alias("g"), "c"), percent), "stars")
-        texts = _texts(docs, classes, parts.select(F.explode("members").alias("c")))
-        star = written(_confirmed(parts, texts, percent, n), "star-links")
+        stars = stars.groupBy("node", "k").agg(F.array_sort(F.collect_list("c")).alias("members"), F.lit(None).cast("array<binary>").alias("labels"))
+        parts = written(stars.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"]).select("g", "members", "labels"), "stars")
+        star = written(_confirmed(parts, _texts(docs, classes, parts), percent, n, level), "star-links")
         found.append(star)
-        label = components(star).withColumnsRenamed({"node": "c", "label": "star"})
-        held = large.join(label, "c", "left").withColumn("label", F.coalesce("star", "label"))
-        nodes = written(_branch(held.join(classes.select("c", "sketch"), "c")), "nodes")
-    parts = small[0].select("g", "members")
+        label = star.groupBy("b").agg(F.min("a").alias("star"))
+        held = large.join(label, F.col("c") == F.col("b"), "left").withColumn("label", F.coalesce("star", "label"))
+        nodes = written(_branch(held.select("node", "c", "label").join(classes.select("c", "sketch"), "c")), "nodes")
+    lists = small[0]
     for more in small[1:]:
-        parts = parts.union(more.select("g", "members"))
-    parts = parts.dropDuplicates(["g"])
-    found.append(_confirmed(parts, _texts(docs, classes, parts.select(F.explode("members").alias("c"))), percent, n))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+        lists = lists.union(more)
+    lists = lists.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"])
+    groups = written(lists.select("g", F.explode("members").alias("c")), "groups")
+    # the closest estimates first: most links are among them, and each is confirmed once
+    pairs = written(_likely(classes, groups, percent), "pairs")
+    found.append(written(_confirmed(pairs, _texts(docs, classes, pairs), percent, n), "pair-links"))
+    known = written(components(_all(found)), "known")
+    # then whatever may link two components
+    rest = written(_likely(classes, groups, percent, known), "rest")
+    found.append(written(_confirmed(rest, _texts(docs, classes, rest), percent, n), "rest-links"))
+    return _all(found)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
     return out
 
 
