@@ -30,6 +30,7 @@ TEMPERATURE = 0.1
 SEED = 29
 PREFIX = (4, 5)
 BURST = 5
+_FINE = 1 << 12  # buckets in which shares are counted
 
 _WORD = table(bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 _SPACE = table(b" \t\n\r\x0b\x0c")
@@ -37,8 +38,8 @@ _UPPER = table(bytes(range(0x41, 0x5B))).astype(np.int64)
 _CLASS = np.where(_SPACE, 0, np.where(_WORD, 1, 2)).astype(np.int8)
 
 
-def ngrams(text: str | None) -> tuple[np.ndarray, int]:
-    """Distinct hashed n-grams of a text, and a 63-bit key that near copies mostly share (the smallest hash of five words)."""
+def ngrams(text: str | None, keyed: bool = False) -> tuple[np.ndarray, int]:
+    """Distinct hashed n-grams of a text in order, and if ``keyed`` a 63-bit key that near copies mostly share (the smallest hash of five words)."""
     buf = np.frombuffer((text or "").encode(), dtype=np.uint8)
     kind = _CLASS[buf]
     edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))
@@ -56,18 +57,25 @@ def ngrams(text: str | None) -> tuple[np.ndarray, int]:
         parts.append((word_hashes(low, starts[long], starts[long] + n) & mask) + U(2 * BUCKETS))
     upper, last = _UPPER[buf[starts]], _UPPER[buf[ends - 1]]
     shape = mixed(np.where(kind[starts] == 1, 1 + upper + 2 * last, words.view(np.int64)).astype(U))
-    parts += [(_bursts(x) & mask) + U(3 * BUCKETS) for x in (words, sequences(shape, 2), (words[2:] == words[:-2]).astype(U), (words[1:] == words[:-1]).astype(U) + U(2))]
-    five = sequences(words, 5)
-    key = int((five if len(five) else mixed(np.array([words.sum()], dtype=U))).min() >> U(1))
-    return np.unique(np.concatenate(parts)).astype(np.int64), key
-
-
-def _bursts(x: np.ndarray) -> np.ndarray:
-    """Values that make up at least 2^-BURST of all, four at least, hashed with the power of two of their share."""
-    value, n = np.unique(x, return_counts=True)
-    often = (n >= 4) & (n << BURST >= len(x))
-    level = np.floor(np.log2(n[often] / max(1, len(x)))).astype(np.int64)
-    return mixed(value[often] * U(31) + (-level).astype(U) + U(1))
+    again = np.array([np.count_nonzero(words[k:] == words[:-k]) for k in (1, 2)])
+    parts += [_bursts(np.bincount((words & U(_FINE - 1)).astype(np.int64)), len(words), 1), _bursts(np.bincount((sequences(shape, 2) & U(_FINE - 1)).astype(np.int64)), len(words), 2), _bursts(again, len(words), 3)]
+    held = np.zeros(KINDS * BUCKETS, dtype=bool)
+    for x in parts:
+        held[x.astype(np.int64)] = True
+    key = 0
+    if keyed:
+        five = sequences(words, 5)
+        key = int((five if len(five) else mixed(np.array([words.sum()], dtype=U))).min() >> U(1))
+    eight = np.flatnonzero(held.view(np.uint64))
+    row, place = np.nonzero(held.reshape(-1, 8)[eight])
+    return eight[row] * 8 + place, key
+
+
+def _bursts(count: np.ndarray, total: int, kind: int) -> np.ndarray:
+    """Buckets of the values that make up at least 2^-BURST of all, four at least, hashed with the power of two of their share."""
+    often = np.flatnonzero((count >= 4) & (count << BURST >= total))
+    level = np.floor(np.log2(count[often] / max(1, total))).astype(np.int64)
+    return (mixed(often.astype(U) * U(31) + (-level).astype(U) + U(kind << 40)) & U(BUCKETS - 1)) + U((KINDS - 1) * BUCKETS)
 
 
 def labelled(labels: DataFrame, sample_rows: int) -> DataFrame:
@@ -138,7 +146,7 @@ def _keyed(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for rows in batches:
-        keys = [ngrams(t)[1] for t in rows.column("text").to_pylist()]
+        keys = [ngrams(t, keyed=True)[1] for t in rows.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), rows.column("cls"), pa.array(keys, pa.int64())], ["doc_id", "text", "cls", "key"])
 
 
