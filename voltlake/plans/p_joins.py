@@ -62,11 +62,9 @@ def join_point_in_time(t):
 @query("join_parity_full", """select coalesce(a.user_id, b.user_id) as user_id, coalesce(cast(a.ds as varchar), cast(b.ds as varchar)) as ds,
     a.user_id is not null as in_a, b.user_id is not null as in_b,
     coalesce(a.n_events = b.n_events, false) as n_events_equal, coalesce(a.total = b.total, false) as total_equal
-    from (select * from fx_offline where ds >= date '2024-01-29') a
-    full outer join fx_online b on a.user_id = b.user_id and a.ds = b.ds""")
+    from fx_offline a full outer join fx_online b on a.user_id = b.user_id and a.ds = b.ds""")
 def join_parity_full(t):
-    off = t.fx_offline.where(F.col("ds") >= F.lit("2024-01-29").cast("date"))
-    return J.full_parity(off, t.fx_online, ["user_id", "ds"], ["n_events", "total"]).withColumn("ds", day_text("ds"))
+    return J.full_parity(t.fx_offline, t.fx_online, ["user_id", "ds"], ["n_events", "total"]).withColumn("ds", day_text("ds"))
 
 
 @query("join_pred_actual", """select p.user_id, cast(p.ds as varchar) as ds, p.n_events as predicted, a.n_events as actual,

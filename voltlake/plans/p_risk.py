@@ -170,24 +170,24 @@ def ab_balance(t):
     return X.balance(units(t), "arm", ["n_events", "total"], 0)
 
 
-def two_arms(t):
-    """User-days of arms 0 and 1 with their activity and outcome."""
-    return t.fx_ab.where("arm < 2").join(t.fx_offline, ["user_id", "ds"]).select(
-        F.col("arm").cast("int").alias("treated"), "converted", F.least("n_events", F.lit(5)).alias("activity"), F.col("total").cast("double").alias("total"), F.dayofweek("ds").alias("dow"))
+def treated_units(t):
+    """User-days of all arms with their activity and outcome; every arm but the control is a treatment."""
+    return t.fx_ab.join(t.fx_offline, ["user_id", "ds"]).select(
+        (F.col("arm") != 0).cast("int").alias("treated"), "converted", F.least("n_events", F.lit(5)).alias("activity"), F.col("total").cast("double").alias("total"), F.dayofweek("ds").alias("dow"))
 
 
-@query("ab_propensity", """with u as (select a.arm as t, converted as y, least(n_events, 5) as activity from fx_ab a join fx_offline o on a.user_id = o.user_id and a.ds = o.ds where arm < 2),
+@query("ab_propensity", """with u as (select (a.arm <> 0)::int as t, converted as y, least(n_events, 5) as activity from fx_ab a join fx_offline o on a.user_id = o.user_id and a.ds = o.ds),
     g as (select activity, count(*) as n, sum(t) as nt, sum(t * y) as yt, sum((1 - t) * y) as yc from u group by 1 having sum(t) > 0 and sum(t) < count(*)),
     e as (select *, nt / cast(n as double) as e from g)
     select cast(sum(n) as bigint) as units, round(sum(yt / e) / sum(n), 6) as treated_rate, round(sum(yc / (1 - e)) / sum(n), 6) as control_rate,
       round((sum(yt / e) - sum(yc / (1 - e))) / sum(n), 6) as effect from e""")
 def ab_propensity(t):
-    return X.stratified_effect(two_arms(t), "activity", "treated", "converted")
+    return X.stratified_effect(treated_units(t), "activity", "treated", "converted")
 
 
 @query("ab_propensity_model")
 def ab_propensity_model(t):
-    return X.propensity_effect(two_arms(t), ["activity", "total", "dow"], "treated", "converted")
+    return X.propensity_effect(treated_units(t), ["activity", "total", "dow"], "treated", "converted")
 
 
 @query("ab_uplift", """with r as (select c_mktsegment as segment, arm, count(*) as n, avg(converted) as p from fx_ab join customer on user_id = c_custkey group by 1, 2)
@@ -296,11 +296,10 @@ def kb_relevance(t):
 @query("kb_learning", """select concat('agent-', user_id % 5) as agent, event_type as decision, case when value > 50 then 'good' else 'bad' end as outcome,
     concat('k=', json_extract_string(props, '$.k')) as lesson, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') as recorded_at,
     sha256(concat_ws('|', concat('agent-', user_id % 5), event_type, case when value > 50 then 'good' else 'bad' end, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'))) as entry_id
-    from events where event_type in ('signup', 'error')""")
+    from events""")
 def kb_learning(t):
-    e = t.events.where("event_type in ('signup', 'error')")
     return R.learning_entries(
-        e, F.format_string("agent-%d", F.col("user_id") % 5), F.col("event_type"), F.when(F.col("value") > 50, "good").otherwise("bad"),
+        t.events, F.format_string("agent-%d", F.col("user_id") % 5), F.col("event_type"), F.when(F.col("value") > 50, "good").otherwise("bad"),
         F.concat(F.lit("k="), F.get_json_object("props", "$.k")), ts_text("ts"))
 
 

@@ -84,9 +84,8 @@ def src_scan_formats(t):
 @query("src_read_json", "select source, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by 1")
 def src_read_json(t):
     out = scratch(t.spark, "json")
-    g = t.documents.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
-    S.write_json(g, out)
-    return S.read_json(t.spark, out, "source string, n long, chars long")
+    S.write_json(t.documents, out)
+    return S.read_json(t.spark, out, SCHEMAS["documents"]).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("src_write_json", "select doc_id, text, lang from documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,28 +23,18 @@ def write_partitioned(df: DataFrame, path: str, ds: str = "ds") -> None:
 
 
 def land(df: DataFrame, path: str, date: str) -> dict:
-    """Land a batch as ``ds=yyyyMMdd`` partitions and report its rows and bytes.
+    """Land a batch as ``ds=yyyyMMdd`` partitions and report its rows and the bytes of the partitions it replaced.
 
-    Both come from the files written after the newest one before: rows from the Parquet footers, bytes from the
-    listing. The data is not scanned again.
+    Rows are observed while they are written, so other writers and equal time stamps do not matter; the data is not scanned again.
     """
     spark = df.sparkSession
-    mark = _newest(spark, path)
-    write_partitioned(df.withColumn("ds", ds_text(date)), path)
-    fresh, read = listing(spark, path), spark.read.parquet(path)
-    if mark is not None:
-        fresh = fresh.where(F.col("modificationTime") > mark)
-        read = read.where(F.col("_metadata.file_modification_time") > mark)
-    return {"target_uri": path, "records_ingested": read.count(), "bytes_written": fresh.agg(F.sum("length")).first()[0]}
-
-
-def _newest(spark: SparkSession, path: str):
-    from pyspark.errors import AnalysisException
-
-    try:
-        return listing(spark, path).agg(F.max("modificationTime")).first()[0]
-    except AnalysisException:  # nothing there yet
-        return None
+    seen = Observation()
+    batch = df.withColumn("ds", ds_text(date))
+    write_partitioned(batch.observe(seen, F.count("*").alias("n"), F.collect_set("ds").alias("ds")), path)
+    got = seen.get
+    own = F.regexp_extract("path", r"/ds=([^/]*)/", 1)
+    fresh = listing(spark, path).where(own.isin([d or "__HIVE_DEFAULT_PARTITION__" for d in got["ds"]]))
+    return {"target_uri": path, "records_ingested": got["n"], "bytes_written": fresh.agg(F.sum("length")).first()[0] if got["n"] else 0}
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
