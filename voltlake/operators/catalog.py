@@ -58,12 +58,15 @@ def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = False) -> DataFra
 
 
 def discover(spark: SparkSession, root: str, database: str, names: list[str], extension: str = "parquet") -> DataFrame:
-    """Catalogue entries of the datasets below a folder; only schemas, one small row per dataset, are read."""
+    """Catalogue entries of the datasets below a folder; schemas and the place of one file of each dataset are read."""
     rows = []
     for n in names:
         loc = f"{root}/{n}.{extension}"
-        fields = spark.read.format(extension).load(loc).schema.fields
-        rows.append((database, n, loc, extension, ["ds"], [(f.name, f.dataType.simpleString(), None) for f in fields]))
+        df = spark.read.format(extension).load(loc)
+        fields, file = df.schema.fields, df.select("_metadata.file_path").first()
+        below = file[0].rpartition(f"/{n}.{extension}")[2] if file else ""
+        partitions = [x.split("=")[0] for x in below.split("/")[:-1] if "=" in x]
+        rows.append((database, n, loc, extension, partitions, [(f.name, f.dataType.simpleString(), None) for f in fields]))
     return flag_pii(spark.createDataFrame(rows, ENTRY))
 
 

@@ -111,11 +111,16 @@ def gov_compliance_report(t):
 # catalogue -----------------------------------------------------------------------------------------------------------
 
 
-@query("cat_discover")
+COUNTS_SQL = " union all ".join(f"select '{n}' as \"table\", count(*) as \"rows\" from {n}" for n in sorted(SCHEMAS))
+
+
+@query("cat_discover", f"""with c as (select table_name as "table", string_agg(column_name, ',' order by ordinal_position) as columns from information_schema.columns group by 1)
+    select 'bronze' as database, n."table", 'parquet' as format, '' as partitions, columns, "rows" from ({COUNTS_SQL}) n join c using ("table")""")
 def cat_discover(t):
     entries = K.discover(t.spark, t.path, "bronze", sorted(SCHEMAS))
     counts = K.union_all([getattr(t, n).agg(F.count("*").alias("rows")).withColumn("table", F.lit(n)) for n in sorted(SCHEMAS)])
-    return entries.join(F.broadcast(counts), "table")  # one row per dataset
+    found = entries.join(F.broadcast(counts), "table")  # one row per dataset
+    return found.select("database", "table", "format", F.array_join("partitions", ",").alias("partitions"), F.array_join(F.transform("schema", lambda c: c["name"]), ",").alias("columns"), "rows")
 
 
 def source_entries(t):

@@ -80,9 +80,15 @@ POS = """pos as (select p_brand as instrument, cast(sum(cast(l_quantity as decim
       * cast(p_retailprice as decimal(18,2))) as double) as exposure from lineitem join part on l_partkey = p_partkey group by 1)"""
 
 
-@query("risk_monte_carlo")
+@query("risk_monte_carlo", f"""with {POS},
+    h as (select exposure, path, md5('11:' || instrument || ':' || path) as h from pos, range(1, 10001) r(path)),
+    u as (select exposure, path, (('0x' || substr(h, 1, 12))::bigint + 0.5e0) / 281474976710656e0 as a, (('0x' || substr(h, 13, 12))::bigint + 0.5e0) / 281474976710656e0 as b from h),
+    p as (select path, cast(sum(cast(exposure * 0.02e0 * sqrt(-2e0 * ln(a)) * cos(2e0 * pi() * b) as decimal(24,4))) as double) as pnl from u group by 1),
+    q as (select quantile_cont(pnl, 0.05) as q from p)
+    select round(-max(q)) as var_95, round(-avg(case when pnl <= q then pnl end)) as expected_shortfall, round(stddev_samp(pnl)) as volatility, count(*) as paths from p, q""")
 def risk_monte_carlo(t):
-    return K.monte_carlo(positions(t), "instrument", "exposure")
+    out = K.monte_carlo(positions(t), "instrument", "exposure")
+    return out.select(*[F.round(c).alias(c) for c in ("var_95", "expected_shortfall", "volatility")], "paths")
 
 
 @query("risk_stress", f"""with {POS}, tt as (select sum(cast(exposure as decimal(28,4))) as total from pos)

@@ -111,9 +111,9 @@ def event_keys(t):
     return S.list_objects(t.spark, landed_events(t), "ds=202401")
 
 
-@query("src_list_objects")
+@query("src_list_objects", "select distinct strftime(ts, 'ds=%Y%m%d') as folder from events where strftime(ts, '%Y%m') = '202401'")
 def src_list_objects(t):
-    return event_keys(t)
+    return event_keys(t).select(F.element_at(F.split("key", "/"), 1).alias("folder")).distinct()
 
 
 @query("src_object_exists", """select strftime(d, '%Y%m%d') as ds, cast(d as date) in (select distinct cast(ts as date) from events) as "exists"

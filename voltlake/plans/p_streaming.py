@@ -119,9 +119,11 @@ def st_online_features(t):
     return J.read_online(t.spark, f"{out}/layers", "user_id").select("user_id", "event_id", "event_type", "value")
 
 
-@query("st_dq_gate")
+@query("st_dq_gate", """select 'not_null' as expectation, 'event_id' as "column", count(*) as evaluated, count(*) filter (event_id is null) as unexpected from events
+    union all select 'between', 'value', count(*), count(*) filter (value < 0 or value > 400) from events
+    union all select 'row_count', '*', count(*), 0 from events""")
 def st_dq_gate(t):
     out = scratch(t.spark, "gate")
     suite = [Q.Expect("not_null", "event_id"), Q.Expect("between", "value", 0, 400), Q.Expect("row_count", low=1)]
     J.quality_gate(arrivals(t, out), suite, f"{out}/good", f"{out}/blocked", f"{out}/results", f"{out}/cp")
-    return t.spark.read.parquet(f"{out}/results")
+    return t.spark.read.parquet(f"{out}/results").groupBy("expectation", "column").agg(F.sum("evaluated").alias("evaluated"), F.sum("unexpected").alias("unexpected"))
