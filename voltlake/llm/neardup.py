@@ -29,7 +29,7 @@ SHINGLE = 5
 PERCENT = 85
 COORDINATES = 128
 TREES = 4
-LEAF = 512
+LEAF = 4096
 FIRST_LEVEL = 2
 MAX_LEVEL = 8
 SLACK = 0.14  # estimates this far below the threshold still go to the exact check, four deviations and more
@@ -142,25 +142,8 @@ def _likely(classes: DataFrame, groups: DataFrame, percent: float, labels: DataF
                 tokens = np.stack([np.frombuffer(r["sketch"], dtype=np.uint32) for r in group])
                 size = np.array([r["n"] for r in group])
                 own = np.unique([r["label"] for r in group], return_inverse=True)[1] if labelled else np.arange(len(group))
-                pairs, weight = [], []
-                for i in range(len(group) - 1):
-                    may = (100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i])) & (own[i + 1:] != own[i])
-                    j = np.flatnonzero(may) + i + 1
-                    near = (tokens[j] == tokens[i]).mean(axis=1)
-                    pairs += [(i, int(k)) for k in j[near >= least]]
-                    weight += near[near >= least].tolist()
-                parent = list(range(len(group)))
-                for _, (i, j) in sorted(zip((-w for w in weight), pairs, strict=True)):
-                    ri, rj = _root(parent, i), _root(parent, j)
-                    if ri != rj:
-                        parent[rj] = ri
-                        if not labelled:
-                            found[(group[i]["c"], group[j]["c"])] = None
-                if labelled:
-                    held: dict[int, list] = {}
-                    for i, r in enumerate(group):
-                        held.setdefault(_root(parent, i), []).append(r)
-                    found.update({tuple(r["c"] for r in p): [r["label"] for r in p] for p in held.values() if len(p) > 1})
+                for part in (_parts if labelled else _forest)(tokens, size, own, percent, least):
+                    found[tuple(group[i]["c"] for i in part)] = [group[i]["label"] for i in part] if labelled else None
             yield pa.RecordBatch.from_arrays([pa.array([list(m) for m in found], pa.list_(pa.binary())), pa.array(list(found.values()), pa.list_(pa.binary()))], ["members", "labels"])
 
     held = groups.join(classes.select("c", "n", "sketch"), "c")
@@ -170,6 +153,53 @@ def _likely(classes: DataFrame, groups: DataFrame, percent: float, labels: DataF
     return made.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"])
 
 
+def _near(tokens: np.ndarray, size: np.ndarray, own: np.ndarray, i: int, others: np.ndarray, percent: float) -> np.ndarray:
+    """Estimated similarity of i to others; 0 where the label is the same or the sizes rule a link out."""
+    may = (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])) & (own[others] != own[i])
+    out = np.zeros(len(others))
+    at = np.flatnonzero(may)
+    out[at] = (tokens[others[at]] == tokens[i]).mean(axis=1)
+    return out
+
+
+def _forest(tokens, size, own, percent: float, least: float) -> list[list[int]]:
+    """Pairs of a spanning forest of highest estimates, grown from node to node, so that memory is linear in the group."""
+    n, out = len(tokens), []
+    best, to = np.full(n, -1.0), np.zeros(n, dtype=np.int64)
+    left = np.ones(n, dtype=bool)
+    for _ in range(n):
+        i = int(np.argmax(np.where(left, best, -2.0)))
+        if best[i] >= least:
+            out.append(sorted((int(to[i]), i)))
+        left[i] = False
+        others = np.flatnonzero(left)
+        near = _near(tokens, size, own, i, others, percent)
+        better = near > best[others]
+        best[others[better]] = near[better]
+        to[others[better]] = i
+    return out
+
+
+def _parts(tokens, size, own, percent: float, least: float) -> list[list[int]]:
+    """Parts of more than one member that likely pairs of different labels connect."""
+    left, out = np.ones(len(tokens), dtype=bool), []
+    for start in range(len(tokens)):
+        if not left[start]:
+            continue
+        left[start] = False
+        part, todo = [start], [start]
+        while todo:
+            i = todo.pop()
+            others = np.flatnonzero(left)
+            near = others[_near(tokens, size, own, i, others, percent) >= least]
+            left[near] = False
+            part += near.tolist()
+            todo += near.tolist()
+        if len(part) > 1:
+            out.append(sorted(part))
+    return out
+
+
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
