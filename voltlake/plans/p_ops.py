@@ -312,7 +312,7 @@ AGENTS = ["etl-transformer", "pricing-tariff-optimizer", "viz-storyteller", "unl
 def ops_policy_gate(t):
     s = t.events.select("event_id", pick(AGENTS).alias("agent"), (F.col("value") * 2).alias("cost"), (F.col("event_id") % 5).alias("retries"))
     a, c, r = F.col("agent"), F.col("cost"), F.col("retries")
-    return s.select("event_id", "agent", O.policy_gate(a, c, r, F.lit(3), 150.0, True).alias("reason"), O.director_gate(a, sorted(AGENTS), c, r, F.lit(3)).alias("director_reason"))
+    return s.select("event_id", "agent", O.policy_gate(a, c, r, F.lit(3), 150.0, True).alias("reason"), O.director_gate(a, sorted(KNOWN_AGENTS), c, r, F.lit(3)).alias("director_reason"))
 
 
 # Declared targets of the contracts this library can measure.
