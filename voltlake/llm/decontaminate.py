@@ -149,7 +149,8 @@ class Matcher:
     def match(self, buf, starts, ends, hashes, hit, found: set) -> None:
         grams = sequences(hashes, self.gram)
         maybe = np.flatnonzero(self.sieve[grams & np.uint64((1 << 20) - 1)])
-        maybe = maybe[np.isin(grams[maybe], self.grams)]
+        place = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
+        maybe = maybe[self.grams[place] == grams[maybe]]
         if not len(maybe):
             return
         inside = np.zeros(len(hashes), dtype=bool)
