@@ -13,7 +13,7 @@ from voltlake.session import scratch
 from voltlake.tables import micros
 
 # The names a policy knows, and the ceilings.
-AGENTS = (
+KNOWN_AGENTS = (
     "supervisor-director", "intake-triage", "data-cataloguer", "data-contracts-quality", "ingestion-orchestrator", "etl-transformer",
     "feature-store-manager", "experiment-planner", "churn-forecast-modeler", "acquisition-forecast-modeler", "load-consumption-forecast",
     "pricing-tariff-optimizer", "portfolio-risk-modeler", "trial-design-causal-inference", "anomaly-fraud-detector", "customer-segmentation-clv",
