@@ -307,6 +307,19 @@ def test_fingerprints(spark, docs, rows, empty):
     assert one.near_next == 1.0
 
 
+def test_lexicon_is_counted_by_term(spark):
+    """More terms than any table of buckets: once-only terms and too frequent ones stay out, the others are in, whatever else occurs."""
+    once = [[f"rare{i}x{j}" for j in range(1500)] for i in range(400)]
+    texts = [" ".join([*own, "always", f"twice{i // 2}"]) for i, own in enumerate(once)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.term for r in fingerprints.lexicon(docs, 1.6, 9.2).collect()}
+    want = spark.range(200).select(F.xxhash64(F.concat(F.lit("twice"), F.col("id").cast("string"))).alias("h"))
+    assert got == {r.h for r in want.collect()}
+    # two texts that share their only lexicon term agree, however many once-only terms each has
+    both = fingerprints.fingerprints(docs).filter("doc_id in (6, 7)").collect()
+    assert both[0].fingerprint == both[1].fingerprint and not both[0].fingerprint.startswith("x:")
+
+
 # WARC
 
 

@@ -1,10 +1,11 @@
 """Document fingerprints by I-Match with several randomised lexicon subsets, in DataFrame functions only.
 
-Terms are runs of letters and digits in lower case. A term's document frequency is counted over all documents in
-``buckets`` hash buckets, so the statistic has a fixed size; terms whose inverse document frequency lies in the band
-stay. The lexicon is split at random into SLOTS subsets, thinned to one term in 2^level; a subset's value is the hash
-of its sorted distinct terms. The level follows the number of terms of the text, and a fingerprint holds the values at
-that level and the next thinner one, so that texts of like size can be compared at a level they share.
+Terms are runs of letters and digits in lower case, known by a 64-bit hash. A term's document frequency is counted over
+all documents; terms whose inverse document frequency lies in the band are the lexicon, a table. The terms of a text are
+exploded and looked up in it. As each of its terms is in one of e^(upper bound) documents at least, the lexicon has at most e^(upper bound) times the
+mean number of distinct terms of a document, whatever the size of the corpus. The lexicon is split at random into SLOTS subsets, thinned to
+one term in 2^level; a subset's value is the hash of its sorted distinct terms. The level follows the number of terms of the text, and a
+fingerprint holds the values at that level and the next thinner one, so that texts of like size can be compared at a level they share.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import tasks
+from voltlake.llm.common import tasks, written
 
 SLOTS = 32
-BUCKETS = 1 << 18
 IDF_BAND = (1.6, 9.2)
+BROADCAST = 4_000_000  # terms; a larger lexicon is joined as Spark chooses
 
 
 def term_hashes(text: Column) -> Column:
@@ -25,26 +26,13 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def band(docs: DataFrame, low: float, high: float, buckets: int) -> Column:
-    """Bit set over the hash buckets: is the bucket's inverse document frequency inside the band?
-
-    At most ``buckets / 64`` numbers come to the driver, whatever the size of the corpus.
-    """
-    hit = docs.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), lambda h: F.pmod(h, F.lit(buckets))))).alias("b"))
-    freq = hit.groupBy("b").agg(F.count("*").alias("df"))
+def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
+    """The terms that occur in two documents at least and whose inverse document frequency is inside the band, as a written table."""
+    hit = docs.select(F.explode(term_hashes(F.col("text"))).alias("term"))
+    freq = hit.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n")).scalar()
-    inside = freq.filter((F.col("df") >= 2) & F.ln(total / F.col("df")).between(low, high))
-    words = inside.groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
-    bits = {r["w"]: r["bits"] for r in words.collect()}
-    return F.expr(f"cast(split('{','.join(str(bits.get(w, 0)) for w in range(-(-buckets // 64)))}', ',') as array<bigint>)")
-
-
-def _inside(flags: Column, buckets: int):
-    def test(h):
-        b = F.pmod(h, F.lit(buckets))
-        return F.call_function("bit_get", F.element_at(flags, F.floor(b / 64).cast("int") + 1), (b % 64).cast("int")) == 1
-
-    return test
+    terms = written(freq.filter((F.col("df") >= 2) & F.ln(total / F.col("df")).between(low, high)).select("term"), "lexicon")
+    return F.broadcast(terms) if terms.count() <= BROADCAST else terms
 
 
 def _thin(terms: Column, level: Column) -> Column:
@@ -57,16 +45,22 @@ def _values(terms: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: one(F.filter(terms, lambda h: slot(h) == k))), ",")
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str, flags: Column, buckets: int) -> DataFrame:
-    """Add column ``out``: ``level:values/values of the next level``, or ``x:hash`` for a text without a term in the band."""
-    every, kept, first, level = f"_{out}_all", f"_{out}_band", f"_{out}_thin", f"_{out}_level"
-    df = df.withColumn(every, F.array_sort(term_hashes(F.col(text))))
-    df = df.withColumn(kept, F.filter(every, _inside(flags, buckets)))
-    df = df.withColumn(level, F.greatest(F.lit(0), F.ceil(F.log2(F.size(kept) / F.lit(float(SLOTS))))).cast("int"))
-    df = df.withColumn(first, _thin(F.col(kept), F.col(level)))
-    made = F.concat(F.col(level).cast("string"), F.lit(":"), _values(F.col(first)), F.lit("/"), _values(_thin(F.col(first), F.col(level) + 1)))
-    bare = F.concat(F.lit("x:"), F.md5(F.array_join(F.col(every).cast("array<string>"), ",")))
-    return df.withColumn(out, F.when(F.size(kept) == 0, bare).otherwise(made)).drop(every, kept, first, level)
+def with_fingerprint(df: DataFrame, text: str, out: str, terms: DataFrame) -> DataFrame:
+    """The rows of ``df``, one a ``key``, with column ``out``: ``level:values/values of the next level``, or ``x:hash`` for a text without a term of the lexicon.
+
+    Rows of one key are equal. The first exploded term of a text carries its row, so that one aggregation brings row and terms together.
+    """
+    names = [c for c in df.columns if c != "key"]
+    # the array is a column of its own, so that exploding it is compiled and does not copy the text for every term
+    each = df.withColumn("_terms", term_hashes(F.col(text))).select("*", F.posexplode_outer("_terms").alias("_at", "term"))
+    each = each.select("key", "term", F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*names)).alias("_row"))
+    found = each.join(terms.withColumnRenamed("term", "_known"), F.col("term") == F.col("_known"), "left").filter("_row is not null or _known is not null")
+    df = found.groupBy("key").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.array_distinct(F.collect_list("_known"))).alias("_band")).select("key", "_row.*", "_band")
+    df = df.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.size("_band") / F.lit(float(SLOTS))))).cast("int"))
+    df = df.withColumn("_thin", _thin(F.col("_band"), F.col("_level")))
+    made = F.concat(F.col("_level").cast("string"), F.lit(":"), _values(F.col("_thin")), F.lit("/"), _values(_thin(F.col("_thin"), F.col("_level") + 1)))
+    bare = F.concat(F.lit("x:"), F.md5(F.array_join(F.array_sort(term_hashes(F.col(text))).cast("array<string>"), ",")))
+    return df.withColumn(out, F.when(F.size("_band") == 0, bare).otherwise(made)).drop("_band", "_level", "_thin")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -89,7 +83,7 @@ def row_key() -> Column:
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
-    """(doc_id, key, n, nx) of distinct rows (doc_id, key, n): the key of the next row by ascending doc_id, nulls last, and of the first after the last.
+    """(doc_id, key, n, copies, nx) of distinct rows (doc_id, key, n, copies): the key of the next row by ascending doc_id, nulls last, and of the first after the last.
 
     The ids are cut into as many ranges as there are shuffle partitions; each is ordered alone, and the first row of
     every range, one row a range, closes the gaps between them.
@@ -103,10 +97,10 @@ def next_keys(keys: DataFrame) -> DataFrame:
     heads = binned.groupBy("bin").agg(F.min(F.struct("doc_id", "key"))["key"].alias("head"))
     across = Window.orderBy("bin")
     heads = heads.select("bin", F.coalesce(F.lead("head").over(across), F.first("head").over(across)).alias("after"))
-    return led.join(F.broadcast(heads), "bin").select("doc_id", "key", "n", F.coalesce("nx", "after").alias("nx"))  # at most one row a range
+    return led.join(F.broadcast(heads), "bin").select("doc_id", "key", "n", "copies", F.coalesce("nx", "after").alias("nx"))  # at most one row a range
 
 
-def fingerprints(docs: DataFrame, idf_band=IDF_BAND, buckets: int = BUCKETS) -> DataFrame:
+def fingerprints(docs: DataFrame, idf_band=IDF_BAND) -> DataFrame:
     """doc_id, n_chars, fingerprint, edited_sha256, edited_fingerprint, near_edited and near_next of every row.
 
     A null text is empty. Rows with equal id and text take one place in the order and each get its result. Rows of one
@@ -114,20 +108,20 @@ def fingerprints(docs: DataFrame, idf_band=IDF_BAND, buckets: int = BUCKETS) ->
     by itself. Other columns are ignored.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    flags = band(docs, *idf_band, buckets)
-    own = with_fingerprint(docs.select(row_key(), "text"), "text", "fingerprint", flags, buckets)
-    own = own.repartition(tasks(docs.sparkSession), "key")  # both joins below read this one shuffle
-    keys = docs.select("doc_id", row_key(), F.char_length("text").alias("n")).groupBy("doc_id", "key").agg(F.max("n").alias("n"))
+    terms = lexicon(docs, *idf_band)
+    # both joins below read this one shuffle, and the lookups need no other
+    own = with_fingerprint(docs.select(row_key(), "text").repartition(tasks(docs.sparkSession), "key"), "text", "fingerprint", terms)
+    keys = docs.select("doc_id", row_key(), F.char_length("text").alias("n")).groupBy("doc_id", "key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     order = next_keys(keys).withColumnRenamed("key", "before")
     tails = (
         own.join(order, own["key"] == order["nx"])
-        .select("before", "doc_id", "n", F.col("fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail"))
-        .dropDuplicates(["before"]))
+        .select("before", "doc_id", "n", "copies", F.col("fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail")))
     both = own.join(tails, own["key"] == tails["before"])
     edited = both.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "fingerprint", "nx_fingerprint",
+        "key", "doc_id", "copies", F.col("n").cast("long").alias("n_chars"), "fingerprint", "nx_fingerprint",
         F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), "tail").alias("edited"))
-    out = with_fingerprint(edited, "edited", "edited_fingerprint", flags, buckets)
+    out = with_fingerprint(edited, "edited", "edited_fingerprint", terms)
+    out = out.withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "nx_fingerprint").alias("near_next"))
