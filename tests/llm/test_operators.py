@@ -179,6 +179,21 @@ def test_main_text_by_line_blocks():
     assert html_extract.main_text(PAGE % "<div>short</div>") == ""
 
 
+@pytest.mark.parametrize("body", [
+    '<main class="content has-sidebar"><p>%s</p></main>', '<article class="post tag-social"><p>%s</p></article>', '<article class="post comments-open"><p>%s</p></article>',
+    '<div class="content no-sidebar"><p>%s</p></div>', '<div role="main" id="search"><p>%s</p></div>', '<div itemprop="articleBody" class="widget"><p>%s</p></div>',
+    '<article><h1 class="page-header">%s</h1></article>', '<article><header class="entry-header"><h1 class="header">%s</h1></header></article>'])
+def test_class_words_in_main_text(body):
+    para = ("word " * 30).strip()
+    assert html_extract.main_text(PAGE % (body % para)) == para
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-header", "cookie-notice", "ad_box", "x related-posts", "main-nav", "comments-area"])
+def test_class_words_of_asides(name):
+    para = ("word " * 30).strip()
+    assert html_extract.main_text(PAGE % f'<div class="{name}"><p>menu {para}</p></div><div hidden><main><p>no</p></main></div><main role="search">no</main><div><p>{para}</p></div>') == para
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 5), (None, "u", "", 5), (2, "u", "<article>x", 5), (2, "u", "<article>x", 5), (3, "v", "<article><p>" + "long " * 200_000, 5)],
                                   "page_id long, url string, html string, text int")

@@ -26,10 +26,15 @@ _HOLDERS = {"html", "head", "body", "nav", "header", "footer", "aside", "form",
 _LINES = _HOLDERS | {"p", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "caption", "figcaption", "blockquote", "pre", "address", "center", "summary", "legend"}
 _ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
 _MAIN = {"article", "main"}
-_NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|cookies?|consent|gdpr|notices?|alert|sidebar|menu|nav|navbar|navigation|topbar|masthead|footer|header|comments?|"
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_WORD = (
+    r"(?:ads?|adverts?|advertisement|advertising|banner|cookies?|consent|gdpr|notices?|alert|sidebar|menu|nav|navbar|navigation|topbar|masthead|footer|header|comments?|"
     r"replies|promo|promoted|promotion|sponsor|sponsored|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|popup|modal|overlay|breadcrumbs?|widget|disclaimer|"
-    r"pagination|pager)(?:$|[\s_-])", re.I)
+    r"pagination|pager)")
+# A whole class or id token: a word, or words with these before and after. has-sidebar, comments-open and page-header are none.
+_NAMED = re.compile(
+    rf"(?:(?:site|global|top|bottom|left|right|primary|secondary|main|mobile|desktop|sticky)[-_]+)*{_WORD}"
+    rf"(?:[-_]+(?:{_WORD}|bar|box|list|links?|area|section|block|wrap|wrapper|container|inner|items?|form|buttons?|icons?|unit|slot|posts?|articles?|stories|\d+))*", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
@@ -39,10 +44,12 @@ def _kind(tag: str, attributes: str) -> str:
     if attributes.strip(" /\t\r\n"):
         at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         hidden = ("hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower())
-        if hidden or at.get("role", "").lower() in _ROLES or any(_NAMED.search(at.get(k, "")) for k in ("class", "id")):
+        if hidden or at.get("role", "").lower() in _ROLES:
             return "" if tag in ("body", "html") and not hidden else "aside"
-        if tag not in _ASIDE and (at.get("role", "").lower() == "main" or at.get("itemprop") == "articleBody"):
+        if tag in _MAIN or tag not in _ASIDE and (at.get("role", "").lower() == "main" or at.get("itemprop") == "articleBody"):
             return "main"
+        if tag not in ("body", "html") and any(_NAMED.fullmatch(t) for k in ("class", "id") for t in at.get(k, "").split()):
+            return "" if tag in _HEADINGS and not {*at.get("class", "").lower().split(), at.get("id", "").lower()} - {"", "header", "banner", "masthead"} else "aside"
     return "aside" if tag in _ASIDE else "main" if tag in _MAIN else ""
 
 
@@ -85,13 +92,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 if tag == "body":  # an unclosed head ends here
                     stack, asides, mains = [], 0, 0
                 kind = _kind(tag, m[4])
-                if tag == "header" and mains and not m[4].strip():
-                    kind = ""  # the article's own heading
+                if tag == "header" and mains:
+                    kind = _kind("div", m[4])  # the article's own heading
                 stack.append((tag, kind))
                 asides += kind == "aside"
                 mains += kind == "main"
         else:
-            skip = tag if tag not in ("br", "hr") and m[4].strip() and _kind("p", m[4]) == "aside" else skip if tag == "br" else None
+            skip = tag if tag not in ("br", "hr") and m[4].strip() and _kind(tag, m[4]) == "aside" else skip if tag == "br" else None
     held.append(page[at:])
     flush()
     return out
