@@ -194,6 +194,19 @@ def test_class_words_of_asides(name):
     assert html_extract.main_text(PAGE % f'<div class="{name}"><p>menu {para}</p></div><div hidden><main><p>no</p></main></div><main role="search">no</main><div><p>{para}</p></div>') == para
 
 
+@pytest.mark.parametrize("before", [
+    '<p>a</p><svg class="i"/>', '<svg viewBox="0 0 1 1"><path d="M0"/></svg>', '<svg class="i">', '<datalist><option value="x"></datalist>', "<datalist><option>x<option>y</datalist>",
+    "<select><option>x<optgroup><option>y</optgroup></select>", "<select><option>x<option>y", "<button>b</button>", "<button>", "<template><p>t</p></template>", "<template>", "<script>var a = '<p>';</script>",
+    "<style>p{}</style>", "<textarea><p>t</textarea>", "<title>t</title>", "<iframe><p>t</iframe>", "<noscript><p>t</noscript>"])
+def test_dropped_elements_end(before):
+    assert html_extract.main_text(f"<body><div hidden>{before}</div><article><p>one</p>{before.replace('<p>a</p>', '')}<p>two</p></article>") == "one two"
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title", "iframe", "noscript"])
+def test_raw_text_runs_to_the_end(tag):
+    assert html_extract.main_text(f"<article><p>one</p><{tag}>x</article><article>two</article>") == "one"
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 5), (None, "u", "", 5), (2, "u", "<article>x", 5), (2, "u", "<article>x", 5), (3, "v", "<article><p>" + "long " * 200_000, 5)],
                                   "page_id long, url string, html string, text int")

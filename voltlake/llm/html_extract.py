@@ -19,11 +19,15 @@ from voltlake.llm.common import small_batches
 WINDOW = 3
 SURGE = 86  # characters in a window
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|textarea|svg|iframe|select|option|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.I | re.S)
 _HOLDERS = {"html", "head", "body", "nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "ul", "ol", "dl", "table", "figure", "dialog", "menu", "fieldset", "details"}
 _LINES = _HOLDERS | {"p", "br", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "caption", "figcaption", "blockquote", "pre", "address", "center", "summary", "legend"}
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# Raw text runs to its end tag or the end of the page. Other dropped elements need their end tag, else only the tag goes; an option ends at the next one, or with its list.
+_MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|textarea|iframe)\b{_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(template|svg|select|button)\b{_REST}(?<!/)>.*?</\2\s*>"
+    rf"|<option\b{_REST}>.*?(?:</option\s*>|(?=</?(?:option|optgroup|select|datalist|{'|'.join(sorted(_LINES))})\b)|\Z)"
+    rf"|<(/?)([a-z][a-z0-9:-]*)({_REST})>|<[!?][^>]*>", re.I | re.S)
 _ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
 _MAIN = {"article", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -71,13 +75,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     for m in _MARKUP.finditer(page):
         held.append(page[at: m.start()])
         at = m.end()
-        if m[3] is None:
+        if m[4] is None:
             continue
-        tag = m[3].lower()
+        tag = m[4].lower()
         if tag not in _LINES:
             continue
         flush()
-        if m[2]:
+        if m[3]:
             if tag == skip:
                 skip = None
             if tag in _HOLDERS and any(t == tag for t, _ in stack):
@@ -88,17 +92,17 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                     if t == tag:
                         break
         elif tag in _HOLDERS:
-            if not m[4].endswith("/"):
+            if not m[5].endswith("/"):
                 if tag == "body":  # an unclosed head ends here
                     stack, asides, mains = [], 0, 0
-                kind = _kind(tag, m[4])
+                kind = _kind(tag, m[5])
                 if tag == "header" and mains:
-                    kind = _kind("div", m[4])  # the article's own heading
+                    kind = _kind("div", m[5])  # the article's own heading
                 stack.append((tag, kind))
                 asides += kind == "aside"
                 mains += kind == "main"
         else:
-            skip = tag if tag not in ("br", "hr") and m[4].strip() and _kind(tag, m[4]) == "aside" else skip if tag == "br" else None
+            skip = tag if tag not in ("br", "hr") and m[5].strip() and _kind(tag, m[5]) == "aside" else skip if tag == "br" else None
     held.append(page[at:])
     flush()
     return out
