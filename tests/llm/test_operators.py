@@ -207,6 +207,17 @@ def test_raw_text_runs_to_the_end(tag):
     assert html_extract.main_text(f"<article><p>one</p><{tag}>x</article><article>two</article>") == "one"
 
 
+def test_short_articles_bylines_and_teasers():
+    para = ("word " * 30).strip()
+    nav = "<nav><li>a</li><li>b</li><li>c</li></nav>"
+    assert html_extract.main_text(PAGE % "<div><h2>Fire</h2><p>No one was hurt.</p></div>") == "Fire No one was hurt."
+    assert html_extract.main_text(f"{nav}<div>Two words</div>{nav}<div>A longer short text.</div>{nav}") == "A longer short text."
+    assert html_extract.main_text(PAGE % f"<div><h1>Headline</h1><p>By A. B.</p><p>1 May</p><p>Rome</p><p>{para}</p></div>") == f"Headline By A. B. 1 May Rome {para}"
+    teasers = "<article><p>Read this</p></article><article><p>And that</p></article>"
+    assert html_extract.main_text(PAGE % f"<div><p>{para}</p><p>{para}</p></div>{nav}{teasers}") == f"{para} {para}"
+    assert html_extract.main_text(PAGE % f"<article><p>{para}</p></article><div><p>elsewhere</p></div>") == para
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 5), (None, "u", "", 5), (2, "u", "<article>x", 5), (2, "u", "<article>x", 5), (3, "v", "<article><p>" + "long " * 200_000, 5)],
                                   "page_id long, url string, html string, text int")

@@ -1,9 +1,10 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines, one a block element, in page order. Lines of menus, forms, adverts and the like have no
-length. The length of a line block is summed over a sliding window of WINDOW lines; text surges where the sum passes a threshold
-and dives where it falls to nothing, and the lines between the two points are the main text. Inside an article or
-main element any text is a surge; where a page has such an element, lines outside have no length.
+length. The length of a line block is summed over a sliding window of WINDOW lines; a block ends where the sum dives to
+nothing, and is main text where the sum surges over a threshold anywhere in it, from its first line on. Without a surge the densest block is
+the main text, unless it is one word. Where article and main elements hold the larger part of the text, all of theirs is main text and lines outside
+have no length; otherwise they count as any other.
 """
 
 from __future__ import annotations
@@ -110,20 +111,27 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     found = lines(page or "")
-    inside = any(main and not aside for _, aside, main in found)
+    plain = sum(len(text) for text, aside, _ in found if not aside)
+    inside = 2 * sum(len(text) for text, aside, main in found if main and not aside) > plain
     size = [0 if aside or (inside and not main) else len(text) for text, aside, main in found]
-    least = 1 if inside else surge
     total = [sum(size[i: i + window]) for i in range(len(size))]
     kept: list[str] = []
+    densest, most = [], 0
     i = 0
     while i < len(size):
-        if not size[i] or total[i] < least:
+        if not size[i]:
             i += 1
             continue
-        start = i  # a surge
+        start = i  # a block, from its first line to where text dives
         while i < len(size) and total[i]:
             i += 1
-        kept += [found[k][0] for k in range(start, i) if size[k]]
+        texts, peak = [found[k][0] for k in range(start, i) if size[k]], max(total[start:i])
+        if inside or peak >= surge:
+            kept += texts
+        elif peak > most:
+            densest, most = texts, peak
+    if not kept and sum(len(t.split()) for t in densest) > 1:  # a single word is a label
+        kept = densest
     return " ".join(kept)
 
 
