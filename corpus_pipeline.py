@@ -13,7 +13,8 @@ from voltlake.llm import decontaminate, mixing, neardup, quality, suffix_dedup
 from voltlake.llm.common import lake, written
 
 SIMILARITY = 80  # percent of five-word shingles
-REPEAT_BYTES = 256  # a passage of 50 words is longer
+REPEAT_BYTES = 256  # searched as bytes; passages of REPEAT_WORDS in fewer bytes are searched as words
+REPEAT_WORDS = 51  # over 50 words
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lake(spark, sf_dir)
-    return _measured(suffix_dedup.without_repeats(docs, length=REPEAT_BYTES))
+    return _measured(suffix_dedup.without_repeats(docs, length=REPEAT_BYTES, words=REPEAT_WORDS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

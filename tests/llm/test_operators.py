@@ -125,6 +125,19 @@ def test_texts_without_repeats(docs, rows, empty):
     assert suffix_dedup.repeats(empty).collect() == []
 
 
+def test_passages_by_words(spark):
+    """A passage of 51 short words goes from every copy; one of 50 in fewer bytes than the search stays."""
+    rng = random.Random(8)
+    short = " ".join(rng.choice("abcdefghij") for _ in range(51))
+    fifty = " ".join(rng.choice("klmnopqrst") for _ in range(50))
+    long = " ".join(f"{rng.randrange(10**7)}y" for _ in range(60))
+    texts = [f"u{k}é {p} é{k}v" for k, p in enumerate([short, short, fifty, fifty, long, long])] + [short]
+    out = {r.doc_id: r.text for r in suffix_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=256, words=51).collect()}
+    assert len(short) == 101 and 6 not in out
+    assert [out[k].split() for k in (0, 1)] == [[f"u{k}é", f"é{k}v"] for k in (0, 1)]  # below the bytes: whole words
+    assert out[4] == "u44v" and [out[k] for k in (2, 3)] == texts[2:4]
+
+
 # token counts
 
 

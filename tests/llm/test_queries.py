@@ -69,3 +69,27 @@ def test_pipeline_stages(spark, documents):
     before = {r.doc_id: r.text for r in got[3]}
     assert all((r.text == before[r.doc_id]) == (hits[r.doc_id][2] == 0) for r in got[4])
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == sorted(tuple(r) for r in got[5])
+
+
+def test_pipeline_passages(spark, documents):
+    """No passage of 51 words that repeats stays in any document, and nothing goes but such passages and repeats of REPEAT_BYTES."""
+    import re
+
+    rows = [d[:2] for d in documents]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, SF).collect()}
+
+    def windows(text):
+        data = (text or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x09-\x0d\x20]+", data)]
+        return [(data[a[0]: b[1]], b[1] - a[0]) for a, b in zip(at, at[50:])]
+
+    seen = {}
+    for _, text in rows:
+        for w, n in windows(text):
+            seen[w] = seen.get(w, 0) + 1
+    again = {w for w, k in seen.items() if k > 1}
+    assert any(len(w) < corpus_pipeline.REPEAT_BYTES for w in again)
+    assert not any(w in again for text in got.values() for w, _ in windows(text))
+    untouched = {d for d, n, gone, *_ in removed_by_brute_force(rows, corpus_pipeline.REPEAT_BYTES) if not gone and not any(w in again for w, _ in windows(dict(rows)[d]))}
+    assert all(got[d] == dict(rows)[d] for d in untouched if (dict(rows)[d] or "").strip())

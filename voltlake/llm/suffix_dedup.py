@@ -11,6 +11,7 @@ content instead: blocks of strings that share a core, then single strings, both
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ GRAM = 64
 HOT = 512
 BLOCK = 16
 SHARD = 1 << 20  # bytes of text sorted at once; one anchor's segments may add up to HOT * 2 * LENGTH more
+_WORD = re.compile(rb"[^\x09-\x0d\x20]+")
 _END = 0xFF  # occurs in no UTF-8 text
 
 
@@ -241,6 +243,32 @@ def covered(starts, length: int) -> tuple[np.ndarray, np.ndarray]:
     return a[head], b[np.append(head[1:] - 1, len(b) - 1)]
 
 
+def passages(docs: DataFrame, words: int, length: int) -> DataFrame:
+    """(rid, starts) of passages of ``words`` whole words in fewer than ``length`` bytes that occur again, as runs for ``covered``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for rows in batches:
+            row, a, b, own = [], [], [], []
+            for k, text in enumerate(rows.column("text").to_pylist()):
+                data = (text or "").encode()
+                at = np.array([m.span() for m in _WORD.finditer(data)], dtype=np.int64).reshape(-1, 2)
+                first, last = at[: max(0, len(at) - words + 1), 0], at[words - 1:, 1]
+                for x, y in zip(first[last - first < length].tolist(), last[last - first < length].tolist(), strict=True):
+                    row.append(k)
+                    a.append(x)
+                    b.append(y - length + 1)
+                    own.append(xxhash.xxh3_128_digest(data[x:y]))
+            rid = rows.column("rid").take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rid, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(own, pa.binary())], ["rid", "a", "b", "own"])
+
+    each = written(docs.select(row_key(), "text").mapInArrow(run, "rid binary, a int, b int, own binary"), "passages")
+    twice = written(each.groupBy("own").agg(F.count("*").alias("n")).filter("n > 1").select("own"), "passages-twice")
+    return each.join(twice, "own").groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("starts"))
+
+
 def _removed(rows: DataFrame, length: int) -> DataFrame:
     """(rid, n_removed, n_spans, kept_sha256, clean_text): clean_text leaves characters whole that a run only touches."""
 
@@ -286,9 +314,18 @@ def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False, **option
                       F.coalesce("kept_sha256", "own").alias("kept_sha256"), *(["clean_text"] if texts else []))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """The rows of ``docs`` with repeated strings cut out of their texts; rows of which nothing is left go."""
-    hit = written(_removed(spans_of(docs.select("doc_id", "text"), length, **options), length).select("rid", "clean_text"), "clean")
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0, **options) -> DataFrame:
+    """The rows of ``docs`` with repeated strings cut out of their texts; rows of which nothing is left go.
+
+    With ``words``, repeated passages of at least so many whole words are cut as well, in however few bytes: a passage below ``length`` bytes is looked up as a whole.
+    """
+    own = docs.select("doc_id", "text")
+    found = spans_of(own, length, **options)
+    if words:
+        starts = found.select("rid", "starts").union(passages(own, words, length)).groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        texts = own.select(row_key(), "text").withColumnRenamed("rid", "own")
+        found = written(texts.join(written(starts, "starts"), F.col("own") == F.col("rid")).select("rid", "text", "starts"), "runs").dropDuplicates(["rid"])
+    hit = written(_removed(found, length).select("rid", "clean_text"), "clean")
     keyed = docs.withColumn("_vl_rid", row_key())
     joined = keyed.join(hit.withColumnsRenamed({"rid": "_vl_hit", "clean_text": "_vl_clean"}), F.col("_vl_rid") == F.col("_vl_hit"), "left")
     kept = joined.filter("_vl_hit is null or trim(_vl_clean) != ''").withColumn("text", F.coalesce("_vl_clean", "text"))
