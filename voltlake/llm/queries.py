@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import fingerprints as fp
-from voltlake.llm import decontaminate, html_extract, langid, mixing, neardup, quality, suffix_dedup, token_counts, warc
+from voltlake.llm import decontaminate, html_extract, langid, mixing, neardup, periodic, prefix_trie, quality, suffix_dedup, token_counts, url_filter, warc
 from voltlake.llm.common import lake
 
 QUERIES = {}
@@ -84,3 +84,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_langid")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(lake(spark, sf_dir).documents).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op11_url_filter", url_filter.judge_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(lake(spark, sf_dir).pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_prefix_trie", prefix_trie.prefix_trie_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(lake(spark, sf_dir).conversations)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(lake(spark, sf_dir).documents, planted=True, texts=False).drop("clean_text")
