@@ -3,8 +3,8 @@
 A document's set holds its distinct five-word shingles; equal sets are one class. Every class is embedded by COORDINATES
 minwise tokens. In each of TREES independent trees a class starts at the root and follows two branches a level: the node
 chooses two coordinates, and a branch is named by the token there. Nodes of at most LEAF classes are compared
-exhaustively (by tokens first, then by their full sets); of larger nodes every class is compared with one pivot, classes linked
-to it take its label, and the node branches on until it is small or has one label. Nodes still large at MAX_LEVEL are
+exhaustively (by tokens first, then by their full sets); of larger nodes every class is compared with one pivot. If few are not linked to it,
+those are compared with all others and the node is done; else the node branches on until it is small. Nodes still large at MAX_LEVEL are
 compared in blocks, all against all. Two classes of similarity s miss each other in a tree with probability p = (s p + 1 - s)^2,
 which is 0.03 at s = 0.85 and 0.06 at 0.8; four trees leave less than 2e-5.
 
@@ -32,6 +32,7 @@ TREES = 4
 LEAF = 4096
 FIRST_LEVEL = 2
 MAX_LEVEL = 8
+WEIGHT = 1 << 20  # shingles of the sets that one comparison holds, two sets at least
 SLACK = 0.14  # estimates this far below the threshold still go to the exact check, four deviations and more
 
 _SPACE = table(b" \t\n\r\x0b\x0c")
@@ -89,7 +90,7 @@ def _tokens(column) -> np.ndarray:
 
 
 def _start(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, c, label) at FIRST_LEVEL of all trees."""
+    """(node, c) at FIRST_LEVEL of all trees."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -101,15 +102,15 @@ def _start(classes: DataFrame, trees: int) -> DataFrame:
             nodes = np.repeat(mixed(np.arange(1, trees + 1, dtype=U))[None, :], len(tokens), axis=0)
             for _ in range(FIRST_LEVEL):
                 nodes = np.concatenate([_children(nodes[:, k], tokens) for k in range(nodes.shape[1])], axis=1)
-            own = np.repeat(np.arange(len(tokens)), nodes.shape[1])
-            c = rows.column("c").take(pa.array(own))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), c, c], ["node", "c", "label"])
+            nodes = np.sort(nodes, axis=1)
+            new = np.append(np.ones((len(nodes), 1), dtype=bool), nodes[:, 1:] != nodes[:, :-1], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[new].view(np.int64)), rows.column("c").take(pa.array(np.nonzero(new)[0]))], ["node", "c"])
 
-    return classes.select("c", "sketch").mapInArrow(run, "node long, c binary, label binary").dropDuplicates(["node", "c"])
+    return classes.select("c", "sketch").mapInArrow(run, "node long, c binary")
 
 
 def _branch(held: DataFrame) -> DataFrame:
-    """The next level of rows (node, c, label, sketch)."""
+    """The next level of rows (node, c, sketch)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -119,18 +120,18 @@ def _branch(held: DataFrame) -> DataFrame:
                 continue
             nodes = _children(rows.column("node").to_numpy(zero_copy_only=False).view(U), _tokens(rows.column("sketch")))
             own = pa.array(np.repeat(np.arange(rows.num_rows), 2))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), rows.column("c").take(own), rows.column("label").take(own)], ["node", "c", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), rows.column("c").take(own)], ["node", "c"])
 
-    return held.select("node", "c", "label", "sketch").mapInArrow(run, "node long, c binary, label binary").dropDuplicates(["node", "c"])
+    return held.select("node", "c", "sketch").mapInArrow(run, "node long, c binary").dropDuplicates(["node", "c"])
 
 
-def _likely(classes: DataFrame, groups: DataFrame, percent: float, labels: DataFrame | None = None) -> DataFrame:
-    """Of groups (g, c) of classes, what their tokens and set sizes allow to be linked, once, however many nodes hold it.
+def _likely(classes: DataFrame, groups: DataFrame, percent: float, labels: DataFrame | None = None, forest: bool = False) -> DataFrame:
+    """Of groups (g, c) of classes, what their tokens and set sizes allow to be linked, once, however many nodes hold it: (g, members, labels).
 
-    Without ``labels`` the pairs (g, members) of a spanning forest of the closest estimates. With ``labels`` (node, label) the parts
-    that pairs of different labels connect, (g, members, labels).
+    ``labels`` (node, label) are classes that are connected already. With ``forest`` the pairs of a spanning forest of the closest estimates, else
+    the parts that pairs of different labels connect.
     """
-    least, labelled = percent / 100 - SLACK, labels is not None
+    least = percent / 100 - SLACK
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -141,9 +142,13 @@ def _likely(classes: DataFrame, groups: DataFrame, percent: float, labels: DataF
                 group.sort(key=lambda r: r["c"])
                 tokens = np.stack([np.frombuffer(r["sketch"], dtype=np.uint32) for r in group])
                 size = np.array([r["n"] for r in group])
-                own = np.unique([r["label"] for r in group], return_inverse=True)[1] if labelled else np.arange(len(group))
-                for part in (_parts if labelled else _forest)(tokens, size, own, percent, least):
-                    found[tuple(group[i]["c"] for i in part)] = [group[i]["label"] for i in part] if labelled else None
+                number: dict[bytes, int] = {}
+                own = np.array([number.setdefault(r["label"], len(number)) for r in group])
+                if len(number) == 1:
+                    continue
+                parts = (_forest if forest else _parts)(tokens, size, own, percent, least)
+                for part in (piece for part in parts for piece in _pieces(part, size)):
+                    found[tuple(group[i]["c"] for i in part)] = None if forest else [group[i]["label"] for i in part]
             yield pa.RecordBatch.from_arrays([pa.array([list(m) for m in found], pa.list_(pa.binary())), pa.array(list(found.values()), pa.list_(pa.binary()))], ["members", "labels"])
 
     held = groups.join(classes.select("c", "n", "sketch"), "c")
@@ -200,6 +205,21 @@ def _parts(tokens, size, own, percent: float, least: float) -> list[list[int]]:
     return out
 
 
+def _pieces(part: list[int], size: np.ndarray, weight: int | None = None) -> list[list[int]]:
+    """A part whose sets are too large to be held together as pairs of blocks, so that every two members still meet."""
+    weight = WEIGHT if weight is None else weight
+    if len(part) < 3 or size[part].sum() <= weight:
+        return [part]
+    blocks, held = [[]], 0
+    for i in part:
+        if blocks[-1] and held + size[i] > weight // 2:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(i)
+        held += size[i]
+    return [blocks[x] + blocks[y] for y in range(len(blocks)) for x in range(y)] or [part]
+
+
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -255,45 +275,66 @@ def _texts(docs: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
     return docs.select(text_key(), "text").join(need, "tid").groupBy("c").agg(F.first("text").alias("text"))
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: float = PERCENT, n: int = SHINGLE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(a, b) between classes of similar sets, enough of them to connect every component."""
+def _stars(large: DataFrame, docs: DataFrame, classes: DataFrame, percent: float, n: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the members of large nodes (node, c, size) to one pivot each, confirmed on full sets, and the members (node, c, size) that are not linked to it."""
+    pivots = large.groupBy("node").agg(F.min_by("c", F.unhex(F.md5(F.concat(F.unhex(F.lit(f"{level:02X}")), "c")))).alias("pivot"))
+    pivots = written(pivots.withColumnRenamed("node", "at"), "pivots")
+    # the members of a large node are dealt into chunks, each with the node's pivot
+    chunks = large.join(pivots, F.col("node") == F.col("at")).withColumn("k", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / 40)))
+    parts = chunks.groupBy("pivot", "node", "k").agg(F.array_sort(F.collect_set("c")).alias("members"))
+    parts = parts.withColumn("members", F.array_union(F.array("pivot"), "members")).select("members", F.lit(None).cast("array<binary>").alias("labels"))
+    parts = written(parts.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"]).select("g", "members", "labels"), "stars")
+    links = written(_confirmed(parts, _texts(docs, classes, parts), percent, n, level), "star-links")
+    linked = links.select(F.col("b").alias("c"), F.col("a").alias("pivot")).distinct()
+    rest = large.join(pivots, F.col("node") == F.col("at")).filter("c != pivot").join(linked, ["c", "pivot"], "left_anti").select("node", "c", "size")
+    return links, written(rest, "not-linked")
+
+
+def _against_rest(large: DataFrame, rest: DataFrame, leaf: int) -> DataFrame:
+    """(g, c): the members of a large node in chunks, each chunk with all of the node's ``rest``, of which there are at most leaf / 2."""
+    half = max(1, leaf // 2)
+    count = F.ceil(F.col("size") / half).cast("int")
+    own = large.withColumn("k", F.pmod(F.xxhash64("c"), count).cast("int"))
+    others = rest.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
+    return own.select("node", "k", "c").union(others.select("node", "k", "c")).select(F.concat_ws(":", "node", "k").alias("g"), "c").distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, percent: float = PERCENT, n: int = SHINGLE, trees: int = TREES, leaf: int = LEAF) -> list[DataFrame]:
+    """Tables (a, b) of links between classes of similar sets, enough of them to connect every component."""
     nodes, found, small = written(_start(classes, trees), "nodes"), [], []
     for level in range(FIRST_LEVEL, MAX_LEVEL + 1):
-        size = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        size = written(size.filter("size > 1 and l0 != l1").select("node", "size"), "sizes")
+        size = written(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
         alive = written(nodes.join(size, "node"), "alive")
-        lists = alive.filter(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("members"))
-        small.append(lists.select("members"))
+        small.append(alive.filter(F.col("size") <= leaf).groupBy("node").agg(F.array_sort(F.collect_list("c")).alias("members")).select("members"))
         if size.filter(F.col("size") > leaf).isEmpty():
             break
         large = alive.filter(F.col("size") > leaf)
-        if level == MAX_LEVEL:
-            small.append(_blocks(large, leaf).groupBy("g").agg(F.array_sort(F.collect_list("c")).alias("members")).select("members"))
-            break
-        pivots = large.groupBy("node").agg(F.min_by("c", F.unhex(F.md5(F.concat(F.unhex(F.lit(f"{level:02X}")), "c")))).alias("pivot"))
-        # every chunk of a large node is compared with the node's pivot, which is in each of them
-        chunks = large.join(pivots, "node").withColumn("k", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / 40)))
-        stars = chunks.select("node", "k", "c").union(chunks.select("node", "k", F.col("pivot").alias("c"))).distinct()
-        stars = stars.groupBy("node", "k").agg(F.array_sort(F.collect_list("c")).alias("members"), F.lit(None).cast("array<binary>").alias("labels"))
-        parts = written(stars.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"]).select("g", "members", "labels"), "stars")
-        star = written(_confirmed(parts, _texts(docs, classes, parts), percent, n, level), "star-links")
+        star, rest = _stars(large, docs, classes, percent, n, level)
         found.append(star)
-        label = star.groupBy("b").agg(F.min("a").alias("star"))
-        held = large.join(label, F.col("c") == F.col("b"), "left").withColumn("label", F.coalesce("star", "label"))
-        nodes = written(_branch(held.select("node", "c", "label").join(classes.select("c", "sketch"), "c")), "nodes")
-    lists = small[0]
-    for more in small[1:]:
-        lists = lists.union(more)
+        # few classes that are not linked to the pivot: they meet all others of the node, which are connected already
+        many = written(rest.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, leaf // 2)).select("node"), "many")
+        groups = _against_rest(large.join(rest.select("node").distinct(), "node", "left_semi"), rest, leaf) if level < MAX_LEVEL and many.isEmpty() else None
+        if groups is None:
+            few = rest.join(many, "node", "left_anti")
+            groups = _against_rest(large.join(few.select("node").distinct(), "node", "left_semi"), few, leaf)
+            large = large.join(many, "node", "left_semi")
+            groups = groups.union(_blocks(large, leaf)) if level == MAX_LEVEL else groups
+        small.append(groups.groupBy("g").agg(F.array_sort(F.collect_list("c")).alias("members")).select("members"))
+        if level == MAX_LEVEL or many.isEmpty():
+            break
+        nodes = written(_branch(large.select("node", "c").join(classes.select("c", "sketch"), "c")), "nodes")
+    lists = _all(small)
     lists = lists.withColumn("g", F.md5(F.array_join(F.transform("members", F.hex), ""))).dropDuplicates(["g"])
     groups = written(lists.select("g", F.explode("members").alias("c")), "groups")
+    labels = written(components(_all(found)), "star-labels") if found else None
     # the closest estimates first: most links are among them, and each is confirmed once
-    pairs = written(_likely(classes, groups, percent), "pairs")
+    pairs = written(_likely(classes, groups, percent, labels, forest=True), "pairs")
     found.append(written(_confirmed(pairs, _texts(docs, classes, pairs), percent, n), "pair-links"))
     known = written(components(_all(found)), "known")
     # then whatever may link two components
     rest = written(_likely(classes, groups, percent, known), "rest")
-    found.append(written(_confirmed(rest, _texts(docs, classes, rest), percent, n), "rest-links"))
-    return _all(found)
+    last = written(_confirmed(rest, _texts(docs, classes, rest), percent, n), "rest-links")
+    return [known.select(F.col("node").alias("a"), F.col("label").alias("b")), last]
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -324,10 +365,13 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT, n: int = SHINGLE,
     rows = written(embedded(docs, n), "shingled")
     classes = written(
         rows.filter("c is not null").groupBy("c").agg(F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    found = written(components(links(docs, classes, percent, n, trees, leaf)), "components")
-    named = rows.select("doc_id", "tid", "n", "c").join(found, F.col("c") == F.col("node"), "left").withColumn("label", F.coalesce("label", "c")).drop("node", "c")
-    first = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("first"))
-    out = named.join(first, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")))
+    known, last = links(docs, classes, percent, n, trees, leaf)
+    found = written(components(known.union(last)), "components") if not last.isEmpty() else known.withColumnsRenamed({"a": "node", "b": "label"})
+    named = rows.select("doc_id", "tid", "n", "c").join(found, F.col("c") == F.col("node"), "left").select("doc_id", "tid", "n", F.coalesce("label", "c").alias("label"))
+    named = written(named, "named")
+    # a written table, so that the join below reads plain shuffles, of which that of a hot component can be split
+    first = written(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("first")).withColumnRenamed("label", "of"), "first")
+    out = named.join(first, F.col("label") == F.col("of"), "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("first")))
     return out.select("doc_id", "tid", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
