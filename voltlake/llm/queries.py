@@ -67,8 +67,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.repeats(lake(spark, sf_dir).documents)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix_dedup.repeats(lake(spark, sf_dir).documents, words=51)  # passages of over 50 words
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")
 
 
 @query("op2_token_counts")

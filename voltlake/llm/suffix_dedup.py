@@ -6,12 +6,13 @@ segments of one anchor. Anchors that occur once are left out, equal segments are
 segments of the others are dealt by anchor into shards. A shard's suffix array is built by induced sorting; a
 string repeats where the permuted common prefix reaches LENGTH. An anchor with more than HOT distinct segments is split by
 content instead: blocks of strings that share a core, then single strings, both counted with pre-aggregation.
+
+Passages of a number of whole words are found in the same way from word anchors, and the windows of segments with equal anchors are counted.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,41 +21,46 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import small_batches, tasks, written
 from voltlake.llm.suffix_array import plcp, suffix_array
-from voltlake.llm.textops import PIECE, U, spans, word_hashes
+from voltlake.llm.textops import PIECE, U, sequences, spans, table, word_hashes
 
 LENGTH = 400
 GRAM = 64
 HOT = 512
 BLOCK = 16
 SHARD = 1 << 20  # bytes of text sorted at once; one anchor's segments may add up to HOT * 2 * LENGTH more
-_WORD = re.compile(rb"[^\x09-\x0d\x20]+")
+GRAM_WORDS = 8
 _END = 0xFF  # occurs in no UTF-8 text
+_SPACE = table(b" \t\n\r\x0b\x0c")
 
 
 def row_key() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))).alias("rid")
 
 
+def _dealt(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of ``width`` grams with hashes ``h``: (first, number, place of the least gram, the rightmost of equals) of each run that shares it."""
+    m = len(h)
+    value = (h & U(0xFFFFFFFF00000000)) | (U(0xFFFFFFFF) - np.arange(m).astype(U))
+    padded = np.full(-(-m // width) * width, U(0xFFFFFFFFFFFFFFFF), dtype=U)
+    padded[:m] = value
+    rows = padded.reshape(-1, width)
+    left = np.minimum.accumulate(rows, axis=1).ravel()
+    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    starts = m - width + 1
+    low = np.minimum(right[:starts], left[width - 1: width - 1 + starts])
+    place = (U(0xFFFFFFFF) - (low & U(0xFFFFFFFF))).astype(np.int64)
+    edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return edge, np.diff(np.append(edge, starts)), place[edge]
+
+
 def segments(buf: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
     """(first start, number of starts, place of the anchor) of every segment, in order."""
-    n, width, out = len(buf), length - gram + 1, []
-    for at in range(0, n - length + 1, PIECE):
+    out = []
+    for at in range(0, len(buf) - length + 1, PIECE):
         part = buf[at: at + PIECE + length - 1]
         grams = np.arange(len(part) - gram + 1)
-        h = word_hashes(part, grams, grams + gram)
-        value = (h & U(0xFFFFFFFF00000000)) | (U(0xFFFFFFFF) - grams.astype(U))
-        m = len(value)
-        padded = np.full(-(-m // width) * width, U(0xFFFFFFFFFFFFFFFF), dtype=U)
-        padded[:m] = value
-        rows = padded.reshape(-1, width)
-        left = np.minimum.accumulate(rows, axis=1).ravel()
-        right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = m - width + 1
-        low = np.minimum(right[:starts], left[width - 1: width - 1 + starts])
-        place = (U(0xFFFFFFFF) - (low & U(0xFFFFFFFF))).astype(np.int64)
-        edge = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        count = np.diff(np.append(edge, starts))
-        out += [(int(a) + at, int(c), int(p) + at) for a, c, p in zip(edge, count, place[edge], strict=True)]
+        first, count, place = _dealt(word_hashes(part, grams, grams + gram), length - gram + 1)
+        out += zip((first + at).tolist(), count.tolist(), (place + at).tolist(), strict=True)
     return out
 
 
@@ -207,8 +213,62 @@ def _by_content(parts: DataFrame, length: int, block: int) -> DataFrame:
     return whole.union(hits)
 
 
-def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(rid, text, starts): of every row with a repeated string its text and the runs of starts of such strings; rows that repeat id and text are one."""
+def _word_anchors(docs: DataFrame, words: int) -> DataFrame:
+    """(rid, h, seg, s, m): as ``_anchors`` for strings of ``words`` whole words; s and m count words, seg is the hash of the bytes."""
+    gram = min(GRAM_WORDS, words)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for rows in batches:
+            own, h, seg, s, m = [], [], [], [], []
+            for k, text in enumerate(rows.column("text").to_pylist()):
+                data = (text or "").encode()
+                buf = np.frombuffer(data, dtype=np.uint8)
+                starts, ends = spans(~_SPACE[buf])
+                if len(starts) < words:
+                    continue
+                grams = sequences(word_hashes(buf, starts, ends), gram)
+                width = words - gram + 1
+                for at in range(0, len(grams) - width + 1, PIECE):
+                    first, count, place = _dealt(grams[at: at + PIECE + width - 1], width)
+                    anchor = grams[at:][place].view(np.int64)
+                    first, last = first + at, first + at + count + words - 2
+                    own += [k] * len(first)
+                    h += anchor.tolist()
+                    s += first.tolist()
+                    m += count.tolist()
+                    seg += [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
+            rid = rows.column("rid").take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rid, pa.array(h, pa.int64()), pa.array(seg, pa.binary()), pa.array(s, pa.int32()), pa.array(m, pa.int32())], ["rid", "h", "seg", "s", "m"])
+
+    return docs.select(row_key(), "text").mapInArrow(run, "rid binary, h long, seg binary, s int, m int")
+
+
+def _windows(texts: DataFrame, words: int) -> DataFrame:
+    """Of rows (text, windows) every string of ``words`` words of the wanted segments: (h, seg, i, n, r0, r1, own)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for rows in batches:
+            out = []
+            for text, wanted in zip(rows.column("text").to_pylist(), rows.column("windows").to_pylist(), strict=True):
+                data = (text or "").encode()
+                starts, ends = (x.tolist() for x in spans(~_SPACE[np.frombuffer(data, dtype=np.uint8)]))
+                out += [(w["h"], w["seg"], i, w["n"], w["r0"], w["r1"], xxhash.xxh3_128_digest(data[starts[w["s"] + i]: ends[w["s"] + i + words - 1]])) for w in wanted for i in range(w["m"])]
+            made = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "i", "n", "r0", "r1", "own"])
+
+    return texts.mapInArrow(run, "h long, seg binary, i int, n long, r0 binary, r1 binary, own binary")
+
+
+def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK, words: int = 0, elsewhere: bool = False) -> DataFrame:
+    """(rid, text, starts, passages): of every row with a repeated string its text, the runs of starts of such strings, and, if ``words`` is set, the runs of first words of
+    strings of ``words`` words that occur again (with ``elsewhere``: in another row); rows that repeat id and text are one."""
     docs = docs.select("doc_id", "text")
     anchors = written(_anchors(docs, length, gram), "anchors")
     # counts are written tables, so that the joins below read plain shuffles, of which hot partitions can be split
@@ -218,21 +278,47 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     size = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "kinds-of-anchor")
     many = kinds.join(size, "h")
     # bytes are needed of one occurrence of every segment whose anchor has several
-    wanted = many.filter("kinds > 1").select("one.rid", F.struct("h", "seg", "one.s", "one.m", "one.anchor", F.lit(length - 1).alias("more")).alias("w"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    needed = seen.select("rid").distinct().join(wanted, "rid", "left").withColumnRenamed("rid", "need")
+    wanted = many.filter("kinds > 1").select("one.rid", F.struct("h", "seg", "one.s", "one.m", "one.anchor", F.lit(length - 1).alias("more")).alias("w"), F.lit(None).alias("p"))
+    rids = seen.select("rid")
+    if words:
+        word_anchors = written(_word_anchors(docs, words), "word-anchors")
+        again = "r0 != r1" if elsewhere else "n > 1"
+        counted = (F.count("*").alias("n"), F.min("rid").alias("r0"), F.max("rid").alias("r1"))
+        again_h = written(word_anchors.groupBy("h").agg(*counted).filter(again).select("h"), "often-words")
+        word_seen = written(word_anchors.join(again_h, "h"), "repeated-words")
+        word_kinds = written(word_seen.groupBy("h", "seg").agg(*counted, F.min(F.struct("rid", "s", "m")).alias("one")), "word-kinds")
+        word_size = written(word_kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h"), "several-words")
+        several = word_kinds.join(word_size, "h")
+        wanted = wanted.withColumn("p", F.lit(None).cast("struct<h:bigint,seg:binary,s:int,m:int,n:bigint,r0:binary,r1:binary>")).union(
+            several.select("one.rid", F.lit(None), F.struct("h", "seg", "one.s", "one.m", "n", "r0", "r1")))
+        rids = rids.union(word_seen.select("rid"))
+    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"), F.collect_list("p").alias("windows"))
+    needed = rids.distinct().join(wanted, "rid", "left").withColumnRenamed("rid", "need")
     own = docs.select(row_key(), "text")
     held = written(own.join(needed, F.col("rid") == F.col("need")).drop("need").dropDuplicates(["rid"]), "held")
-    parts = written(_cut_out(held.select("text", "wanted").filter("wanted is not null")), "segments")
+    parts = written(_cut_out(held.select("text", "wanted").filter("size(wanted) > 0")), "segments")
     parts = parts.join(size, "h")
     found = _by_shards(parts.filter(F.col("kinds") <= hot), length)
     if not size.filter(F.col("kinds") > hot).isEmpty():
         found = found.union(_by_content(parts.filter(F.col("kinds") > hot), length, block))
     copied = many.filter("n > 1").select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("one.m").alias("b"))).alias("runs"))
     found = written(found.union(copied), "found")
-    starts = seen.select("rid", "h", "seg", "s").join(found, ["h", "seg"]).groupBy("rid").agg(
-        F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))))).alias("starts"))
-    return held.select("rid", "text").join(starts, "rid")
+    out = held.select("rid", "text").join(_runs(seen, found).withColumnsRenamed({"rid": "at", "runs": "starts"}), F.col("rid") == F.col("at"), "left").drop("at")
+    if not words:
+        return out.filter("starts is not null").withColumn("passages", F.lit(None).cast("array<struct<a:int,b:int>>"))
+    each = written(_windows(held.select("text", "windows").filter("size(windows) > 0"), words), "windows")
+    twice = written(each.groupBy("own").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).filter(again).select("own"), "windows-twice")
+    hits = each.join(twice, "own").groupBy("h", "seg").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+    copied = word_kinds.filter(again).select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("one.m").alias("b"))).alias("runs"))
+    passages = _runs(word_seen, written(hits.union(copied), "found-words"))
+    out = out.join(passages.withColumnsRenamed({"rid": "at", "runs": "passages"}), F.col("rid") == F.col("at"), "left")
+    return out.drop("at").filter("starts is not null or passages is not null")
+
+
+def _runs(seen: DataFrame, found: DataFrame) -> DataFrame:
+    """(rid, runs): what was found of each segment, moved to where it stands in every row."""
+    return seen.select("rid", "h", "seg", "s").join(found, ["h", "seg"]).groupBy("rid").agg(
+        F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))))).alias("runs"))
 
 
 def covered(starts, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,45 +329,19 @@ def covered(starts, length: int) -> tuple[np.ndarray, np.ndarray]:
     return a[head], b[np.append(head[1:] - 1, len(b) - 1)]
 
 
-def passages(docs: DataFrame, words: int, length: int) -> DataFrame:
-    """(rid, starts) of passages of ``words`` whole words in fewer than ``length`` bytes that occur again, as runs for ``covered``."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import xxhash
-
-        for rows in batches:
-            row, a, b, own = [], [], [], []
-            for k, text in enumerate(rows.column("text").to_pylist()):
-                data = (text or "").encode()
-                at = np.array([m.span() for m in _WORD.finditer(data)], dtype=np.int64).reshape(-1, 2)
-                first, last = at[: max(0, len(at) - words + 1), 0], at[words - 1:, 1]
-                for x, y in zip(first[last - first < length].tolist(), last[last - first < length].tolist(), strict=True):
-                    row.append(k)
-                    a.append(x)
-                    b.append(y - length + 1)
-                    own.append(xxhash.xxh3_128_digest(data[x:y]))
-            rid = rows.column("rid").take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rid, pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(own, pa.binary())], ["rid", "a", "b", "own"])
-
-    each = written(docs.select(row_key(), "text").mapInArrow(run, "rid binary, a int, b int, own binary"), "passages")
-    twice = written(each.groupBy("own").agg(F.count("*").alias("n")).filter("n > 1").select("own"), "passages-twice")
-    return each.join(twice, "own").groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("starts"))
-
-
-def _removed(rows: DataFrame, length: int) -> DataFrame:
-    """(rid, n_removed, n_spans, kept_sha256, clean_text): clean_text leaves characters whole that a run only touches."""
+def _removed(rows: DataFrame, length: int, words: int = 0, cut: bool = False) -> DataFrame:
+    """(rid, n_removed, n_spans, kept_sha256, n_passage_words, clean_text): clean_text leaves characters whole that a run only touches, and without passages too if ``cut``."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for part in batches:
             out = []
-            for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
+            for text, starts, passages in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "passages")), strict=True):
                 data = (text or "").encode()
                 u = np.frombuffer(data, dtype=np.uint8)
                 keep, whole = np.ones(len(u), dtype=bool), np.ones(len(u), dtype=bool)
-                first, last = covered(starts, length)
+                first, last = covered(starts, length) if starts else (np.empty(0, dtype=np.int64),) * 2
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     keep[a:b] = False
                     while a < b and u[a] & 0xC0 == 0x80:
@@ -289,43 +349,47 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
                     while b < len(u) and b > a and u[b] & 0xC0 == 0x80:
                         b -= 1
                     whole[a:b] = False
-                out.append((int((~keep).sum()), len(first), hashlib.sha256(u[keep].tobytes()).hexdigest(), u[whole].tobytes().decode()))
-            made = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([part.column("rid")] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["rid", "n_removed", "n_spans", "kept_sha256", "clean_text"])
+                n = 0
+                if passages:
+                    from_, to = covered(passages, words)
+                    n = int((to - from_).sum())
+                    if cut:
+                        begin, end = spans(~_SPACE[u])
+                        for a, b in zip(begin[from_].tolist(), end[to - 1].tolist(), strict=True):
+                            whole[a:b] = False
+                out.append((int((~keep).sum()), len(first), hashlib.sha256(u[keep].tobytes()).hexdigest(), n, u[whole].tobytes().decode()))
+            made = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([part.column("rid")] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["rid", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "clean_text"])
 
-    return rows.mapInArrow(run, "rid binary, n_removed long, n_spans long, kept_sha256 string, clean_text string")
+    return rows.mapInArrow(run, "rid binary, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, clean_text string")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False, **options) -> DataFrame:
-    """(doc_id, rid, n_bytes, n_removed, n_spans, kept_sha256[, clean_text]) of every row.
+def repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False, words: int = 0, **options) -> DataFrame:
+    """(doc_id, rid, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words[, clean_text]) of every row.
 
     A null text is empty; texts below ``length`` bytes have nothing to remove. Rows that repeat id and text count as separate
-    occurrences and have equal results. clean_text is null where nothing is removed. Other columns are ignored.
+    occurrences and have equal results. n_passage_words counts the words inside strings of ``words`` words that occur in another row as well (0 without ``words``); it has no part
+    in what is removed. clean_text is null where nothing is found. An empty table gives none. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    hit = _removed(spans_of(docs, length, **options), length)
+    hit = _removed(spans_of(docs, length, words=words, elsewhere=True, **options), length, words)
     hit = hit if texts else hit.drop("clean_text")
     body = F.coalesce("text", F.lit(""))
     all_ = docs.select("doc_id", row_key(), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("own"))
     out = all_.join(hit.withColumnRenamed("rid", "hit"), F.col("rid") == F.col("hit"), "left")
-    return out.select("doc_id", "rid", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-                      F.coalesce("kept_sha256", "own").alias("kept_sha256"), *(["clean_text"] if texts else []))
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "n_passage_words")}
+    return out.select("doc_id", "rid", "n_bytes", zero["n_removed"], zero["n_spans"], F.coalesce("kept_sha256", "own").alias("kept_sha256"), zero["n_passage_words"], *(["clean_text"] if texts else []))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0, **options) -> DataFrame:
     """The rows of ``docs`` with repeated strings cut out of their texts; rows of which nothing is left go.
 
-    With ``words``, repeated passages of at least so many whole words are cut as well, in however few bytes: a passage below ``length`` bytes is looked up as a whole.
+    With ``words``, repeated passages of at least so many whole words are cut as well, in however few bytes.
     """
-    own = docs.select("doc_id", "text")
-    found = spans_of(own, length, **options)
-    if words:
-        starts = found.select("rid", "starts").union(passages(own, words, length)).groupBy("rid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-        texts = own.select(row_key(), "text").withColumnRenamed("rid", "own")
-        found = written(texts.join(written(starts, "starts"), F.col("own") == F.col("rid")).select("rid", "text", "starts"), "runs").dropDuplicates(["rid"])
-    hit = written(_removed(found, length).select("rid", "clean_text"), "clean")
+    found = spans_of(docs.select("doc_id", "text"), length, words=words, **options)
+    hit = written(_removed(found, length, words, cut=True).select("rid", "clean_text"), "clean")
     keyed = docs.withColumn("_vl_rid", row_key())
     joined = keyed.join(hit.withColumnsRenamed({"rid": "_vl_hit", "clean_text": "_vl_clean"}), F.col("_vl_rid") == F.col("_vl_hit"), "left")
     kept = joined.filter("_vl_hit is null or trim(_vl_clean) != ''").withColumn("text", F.coalesce("_vl_clean", "text"))
