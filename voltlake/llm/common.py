@@ -14,6 +14,7 @@ from voltlake.session import scratch
 from voltlake.tables import Lake
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def lake(spark: SparkSession, sf_dir: str) -> Lake:
@@ -38,8 +39,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long, so a batch sent to Python holds few rows."""
+    """Texts and gathered groups can be long, so a batch sent to Python holds few rows and, beyond one row, few bytes."""
     spark.conf.set(ARROW_ROWS, "256")
+    spark.conf.set(ARROW_BYTES, "8m")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
