@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from test_operators import components_by_brute_force, contaminated_by_brute_force, removed_by_brute_force
+from test_operators import components_by_brute_force, contaminated_by_brute_force, passage_words_by_brute_force, removed_by_brute_force, removed_passages
 from tools.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +31,8 @@ def test_query(spark, name):
 def test_against_brute_force(spark, documents):
     run = lambda n: sorted(tuple(r) for r in entry.queries()[n](spark, SF).collect())
     items = duckdb.connect().execute(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
-    assert run("op1_suffix_dedup") == sorted(removed_by_brute_force(documents, 400))
+    passages = dict(passage_words_by_brute_force([d[:2] for d in documents], 51))
+    assert run("op1_suffix_dedup") == sorted((*r, passages[r[0]]) for r in removed_by_brute_force(documents, 400))
     assert run("op6_decontaminate") == sorted(contaminated_by_brute_force([d[:2] for d in documents], items, 10))
     assert run("op10_neardup") == sorted(components_by_brute_force(documents, 85))
 
@@ -59,10 +60,9 @@ def test_pipeline_stages(spark, documents):
     assert sum(d in ids[1] for d in clean) >= 0.95 * len(clean)
     near = components_by_brute_force([(r.doc_id, r.text) for r in got[1]], corpus_pipeline.SIMILARITY)
     assert ids[2] == {r[0] for r in near if r[3]}
-    left = {r[0]: r for r in removed_by_brute_force([(r.doc_id, r.text) for r in got[2]], corpus_pipeline.REPEAT_BYTES)}
+    left = removed_passages([(r.doc_id, r.text) for r in got[2]], corpus_pipeline.REPEAT_BYTES, corpus_pipeline.REPEAT_WORDS)
     for r in got[3]:
-        n = len(r.text.encode())
-        assert left[r.doc_id][1] - left[r.doc_id][2] <= n <= left[r.doc_id][1] - left[r.doc_id][2] + 6 * left[r.doc_id][3] and r.n_chars == len(r.text)
+        assert left[r.doc_id] == r.text and r.n_chars == len(r.text)
     items = duckdb.connect().execute(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     hits = {r[0]: r for r in contaminated_by_brute_force([(r.doc_id, r.text) for r in got[3]], items, 10)}
     assert ids[4] == {d for d, r in hits.items() if r[2] <= 0.5 * r[1]}
