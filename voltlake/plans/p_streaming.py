@@ -25,6 +25,17 @@ def arrivals(t, out):
     return J.source(t.spark, f"{out}/in", SCHEMAS["events"], max_files=1)
 
 
+def arrivals_in_order(t, out, where="true", parts=4):
+    """Events as files in event order, written one after the other, so that a watermark finds them in time. The cuts are few numbers."""
+    rows = t.events.where(where)
+    at = rows.select(F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("x"))
+    cuts = at.approxQuantile("x", [i / parts for i in range(1, parts)], 0.01)
+    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
+        x = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
+        rows.where((x >= lo) & (x < hi)).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    return J.source(t.spark, f"{out}/in", SCHEMAS["events"], max_files=1)
+
+
 @query("src_stream_bronze", "select count(*) as records_processed, 0 as last_batch, count(*) as rows_landed from events")
 def src_stream_bronze(t):
     out = scratch(t.spark, "stream-bronze")
@@ -63,7 +74,8 @@ def st_tumbling(t):
         out = scratch(t.spark, "tumbling")
         aggs = {"n": F.count("*"), "total": F.sum(F.col("value").cast("decimal(18,2)"))}
         J.tumbling(events_stream(t), p, ["event_type"], aggs, f"{out}/data", f"{out}/cp")
-        frames.append(J.latest_snapshot(t.spark, f"{out}/data").select(
+        rows = J.merged(t.spark, f"{out}/data", "start timestamp, event_type string, n long, total decimal(28,2)", ["start", "event_type"])
+        frames.append(rows.select(
             F.lit(p).alias("period"), ts_text("start").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total")))
     return union_all(frames)
 
@@ -82,8 +94,9 @@ def st_tumbling_closed(t):
 def st_sliding(t):
     out = scratch(t.spark, "sliding")
     errors = events_stream(t).where("event_type = 'error'").withColumn("agent", F.col("user_id") % 5)
-    J.sliding(errors, "24 hours", "1 hour", ["agent"], f"{out}/data", f"{out}/cp", least=3)
-    return J.latest_snapshot(t.spark, f"{out}/data").select(ts_text("start").alias("start"), "agent", "n")
+    J.panes(errors, "1 hour", ["agent"], f"{out}/data", f"{out}/cp")
+    counts = J.merged(t.spark, f"{out}/data", "start timestamp, agent long, n long", ["start", "agent"])
+    return J.sliding(counts, 24 * 3600, 3600, ["agent"], least=3).select(ts_text("start").alias("start"), "agent", "n")
 
 
 @query("st_budget_alert", """with d as (select strftime(ts, '%Y-%m-%d') as day, cast(sum(cast(value as decimal(18,2))) as double) as spend from events group by 1)
@@ -95,11 +108,21 @@ def st_budget_alert(t):
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("r.spend").cast("double").alias("spend"), "r.level")
 
 
-@query("st_recurring_error", """select user_id, epoch_us(ts) as "at", n from (select *, count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row) as n
-    from events where event_type = 'error') x where n >= 3""")
+RECURRING = """select user_id, epoch_us(ts) as "at", n from (select *, count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row) as n
+    from events where event_type = 'error') x where n >= 3"""
+
+
+@query("st_recurring_error", RECURRING)
 def st_recurring_error(t):
     out = scratch(t.spark, "recurring")
-    J.recurring_errors(arrivals(t, out).where("event_type = 'error'"), ["user_id"], f"{out}/store", f"{out}/alerts", f"{out}/cp")
+    J.recurring_errors(arrivals_in_order(t, out, "event_type = 'error'"), ["user_id"], f"{out}/alerts", f"{out}/cp")
+    return J.merged(t.spark, f"{out}/alerts", "user_id long, at long, n long", ["user_id", "at"])
+
+
+@query("st_recurring_error_recount", RECURRING)
+def st_recurring_error_recount(t):
+    out = scratch(t.spark, "recounted")
+    J.recounted_errors(arrivals(t, out).where("event_type = 'error'"), ["user_id"], f"{out}/store", f"{out}/alerts", f"{out}/cp")
     return t.spark.read.schema("user_id long, at long, n long, recurring boolean, ds string").parquet(f"{out}/alerts").select("user_id", "at", "n")
 
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltlake.functions.ordered import neighbour, running_total, time_slot
 from voltlake.functions.scalars import ds_text
 from voltlake.operators import ops as O
 from voltlake.operators import quality as Q
 from voltlake.operators.cost import level
+from voltlake.streaming import stateful
 
 
 def source(spark: SparkSession, path: str, schema: str, ts: str = "ts", max_files: int | None = None) -> DataFrame:
@@ -48,30 +50,54 @@ def dedup(stream: DataFrame, keys: list[str], lateness: str, path: str, checkpoi
     return drain(stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(keys).writeStream.format("parquet").option("path", path), checkpoint)
 
 
-def _snapshot(path: str) -> Callable[[DataFrame, int], None]:
-    """Keep the newest complete result, one folder per batch."""
-    return lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")
+def _layer(path: str) -> Callable[[DataFrame, int], None]:
+    """What a batch changed, in a folder of its own that a replay replaces."""
+    return lambda df, i: _replace(df.withColumn("batch", F.lit(i)), path, ["batch"])
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.where(F.col("batch") == df.agg(F.max("batch")).first()[0]).drop("batch")
+def merged(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The last row of every key over all layers."""
+    layers = spark.read.schema(f"{schema}, batch int").parquet(path)
+    rest = [c for c in layers.columns if c not in (*keys, "batch")]
+    return layers.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def tumbling(stream: DataFrame, period: str, keys: list[str], aggs: dict[str, Column], path: str, checkpoint: str, ts: str = "ts"):
-    g = stream.groupBy(F.window(ts, period).alias("w"), *keys).agg(*[c.alias(n) for n, c in aggs.items()]).select(F.col("w.start").alias("start"), *keys, *aggs)
-    return drain(g.writeStream.outputMode("complete").foreachBatch(_snapshot(path)), checkpoint)
+def _windows(stream: DataFrame, period: str, lateness: str, keys: list[str], aggs: dict[str, Column], ts: str) -> DataFrame:
+    g = stream.withWatermark(ts, lateness).groupBy(F.window(ts, period).alias("w"), *keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    return g.select(F.col("w.start").alias("start"), *keys, *aggs)
+
+
+def tumbling(stream: DataFrame, period: str, keys: list[str], aggs: dict[str, Column], path: str, checkpoint: str, ts: str = "ts", lateness: str = "1 day"):
+    """Windows as they fill: a batch writes those it changed, state holds those that rows within ``lateness`` can still reach. Read with ``merged``."""
+    return drain(_windows(stream, period, lateness, keys, aggs, ts).writeStream.outputMode("update").foreachBatch(_layer(path)), checkpoint)
 
 
 def closed_windows(stream: DataFrame, period: str, lateness: str, keys: list[str], aggs: dict[str, Column], path: str, checkpoint: str, ts: str = "ts"):
     """Windows written once, when the watermark has passed them; state holds open windows only."""
-    g = stream.withWatermark(ts, lateness).groupBy(F.window(ts, period).alias("w"), *keys).agg(*[c.alias(n) for n, c in aggs.items()]).select(F.col("w.start").alias("start"), *keys, *aggs)
-    return drain(g.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
+    return drain(_windows(stream, period, lateness, keys, aggs, ts).writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
+
+
+def panes(stream: DataFrame, step: str, keys: list[str], path: str, checkpoint: str, ts: str = "ts", lateness: str = "1 day"):
+    """Counts of the steps that sliding windows are made of: every row goes to one of them, however many windows hold it."""
+    return tumbling(stream, step, keys, {"n": F.count("*")}, path, checkpoint, ts, lateness)
 
 
-def sliding(stream: DataFrame, length: str, step: str, keys: list[str], path: str, checkpoint: str, ts: str = "ts", least: int = 1):
-    g = stream.groupBy(F.window(ts, length, step).alias("w"), *keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return drain(g.select(F.col("w.start").alias("start"), *keys, "n").writeStream.outputMode("complete").foreachBatch(_snapshot(path)), checkpoint)
+def sliding(counts: DataFrame, length: int, step: int, keys: list[str], least: int = 1) -> DataFrame:
+    """(start, keys, n) of the windows of ``length`` seconds every ``step`` seconds with at least ``least`` rows, from panes (start, keys, n).
+
+    A pane enters the windows at one start and leaves them at another, so two rows a pane are summed in order; starts in between are filled in at the end.
+    """
+    if length % step:
+        raise ValueError("the length must be a multiple of the step")
+    at = F.unix_micros("start")
+    enter = counts.select(*keys, (at - F.lit((length - step) * 1_000_000)).alias("_at"), F.col("n").alias("_d"))
+    leave = counts.select(*keys, (at + F.lit(step * 1_000_000)).alias("_at"), (-F.col("n")).alias("_d"))
+    points = enter.union(leave).groupBy(*keys, "_at").agg(F.sum("_d").alias("_d"))
+    slot = time_slot(F.col("_at"), 64 * length)
+    run = running_total(points, keys, slot, ["_at"], {"n": F.col("_d")})
+    run = neighbour(run, keys, slot, ["_at"], {"_next": "_at"}, following=True).where(F.col("n") >= max(1, least))
+    starts = F.explode(F.sequence(F.col("_at"), F.col("_next") - F.lit(step * 1_000_000), F.lit(step * 1_000_000)))
+    return run.select(starts.alias("_s"), *keys, "n").select(F.timestamp_micros("_s").alias("start"), *keys, "n")
 
 
 def budget_alerts(stream: DataFrame, cost: str, budget: float, path: str, checkpoint: str, ts: str = "ts"):
@@ -86,10 +112,24 @@ def budget_alerts(stream: DataFrame, cost: str, budget: float, path: str, checkp
     return drain(g.writeStream.outputMode("update").foreachBatch(sink), checkpoint)
 
 
-def recurring_errors(stream: DataFrame, keys: list[str], store: str, path: str, checkpoint: str, hours: int = 24, threshold: int = 3, ts: str = "ts"):
+def recurring_errors(stream: DataFrame, keys: list[str], path: str, checkpoint: str, hours: int = 24, threshold: int = 3, ts: str = "ts", lateness: str = "1 hour"):
+    """Errors that are the third or later of their kind within the trailing span, from keyed state. Read with ``merged`` by keys and ``at``."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k) for k in stateful.STORE}
+    found = stateful.trailing_counts(stream, keys, ts, hours * 3600, threshold, lateness)
+    try:
+        for k, v in stateful.STORE.items():
+            spark.conf.set(k, v)
+        return drain(found.writeStream.outputMode("update").foreachBatch(_layer(path)), checkpoint)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def recounted_errors(stream: DataFrame, keys: list[str], store: str, path: str, checkpoint: str, hours: int = 24, threshold: int = 3, ts: str = "ts"):
     """Errors that are the third or later of their kind within the trailing span.
 
-    No per-key state: each batch is stored by day, and the days its span reaches are counted again with
+    For keys too frequent for one task. No per-key state: each batch is stored by day, and the days its span reaches are counted again with
     the skew-safe trailing count and replaced. Late and repeated batches lead to the same result.
     """
 
