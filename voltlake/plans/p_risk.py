@@ -10,7 +10,9 @@ from voltlake.operators import experiments as X
 from voltlake.operators import pricing as P
 from voltlake.operators import retrieval as R
 from voltlake.operators import risk as K
+from voltlake.operators import vectors as V
 from voltlake.plans.registry import query
+from voltlake.session import scratch
 from voltlake.tables import micros
 
 
@@ -267,16 +269,19 @@ def eval_relevance_latency(t):
     tf as (select term, doc_id, count(*) as tf from w where term <> '' group by 1, 2)
     select term, doc_id, tf, df from tf join (select term, count(*) as df from tf group by 1) d using (term)""")
 def kb_index(t):
-    return R.index_rows(t.documents, "doc_id", "text")
+    return R.index_rows(t.documents, "doc_id", "text", scratch(t.spark, "postings"))
 
 
 SEARCH = "the über and leaux"
 
 
-@query("kb_search", """with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as term from documents),
+SEARCH_SQL = """with w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as term from documents),
     tf as (select term, doc_id, count(*) as tf from w where term in ('the', 'über', 'and', 'leaux') group by 1, 2),
     d as (select term, ln(1 + (select count(*) from documents) / cast(count(*) as double)) as idf from tf group by 1)
-    select doc_id, round(sum(tf * idf), 6) as score from tf join d using (term) group by 1 order by round(sum(tf * idf), 6) desc, doc_id limit 5""")
+    select doc_id, round(sum(tf * idf), 6) as score from tf join d using (term) group by 1 order by round(sum(tf * idf), 6) desc, doc_id limit 5"""
+
+
+@query("kb_search", SEARCH_SQL)
 def kb_search(t):
     return R.search(t.documents, "doc_id", "text", SEARCH)
 
@@ -289,6 +294,34 @@ def kb_search_vectors(t):
     return R.nearest(t.embeddings, "vec_id", "embedding", q)
 
 
+@query("kb_search_postings", SEARCH_SQL)
+def kb_search_postings(t):
+    blocks, lexicon = R.write_postings(t.documents, "doc_id", "text", scratch(t.spark, "postings"))
+    return R.search_postings(blocks, lexicon, SEARCH, t.documents.count()).withColumnRenamed("id", "doc_id")
+
+
+def vector_index(t):
+    centroids = V.fit_centroids(t.embeddings, "vec_id", "embedding")
+    return V.write_index(t.embeddings, "vec_id", "embedding", centroids, scratch(t.spark, "vectors")), centroids
+
+
+@query("kb_search_index")
+def kb_search_index(t):
+    """Every twentieth vector as a query against all, in as many of the nearest lists as a recall of 0.95 takes."""
+    index, centroids = vector_index(t)
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search(q, "query_id", "embedding", index, centroids, probes=V.probes_for(t.embeddings, "vec_id", "embedding", centroids))
+
+
+@query("kb_search_exact", """with s as (select q.vec_id as query_id, v.vec_id, round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 5) as score
+      from embeddings q, embeddings v where q.vec_id % 20 = 0)
+    select query_id, vec_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""")
+def kb_search_exact(t):
+    index, centroids = vector_index(t)
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.search(q, "query_id", "embedding", index, centroids, probes=None)
+
+
 @query("kb_relevance", """with c as (select label as q, i, avg(cast(x as double)) as m from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2),
     e as (select vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings),
     s as (select c.q, e.vec_id, any_value(e.label) as label, sum(cast(e.x as double) * c.m) as s from e join c on e.i = c.i group by 1, 2),
