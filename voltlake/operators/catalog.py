@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,25 +34,28 @@ def lineage_graph(events: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return lineage_nodes(events, order), edges
 
 
-def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = False) -> DataFrame:
-    """Datasets reachable from each seed with their smallest depth; cycles end because a pair is visited once.
+def reach(edges: DataFrame, seeds: DataFrame, upstream: bool = False, rounds: list | None = None) -> DataFrame:
+    """Datasets reachable from each seed with their smallest depth; a pair is kept once, so cycles end.
 
-    One round per depth. Each round is checkpointed in the shared folder, so the plan does not grow with the depth
-    and a lost executor does not restart the walk.
+    The distance doubles: what is known within 2^k steps is joined with the pairs that are exactly 2^k steps apart, until a round
+    finds nothing new, so a walk of depth d takes about log2(d) rounds. Each round is checkpointed in the shared folder: the plan does not grow and a lost executor does
+    not restart the walk. ``rounds`` gets the number of new pairs of each round.
     """
     a, b = ("target", "source") if upstream else ("source", "target")
-    steps = checkpointed(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    frontier = seeds.select(F.col("id").alias("root"), F.col("id").alias("node"))
-    seen = checkpointed(frontier.withColumn("depth", F.lit(0)))
-    frontier = seen.select("root", "node")
-    for depth in itertools.count(1):  # ends when nothing new is found
-        found = frontier.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
-        fresh = checkpointed(found.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
-            break
-        seen = seen.unionByName(fresh)
-        frontier = fresh.select("root", "node")
-    return seen.where("depth > 0")
+    steps = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    seen = checkpointed(seeds.where("id is not null").select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth")).distinct())
+    n, k = seen.count(), 0
+    while True:
+        far = seen.join(steps, seen["node"] == steps["a"]).select("root", F.col("b").alias("node"), (F.col("depth") + F.lit(1 << k)).alias("depth"))
+        seen = checkpointed(seen.unionByName(far).groupBy("root", "node").agg(F.min("depth").alias("depth")))
+        now = seen.count()
+        if rounds is not None:
+            rounds.append(now - n)
+        if now == n:
+            return seen.where("depth > 0")
+        n, k = now, k + 1
+        other = steps.select(F.col("a").alias("c"), F.col("b").alias("d"))
+        steps = checkpointed(steps.join(other, F.col("b") == F.col("c")).select("a", F.col("d").alias("b")).distinct())
 
 
 def discover(spark: SparkSession, root: str, database: str, names: list[str], extension: str = "parquet") -> DataFrame:
@@ -105,5 +106,12 @@ def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(n, ["dataset", "name"], "full_outer").withColumn("change", change).where(F.col("change").isNotNull())
 
 
+def column_values(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a stored dataset with their numbers of values, counted in one pass."""
+    n = df.agg(*[F.count(F.col(f.name)).alias(f.name) for f in df.schema.fields])
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("name"), F.col(f.name).alias("values")) for f in df.schema.fields])
+    return n.select(F.inline(pairs)).join(F.broadcast(columns_of(df, name)), "name")  # one row a column
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
