@@ -147,13 +147,13 @@ def ml_compare_runs(t):
     return M.compare_runs(runs(t), "0").withColumn("cost", r6("cost"))
 
 
-@query("ml_registry_pick", """with v as (select user_id % 7 as model, event_id, value, row_number() over (partition by user_id % 7 order by ts desc, event_id desc) as r
-      from events where event_type = 'signup'),
+@query("ml_registry_pick", """with v as (select event_type || '-' || user_id % 7 as model, event_id, value, row_number() over (partition by event_type, user_id % 7 order by ts desc, event_id desc) as r
+      from events),
     p as (select model, max(case when r = 1 then event_id end) as current, max(case when r = 2 then event_id end) as previous,
       max(case when r = 1 then value end) as m from v where r <= 2 group by 1)
     select model, current, previous, case when m >= 30 then current else coalesce(previous, current) end as serving from p""")
 def ml_registry_pick(t):
-    v = t.events.where("event_type = 'signup'").select((F.col("user_id") % 7).alias("model"), "event_id", "value", "ts")
+    v = t.events.select(F.format_string("%s-%d", "event_type", F.col("user_id") % 7).alias("model"), "event_id", "value", "ts")
     return M.registry_pick(v, "model", ["ts", "event_id"], "event_id", "value", 30.0)
 
 

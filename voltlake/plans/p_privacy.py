@@ -187,14 +187,17 @@ def lin_neighbours(t):
     return K.reach(edges, seeds)
 
 
-@query("lin_emit")
+@query("lin_emit", """select 'orders.parquet' as source_uri, 'copy_orders' as transformation, 'etl' as agent_name, 'run-1' as run_id, count(*) as records_out,
+    '2024-01-31T00:00:00' as timestamp, count(*) as rows_written from orders""")
 def lin_emit(t):
     from voltlake.sources.files import append_lineage, run_with_lineage
 
     out = scratch(t.spark, "lineage")
     counted = run_with_lineage(t.orders, f"{out}/silver/orders", t.file("orders"), "copy_orders", "run-1")
     append_lineage(counted, f"{out}/lineage")
-    return t.spark.read.parquet(f"{out}/lineage").drop("ds")
+    written = t.spark.read.parquet(f"{out}/silver/orders").agg(F.count("*"))
+    name = F.regexp_extract("source_uri", "([^/]+)$", 1).alias("source_uri")
+    return t.spark.read.parquet(f"{out}/lineage").select(name, "transformation", "agent_name", "run_id", "records_out", "timestamp", written.scalar().alias("rows_written"))
 
 
 @query("lin_completeness", f"""with e as ({EDGES_SQL}), d as (select distinct concat('s3://lake/silver/nation_', n_nationkey, '/') as id from nation

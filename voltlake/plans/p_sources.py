@@ -43,21 +43,45 @@ def src_ingest_dedup(t):
     return S.duplicate_rate(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("src_schema_gate", """select name, declared, actual, problem, (select count(*) from events) as rows_refused from (values ('extra', null, 'int', 'unexpected'),
+@query("src_schema_gate", """with n as (select count(*) as n from events), d as (select strftime(ts, '%Y%m%d') as ds, count(*) as landed from events group by 1)
+    select ds, landed, name, declared, actual, problem, n as rows_offered from n, d, (values ('extra', null, 'int', 'unexpected'),
     ('props', 'string', null, 'missing'), ('value', 'double', 'string', 'type')) v(name, declared, actual, problem)""")
 def src_schema_gate(t):
-    actual = t.events.withColumn("value", F.col("value").cast("string")).withColumn("extra", F.lit(1)).drop("props")
-    bad = S.schema_violations(t.spark, actual.schema, t.events.schema)
-    # rows that the refused write would have held back
-    held = t.events.agg(F.count("*").alias("rows_refused")).withColumn("_k", F.lit(1))
-    return bad.withColumn("_k", F.lit(1)).join(held, "_k").drop("_k")
-
-
-@query("src_schema_diff", """select 'orders' as dataset, name, old_type, new_type, change from (values ('o_orderpriority', 'string', null, 'removed'), ('o_channel', null, 'string', 'added'),
-    ('o_totalprice', 'double', 'decimal(18,2)', 'retyped')) v(name, old_type, new_type, change)""")
+    """A batch that fits is landed; one that does not is refused whole, and the table still holds what it held."""
+    out = scratch(t.spark, "gated")
+    stored = t.spark.read.parquet(t.file("events"))
+    good = stored.withColumn("ds", ds_text("ts"))
+    S.gated_write(good, good.schema, out)
+    try:
+        S.gated_write(good.withColumn("value", F.col("value").cast("string")).withColumn("extra", F.lit(1)).drop("props"), good.schema, out)
+    except S.SchemaRefused as refused:
+        bad = refused.violations
+    landed = t.spark.read.parquet(out).groupBy(F.col("ds").cast("string").alias("ds")).agg(F.count("*").alias("landed"))
+    problems = bad.agg(F.collect_list(F.struct("name", "declared", "actual", "problem")).alias("p"))  # one row
+    return landed.select("ds", "landed", F.inline(problems.scalar())).withColumn("rows_offered", stored.agg(F.count("*")).scalar())
+
+
+KINDS_SQL = """case data_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' else lower(data_type) end"""
+
+
+@query("src_schema_diff", f"""with c as (select column_name as name, {KINDS_SQL} as type from duckdb_columns() where table_name = 'orders'),
+    n as (select count(o_orderpriority) as priority, count(*) as rows, count(o_totalprice) as price from orders)
+    select 'orders' as dataset, name, type as old_type, case name when 'o_totalprice' then 'decimal(18,2)' end as new_type, case name when 'o_totalprice' then 'retyped' else 'removed' end as change,
+      case name when 'o_totalprice' then price else priority end as old_values, case name when 'o_totalprice' then price else 0 end as new_values
+    from c, n where name in ('o_orderpriority', 'o_totalprice')
+    union all select 'orders', 'o_channel', null, 'string', 'added', 0, rows from n""")
 def src_schema_diff(t):
-    new = t.orders.drop("o_orderpriority").withColumn("o_channel", F.lit("web")).withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
-    return K.schema_diff(K.columns_of(t.orders, "orders"), K.columns_of(new, "orders"))
+    """Two stored versions of a table: the columns that differ in their files, with the values each version holds."""
+    out = scratch(t.spark, "versions")
+    t.spark.read.parquet(t.file("orders")).write.parquet(f"{out}/v1")
+    old = t.spark.read.parquet(f"{out}/v1")
+    old.drop("o_orderpriority").withColumn("o_channel", F.lit("web")).withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).write.parquet(f"{out}/v2")
+    a, b = (K.column_values(t.spark.read.parquet(f"{out}/{v}"), "orders") for v in ("v1", "v2"))
+    diff = K.schema_diff(a, b)
+    values = lambda d, n: d.select(F.col("name").alias(f"_{n}"), F.col("values").alias(n))
+    diff = diff.join(values(a, "old_values"), F.col("name") == F.col("_old_values"), "left").join(values(b, "new_values"), F.col("name") == F.col("_new_values"), "left")
+    zero = F.lit(0).cast("long")
+    return diff.select("dataset", "name", "old_type", "new_type", "change", F.coalesce("old_values", zero).alias("old_values"), F.coalesce("new_values", zero).alias("new_values"))
 
 
 @query("src_dead_letter", """select event_id, event_id % 9 = 0 as dead, case when event_id % 9 <> 0 then cast(json_extract_string(props, '$.k') as int) end as k from events""")

@@ -42,10 +42,16 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as the file system writes it in listings, whatever form it is given in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def list_objects(spark: SparkSession, root: str, prefix: str = "", max_keys: int | None = None, after: str | None = None) -> DataFrame:
     """Keys below ``root`` that start with ``prefix``, in order: all, or a page of ``max_keys`` behind the key ``after``."""
-    full = F.element_at(F.split("path", F.lit(root.rstrip("/") + "/"), 2), 2)
-    keys = listing(spark, root).select(full.alias("key"), "length").where(F.col("key").startswith(prefix)).orderBy("key")
+    at = len(qualified(spark, root).rstrip("/"))
+    keys = listing(spark, root).select(F.expr(f"substring(path, {at + 2})").alias("key"), "length").where(F.col("key").startswith(prefix)).orderBy("key")
     keys = keys if after is None else keys.where(F.col("key") > after)
     return keys if max_keys is None else keys.limit(max_keys)
 
@@ -81,10 +87,18 @@ def schema_violations(spark: SparkSession, actual: T.StructType, declared: T.Str
     return spark.createDataFrame(rows, "name string, declared string, actual string, problem string")
 
 
+class SchemaRefused(ValueError):
+    """A write whose frame differs from the declared schema; nothing was written."""
+
+    def __init__(self, violations: DataFrame):
+        super().__init__(f"schema differs from the declared one: {[r.asDict() for r in violations.collect()]}")  # at most one row a column
+        self.violations = violations
+
+
 def gated_write(df: DataFrame, declared: T.StructType, path: str, ds: str = "ds") -> None:
     bad = schema_violations(df.sparkSession, df.schema, declared)
     if not bad.isEmpty():
-        raise ValueError(f"schema differs from the declared one: {[r.asDict() for r in bad.collect()]}")
+        raise SchemaRefused(bad)
     write_partitioned(df, path, ds)
 
 
@@ -160,10 +174,10 @@ def serialize_rows(df: DataFrame) -> DataFrame:
 
 
 def run_with_lineage(df: DataFrame, target: str, source: str, transformation: str, run_id: str, at: str = "2024-01-31T00:00:00") -> DataFrame:
-    """Write a frame and return its lineage row; the row count is read from the footers of the written files."""
-    df.write.mode("overwrite").parquet(target)
-    n = df.sparkSession.read.parquet(target).count()
-    row = (source, target, transformation, "etl", run_id, n, at, {}, at[:10].replace("-", ""))
+    """Write a frame and return its lineage row; the rows are observed while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(target)
+    row = (source, target, transformation, "etl", run_id, seen.get["n"], at, {}, at[:10].replace("-", ""))
     return df.sparkSession.createDataFrame([row], LINEAGE)
 
 
