@@ -403,6 +403,68 @@ def test_fingerprints(spark, docs, rows, empty):
     assert one.near_next == 1.0
 
 
+def fingerprints_by_brute_force(texts, edited, band):
+    """Fingerprint of every text and edited text, and the likeness of two."""
+    import math
+
+    import regex
+    import xxhash
+
+    h = lambda x, seed=42: xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True), seed=seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    terms = lambda t: {signed(h(w.encode())) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    df = Counter(x for t in texts for x in terms(t))
+    known = {x for x, n in df.items() if n >= 2 and band[0] <= math.log(len(texts) / n) <= band[1]}
+
+    def values(own):
+        out = []
+        for k in range(fingerprints.SLOTS):
+            v = 0
+            mine = [x for x in sorted(own) if (x + (1 << 63)) >> 59 == k]
+            for x in mine:
+                v = signed(h(x, h(v)))
+            out.append(f"{v % (1 << 64):016X}"[:8] if mine else "")
+        return ",".join(out)
+
+    def one(t):
+        own = terms(t) & known
+        if not own:
+            return "x:" + hashlib.md5(",".join(map(str, sorted(terms(t)))).encode()).hexdigest()
+        level = max(0, math.ceil(math.log2(len(own) / fingerprints.SLOTS)))
+        thin = lambda n: {x for x in own if ((x % (1 << 64)) >> 40) & ((1 << n) - 1) == 0}
+        return f"{level}:{values(thin(level))}/{values(thin(level + 1))}"
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        if "x" in (a[0], b[0]):
+            return 0.0
+        by = [{int(f.split(":")[0]) + i: v.split(",") for i, v in enumerate(f.split(":")[1].split("/"))} for f in (a, b)]
+        shared = sorted(set(by[0]) & set(by[1]))
+        if not shared:
+            return 0.0
+        at = shared[0]
+        pairs = [(u, v) for u, v in zip(by[0][at], by[1][at]) if u or v]
+        return sum(u == v for u, v in pairs) / len(pairs) if pairs else 0.0
+
+    return [one(t) for t in texts], [one(t) for t in edited], like
+
+
+def test_fingerprints_by_brute_force(docs, rows):
+    band = (0.5, 9.0)
+    got = fingerprints.fingerprints(docs, idf_band=band).collect()
+    order = sorted({(r[0], r[1] or "") for r in rows}, key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(f"{x[0]}:{hashlib.md5(x[1].encode()).hexdigest()}".encode()).digest()))
+    texts = [t for _, t in order]
+    edited = [t[: len(t) - len(t) // 4] + nxt[: len(t) // 4] for t, nxt in zip(texts, texts[1:] + texts[:1])]
+    every = [r[1] or "" for r in rows]  # repeated rows count in the frequencies
+    all_, more, like = fingerprints_by_brute_force(every, edited, band)
+    own = dict(zip(every, all_))
+    want = Counter()
+    for (d, t), e, nxt in zip(order, more, texts[1:] + texts[:1]):
+        want[repr((d, own[t], e, like(own[t], e), like(own[t], own[nxt])))] += sum((r[0], r[1] or "") == (d, t) for r in rows)
+    assert as_set((r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == want
+
+
 def test_lexicon_is_counted_by_term(spark):
     """More terms than any table of buckets: once-only terms and too frequent ones stay out, the others are in, whatever else occurs."""
     once = [[f"rare{i}x{j}" for j in range(1500)] for i in range(400)]

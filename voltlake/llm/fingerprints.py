@@ -20,15 +20,19 @@ IDF_BAND = (1.6, 9.2)
 BROADCAST = 4_000_000  # terms; a larger lexicon is joined as Spark chooses
 
 
+def term_words(text: Column) -> Column:
+    """Distinct terms of a text, among them perhaps the empty string."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+
+
 def term_hashes(text: Column) -> Column:
     """Distinct 64-bit hashes of the terms of a text."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.filter(term_words(text), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
     """The terms that occur in two documents at least and whose inverse document frequency is inside the band, as a written table."""
-    hit = docs.select(F.explode(term_hashes(F.col("text"))).alias("term"))
+    hit = docs.select(F.explode(term_words(F.col("text"))).alias("word")).where("word <> ''").select(F.xxhash64("word").alias("term"))
     freq = hit.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("n")).scalar()
     terms = written(freq.filter((F.col("df") >= 2) & F.ln(total / F.col("df")).between(low, high)).select("term"), "lexicon")
@@ -40,9 +44,19 @@ def _thin(terms: Column, level: Column) -> Column:
 
 
 def _values(terms: Column) -> Column:
-    slot = lambda h: F.shiftrightunsigned(h, 24).bitwiseAND(F.lit(SLOTS - 1))
-    one = lambda own: F.when(F.size(own) == 0, "").otherwise(F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 1, 8))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: one(F.filter(terms, lambda h: slot(h) == k))), ",")
+    """The hash of the sorted terms of every slot, joined by commas, in one pass: the slot is the top bits of the term, so a slot's terms are neighbours."""
+    bits = SLOTS.bit_length() - 1
+    slot = lambda h: F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")
+    done = lambda a: F.when(a["slot"] < 0, "").otherwise(F.substring(F.lpad(F.hex(a["value"]), 16, "0"), 1, 8))
+    commas = lambda a, to: F.repeat(F.lit(","), to - F.greatest(a["slot"], F.lit(0)))
+    make = lambda s, v, o: F.struct(s.alias("slot"), v.alias("value"), o.alias("out"))
+
+    def step(a: Column, h: Column) -> Column:
+        same = a["slot"] == slot(h)
+        return make(slot(h), F.xxhash64(F.when(same, a["value"]).otherwise(F.lit(0).cast("long")), h), F.when(same, a["out"]).otherwise(F.concat(a["out"], done(a), commas(a, slot(h)))))
+
+    start = make(F.lit(-1), F.lit(0).cast("long"), F.lit(""))
+    return F.aggregate(terms, start, step, lambda a: F.concat(a["out"], done(a), commas(a, F.lit(SLOTS - 1))))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, terms: DataFrame) -> DataFrame:
@@ -52,8 +66,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str, terms: DataFrame) -> Da
     """
     names = [c for c in df.columns if c != "key"]
     # the array is a column of its own, so that exploding it is compiled and does not copy the text for every term
-    each = df.withColumn("_terms", term_hashes(F.col(text))).select("*", F.posexplode_outer("_terms").alias("_at", "term"))
-    each = each.select("key", "term", F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*names)).alias("_row"))
+    each = df.withColumn("_terms", term_words(F.col(text))).select("*", F.posexplode_outer("_terms").alias("_at", "_word"))
+    each = each.select("key", F.when(F.col("_word") != "", F.xxhash64("_word")).alias("term"), F.when(F.coalesce("_at", F.lit(0)) == 0, F.struct(*names)).alias("_row"))
     found = each.join(terms.withColumnRenamed("term", "_known"), F.col("term") == F.col("_known"), "left").filter("_row is not null or _known is not null")
     df = found.groupBy("key").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.array_distinct(F.collect_list("_known"))).alias("_band")).select("key", "_row.*", "_band")
     df = df.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(F.size("_band") / F.lit(float(SLOTS))))).cast("int"))
