@@ -219,29 +219,30 @@ def _word_anchors(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
+        from xxhash import xxh3_128_digest as digest
 
+        width = words - gram + 1
         for rows in batches:
-            own, h, seg, s, m = [], [], [], [], []
-            for k, text in enumerate(rows.column("text").to_pylist()):
-                data = (text or "").encode()
-                buf = np.frombuffer(data, dtype=np.uint8)
-                starts, ends = spans(~_SPACE[buf])
-                if len(starts) < words:
-                    continue
-                grams = sequences(word_hashes(buf, starts, ends), gram)
-                width = words - gram + 1
-                for at in range(0, len(grams) - width + 1, PIECE):
-                    first, count, place = _dealt(grams[at: at + PIECE + width - 1], width)
-                    anchor = grams[at:][place].view(np.int64)
-                    first, last = first + at, first + at + count + words - 2
-                    own += [k] * len(first)
-                    h += anchor.tolist()
-                    s += first.tolist()
-                    m += count.tolist()
-                    seg += [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
-            rid = rows.column("rid").take(pa.array(own, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rid, pa.array(h, pa.int64()), pa.array(seg, pa.binary()), pa.array(s, pa.int32()), pa.array(m, pa.int32())], ["rid", "h", "seg", "s", "m"])
+            texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
+            data = b"\n".join(texts)  # all texts at once; no string below reaches over a separator
+            buf = np.frombuffer(data, dtype=np.uint8)
+            starts, ends = spans(~_SPACE[buf])
+            grams = sequences(word_hashes(buf, starts, ends), gram)
+            edge = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+            bounds = np.searchsorted(starts, edge).tolist()
+            own, h, s, m, seg = [], [], [], [], []
+            for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                for at in range(lo, hi - words + 1, PIECE):
+                    first, count, place = _dealt(grams[at: min(at + PIECE + width - 1, hi - gram + 1)], width)
+                    own.append(np.full(len(first), k))
+                    h.append(grams[at + place])
+                    s.append(first + (at - lo))
+                    m.append(count)
+                    first = first + at
+                    seg += [digest(data[x:y]) for x, y in zip(starts[first].tolist(), ends[first + count + (words - 2)].tolist(), strict=True)]
+            own, h, s, m = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (own, h, s, m))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("rid").take(pa.array(own)), pa.array(h.view(np.int64)), pa.array(seg, pa.binary()), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], ["rid", "h", "seg", "s", "m"])
 
     return docs.select(row_key(), "text").mapInArrow(run, "rid binary, h long, seg binary, s int, m int")
 
