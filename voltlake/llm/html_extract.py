@@ -3,7 +3,7 @@
 Markup is stripped to lines, one a block element, in page order. Lines of menus, forms, adverts and the like have no
 length. The length of a line block is summed over a sliding window of WINDOW lines; a block ends where the sum dives to
 nothing, and is main text where the sum surges over a threshold anywhere in it, from its first line on. Without a surge the densest block is
-the main text, unless it is one word. Where article and main elements hold the larger part of the text, all of theirs is main text and lines outside
+the main text. A loose name, as search or alert, makes no aside of an element that holds three quarters of the text. Where article and main elements hold the larger part of the text, all of theirs is main text and lines outside
 have no length; otherwise they count as any other.
 """
 
@@ -38,14 +38,16 @@ _WORD = (
     r"pagination|pager)")
 # A whole class or id token: a word, or words with these before and after. has-sidebar, comments-open and page-header are none.
 _NAMED = re.compile(
-    rf"(?:(?:site|global|top|bottom|left|right|primary|secondary|main|mobile|desktop|sticky)[-_]+)*{_WORD}"
+    rf"(?:(?:(?:site|global|top|bottom|left|right|primary|secondary|main|mobile|desktop|sticky)[-_]+)*{_WORD}|(?!(?:has|no|with|without|hide|show|allow|open)[-_])[a-z0-9]+(?:[-_]+[a-z0-9]+)*[-_]+comments)"
     rf"(?:[-_]+(?:{_WORD}|bar|box|list|links?|area|section|block|wrap|wrapper|container|inner|items?|form|buttons?|icons?|unit|slot|posts?|articles?|stories|\d+))*", re.I)
+_LOOSE = {"alert", "search", "social", "share", "sharing", "related", "recommended", "widget", "header"}  # also said of what holds the text
+_FIRM = re.compile(_WORD, re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
 
 def _kind(tag: str, attributes: str) -> str:
-    """'aside' for what is not main text, 'main' for a holder of it, '' otherwise."""
+    """'aside' for what is not main text, 'named' if only a loose class or id says so, 'main' for a holder of main text, '' otherwise."""
     if attributes.strip(" /\t\r\n"):
         at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         hidden = ("hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower())
@@ -53,16 +55,20 @@ def _kind(tag: str, attributes: str) -> str:
             return "" if tag in ("body", "html") and not hidden else "aside"
         if tag in _MAIN or tag not in _ASIDE and (at.get("role", "").lower() == "main" or at.get("itemprop") == "articleBody"):
             return "main"
-        if tag not in ("body", "html") and any(_NAMED.fullmatch(t) for k in ("class", "id") for t in at.get(k, "").split()):
-            return "" if tag in _HEADINGS and not {*at.get("class", "").lower().split(), at.get("id", "").lower()} - {"", "header", "banner", "masthead"} else "aside"
+        found = [t.lower() for k in ("class", "id") for t in at.get(k, "").split() if _NAMED.fullmatch(t)] if tag not in ("body", "html") else []
+        if found and tag in _HEADINGS and not {*at.get("class", "").lower().split(), at.get("id", "").lower()} - {"", "header", "banner", "masthead"}:
+            return ""
+        if found:
+            return "aside" if tag in _ASIDE or any(w not in _LOOSE and _FIRM.fullmatch(w) for t in found for w in re.split("[-_]+", t)) else "named"
     return "aside" if tag in _ASIDE else "main" if tag in _MAIN else ""
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is inside an aside, is inside a main element) of every line with text."""
-    out: list[tuple[str, bool, bool]] = []
+def lines(page: str) -> list[tuple[str, bool, bool, tuple]]:
+    """(text, is inside an aside, is inside a main element, numbers of the elements around it that are asides by their name) of every line with text."""
+    out: list[tuple[str, bool, bool, tuple]] = []
     stack: list[tuple[str, str]] = []
-    asides = mains = 0
+    named: list[int] = []
+    asides = mains = count = 0
     held: list[str] = []
     skip: str | None = None  # a heading or paragraph that is an aside by its name
     at = 0
@@ -71,7 +77,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, asides > 0 or skip is not None, mains > 0))
+            out.append((text, asides > 0, mains > 0, (*named, count) if skip else tuple(named)))
 
     for m in _MARKUP.finditer(page):
         held.append(page[at: m.start()])
@@ -90,27 +96,42 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                     t, kind = stack.pop()
                     asides -= kind == "aside"
                     mains -= kind == "main"
+                    if kind == "named":
+                        named.pop()
                     if t == tag:
                         break
         elif tag in _HOLDERS:
             if not m[5].endswith("/"):
                 if tag == "body":  # an unclosed head ends here
                     stack, asides, mains = [], 0, 0
+                    named.clear()
                 kind = _kind(tag, m[5])
                 if tag == "header" and mains:
                     kind = _kind("div", m[5])  # the article's own heading
                 stack.append((tag, kind))
                 asides += kind == "aside"
                 mains += kind == "main"
+                if kind == "named":
+                    count += 1
+                    named.append(count)
         else:
-            skip = tag if tag not in ("br", "hr") and m[5].strip() and _kind(tag, m[5]) == "aside" else skip if tag == "br" else None
+            skip = tag if tag not in ("br", "hr") and m[5].strip() and _kind(tag, m[5]) in ("aside", "named") else skip if tag == "br" else None
+            count += skip == tag
     held.append(page[at:])
     flush()
     return out
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    found = lines(page or "")
+    """The main text of one page; a null page has none."""
+    read = lines(page or "")
+    plain = sum(len(text) for text, aside, _, _ in read if not aside)
+    held: dict[int, int] = {}
+    for text, aside, _, names in read:
+        for k in names if not aside else ():
+            held[k] = held.get(k, 0) + len(text)
+    # an element that holds most of the text is no aside by a loose name
+    found = [(text, aside or any(4 * held[k] < 3 * plain for k in names), main) for text, aside, main, names in read]
     plain = sum(len(text) for text, aside, _ in found if not aside)
     inside = 2 * sum(len(text) for text, aside, main in found if main and not aside) > plain
     size = [0 if aside or (inside and not main) else len(text) for text, aside, main in found]
@@ -130,13 +151,14 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             kept += texts
         elif peak > most:
             densest, most = texts, peak
-    if not kept and sum(len(t.split()) for t in densest) > 1:  # a single word is a label
-        kept = densest
-    return " ".join(kept)
+    return " ".join(kept or densest)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
-    """page_id, url, text and n_chars of every row; a null html has the empty text. Other columns are ignored."""
+    """page_id, url, text and n_chars of every row; a null html and one without text have the empty text.
+
+    Null ids and urls stay, repeated rows each get their text, a very long page is read whole, an empty table gives none. Other columns are ignored.
+    """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
