@@ -7,7 +7,6 @@ the set of languages is the one of highest likelihood less a penalty for every f
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,6 @@ PENALTY = 0.5  # of the log number of trigrams, for each further language
 FOLDS, HELD_OUT = 3, 1
 
 _INSIDE = table(bytes([*range(0x61, 0x7B), *range(0x80, 0x100)]))
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +85,7 @@ def mixture(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, floa
 
 def infer(text: str | None, model: dict, rounds: int = ROUNDS, penalty: float = PENALTY) -> dict[str, float]:
     """Proportions of the selected languages; empty for a text without letters."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return {}
     at, n = trigrams(text)
     names = model["names"]
