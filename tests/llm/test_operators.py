@@ -232,7 +232,8 @@ def test_main_text_by_line_blocks():
     para = "word " * 30
     body = f"<div><a>short</a></div><br><br><div><p>{para}</p><p>tiny</p><p>{para}</p></div>"
     assert html_extract.main_text(PAGE % body) == f"short {para}tiny {para}".strip()
-    assert html_extract.main_text(PAGE % "<div>short</div>") == ""
+    assert html_extract.main_text(PAGE % "<div>short</div>") == "short"
+    assert html_extract.main_text("<body><div><p>Short.</p></div><nav>menu</nav></body>") == "Short."
 
 
 @pytest.mark.parametrize("body", [
@@ -244,12 +245,21 @@ def test_class_words_in_main_text(body):
     assert html_extract.main_text(PAGE % (body % para)) == para
 
 
-@pytest.mark.parametrize("name", ["sidebar", "site-header", "cookie-notice", "ad_box", "x related-posts", "main-nav", "comments-area"])
+@pytest.mark.parametrize("name", ["sidebar", "site-header", "cookie-notice", "user-comments", "post-comments", "fb_comments", "x y-z-comments-list", "ad_box", "x related-posts", "main-nav", "comments-area"])
 def test_class_words_of_asides(name):
     para = ("word " * 30).strip()
     assert html_extract.main_text(PAGE % f'<div class="{name}"><p>menu {para}</p></div><div hidden><main><p>no</p></main></div><main role="search">no</main><div><p>{para}</p></div>') == para
 
 
+@pytest.mark.parametrize("body", ['<article><section id="search"><p>%s</p></section><p>end.</p></article>', '<div class="alert"><p>%s</p></div><p>end.</p>', '<p class="social">%s</p><p>end.</p>',
+                                  '<div class="widget"><div class="post no-comments"><p>%s</p></div><div class="ad">buy</div><p>end.</p></div>'])
+def test_names_on_what_holds_the_text(body):
+    para = ("word " * 40).strip()
+    assert html_extract.main_text(PAGE % (body % para)) == f"{para} end."
+    assert html_extract.main_text(PAGE % f'<article><p>{para}</p><section class="alert"><p>{para[:60]}</p></section></article>') == para
+    assert html_extract.main_text(PAGE % f'<div class="ad widget"><p>{para}</p></div><div><p>Short.</p></div>') == "Short."
+
+
 @pytest.mark.parametrize("before", [
     '<p>a</p><svg class="i"/>', '<svg viewBox="0 0 1 1"><path d="M0"/></svg>', '<svg class="i">', '<datalist><option value="x"></datalist>', "<datalist><option>x<option>y</datalist>",
     "<select><option>x<optgroup><option>y</optgroup></select>", "<select><option>x<option>y", "<button>b</button>", "<button>", "<template><p>t</p></template>", "<template>", "<script>var a = '<p>';</script>",
@@ -325,11 +335,11 @@ def test_languages(spark, docs, rows, empty):
     text = {"en": "the house and the garden with this thing", "de": "das haus und der garten mit diesem ding", "fr": "la maison et le jardin avec cette chose"}
     rng = random.Random(1)
     data = [(i, " ".join(rng.choice(text[x].split()) for _ in range(40)), x) for i in range(150) for x in [rng.choice(list(text))]]
-    data += [(900, None, "en"), (901, "12 !?", None), (902, text["de"] * 3 + " " + text["fr"] * 3, None), (None, text["fr"], None), (903, "дом", None)]
+    data += [(900, None, "en"), (901, "12 !?", None), (904, "½ ² ³ Ⅷ", None), (902, text["de"] * 3 + " " + text["fr"] * 3, None), (None, text["fr"], None), (903, "дом", None)]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
     assert all(got[d].held_out == (d is not None and zlib.crc32(str(d).encode()) % 3 == 1) for d in got)
     assert all(got[i].lang_pred == x for i, _, x in data[:150])
-    assert got[900].lang_pred == got[901].lang_pred == "und" and got[None].lang_pred == "fr" and got[903].lang_pred in text
+    assert got[900].lang_pred == got[901].lang_pred == got[904].lang_pred == "und" and got[None].lang_pred == "fr" and got[903].lang_pred in text
     assert set(got[902].proportions) == {"de", "fr"} and all(0 <= r.score <= 1 for r in got.values())
     assert langid.identify(empty).collect() == []
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
