@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import small_batches, tasks, written
 from voltlake.llm.suffix_array import plcp, suffix_array
-from voltlake.llm.textops import PIECE, U, sequences, spans, table, word_hashes
+from voltlake.llm.textops import BASE, PIECE, U, mixed, sequences, spans, table, word_hashes
 
 LENGTH = 400
 GRAM = 64
@@ -53,15 +53,16 @@ def _dealt(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return edge, np.diff(np.append(edge, starts)), place[edge]
 
 
-def segments(buf: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int]]:
-    """(first start, number of starts, place of the anchor) of every segment, in order."""
+def segments(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, place of the anchor, hash of the anchor) of every segment, in order."""
     out = []
     for at in range(0, len(buf) - length + 1, PIECE):
         part = buf[at: at + PIECE + length - 1]
         grams = np.arange(len(part) - gram + 1)
-        first, count, place = _dealt(word_hashes(part, grams, grams + gram), length - gram + 1)
-        out += zip((first + at).tolist(), count.tolist(), (place + at).tolist(), strict=True)
-    return out
+        h = word_hashes(part, grams, grams + gram)
+        first, count, place = _dealt(h, length - gram + 1)
+        out.append((first + at, count, place + at, h[place].view(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 _PART = "h long, seg binary, s int, m int, anchor int"
@@ -74,22 +75,21 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        empty = np.empty(0, dtype=np.int64)
         for rows in batches:
-            own, h, seg, s, m, anchor = [], [], [], [], [], []
+            own, found, seg = [], [], []
             for k, text in enumerate(rows.column("text").to_pylist()):
                 data = (text or "").encode()
                 if len(data) < length:
                     continue
-                for a, c, p in segments(np.frombuffer(data, dtype=np.uint8), length, gram):
-                    own.append(k)
-                    h.append(xxhash.xxh3_64_intdigest(data[p: p + gram]) - (1 << 63))
-                    seg.append(xxhash.xxh3_128_digest(data[a: a + c + length - 1]))
-                    s.append(a)
-                    m.append(c)
-                    anchor.append(p)
-            rid = rows.column("rid").take(pa.array(own, pa.int64()))
+                found.append(segments(np.frombuffer(data, dtype=np.uint8), length, gram))
+                first, count = found[-1][:2]
+                own.append(np.full(len(first), k))
+                seg += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), (first + count + (length - 1)).tolist(), strict=True)]
+            s, m, anchor, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty,) * 4
+            rid = rows.column("rid").take(pa.array(np.concatenate(own) if own else empty))
             yield pa.RecordBatch.from_arrays(
-                [rid, pa.array(h, pa.int64()), pa.array(seg, pa.binary()), pa.array(s, pa.int32()), pa.array(m, pa.int32()), pa.array(anchor, pa.int32())],
+                [rid, pa.array(h), pa.array(seg, pa.binary()), *(pa.array(x.astype(np.int32)) for x in (s, m, anchor))],
                 ["rid", "h", "seg", "s", "m", "anchor"])
 
     return docs.select(row_key(), "text").mapInArrow(run, "rid binary, " + _PART)
@@ -213,38 +213,50 @@ def _by_content(parts: DataFrame, length: int, block: int) -> DataFrame:
     return whole.union(hits)
 
 
+class _Words:
+    """The words of a batch of texts: hashes of words, of words with what stands behind them, and of runs of ``gram`` words."""
+
+    def __init__(self, texts: list, words: int):
+        self.words, self.gram = words, min(GRAM_WORDS, words)
+        data = [(t or "").encode() for t in texts]
+        buf = np.frombuffer(b"\n".join(data), dtype=np.uint8)  # all texts at once; no string below reaches over a separator
+        starts, ends = spans(~_SPACE[buf])
+        self.word = word_hashes(buf, starts, ends)
+        self.apart = word_hashes(buf, starts, np.append(starts[1:], len(buf)))
+        self.grams = sequences(self.word, self.gram)
+        self.bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(d) + 1 for d in data]))).tolist()
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from the first to the last word."""
+        return mixed(word_hashes(self.apart, first, last) * BASE + self.word[last])
+
+    def segments(self):
+        """(text, first word, number of strings, hash of the anchor) of every segment, words counted over the batch."""
+        own, out, width = [], [], self.words - self.gram + 1
+        for k, (lo, hi) in enumerate(zip(self.bounds, self.bounds[1:])):
+            for at in range(lo, hi - self.words + 1, PIECE):
+                first, count, place = _dealt(self.grams[at: min(at + PIECE + width - 1, hi - self.gram + 1)], width)
+                own.append(np.full(len(first), k))
+                out.append((first + at, count, self.grams[at + place].view(np.int64)))
+        empty = np.empty(0, dtype=np.int64)
+        return (np.concatenate(own) if own else empty, *((np.concatenate(x) for x in zip(*out)) if out else (empty,) * 3))
+
+
 def _word_anchors(docs: DataFrame, words: int) -> DataFrame:
-    """(rid, h, seg, s, m): as ``_anchors`` for strings of ``words`` whole words; s and m count words, seg is the hash of the bytes."""
-    gram = min(GRAM_WORDS, words)
+    """(rid, h, seg, s, m): as ``_anchors`` for strings of ``words`` whole words; s and m count words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh3_128_digest as digest
 
-        width = words - gram + 1
         for rows in batches:
-            texts = [(t or "").encode() for t in rows.column("text").to_pylist()]
-            data = b"\n".join(texts)  # all texts at once; no string below reaches over a separator
-            buf = np.frombuffer(data, dtype=np.uint8)
-            starts, ends = spans(~_SPACE[buf])
-            grams = sequences(word_hashes(buf, starts, ends), gram)
-            edge = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
-            bounds = np.searchsorted(starts, edge).tolist()
-            own, h, s, m, seg = [], [], [], [], []
-            for k, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-                for at in range(lo, hi - words + 1, PIECE):
-                    first, count, place = _dealt(grams[at: min(at + PIECE + width - 1, hi - gram + 1)], width)
-                    own.append(np.full(len(first), k))
-                    h.append(grams[at + place])
-                    s.append(first + (at - lo))
-                    m.append(count)
-                    first = first + at
-                    seg += [digest(data[x:y]) for x, y in zip(starts[first].tolist(), ends[first + count + (words - 2)].tolist(), strict=True)]
-            own, h, s, m = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (own, h, s, m))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rid").take(pa.array(own)), pa.array(h.view(np.int64)), pa.array(seg, pa.binary()), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))], ["rid", "h", "seg", "s", "m"])
+            w = _Words(rows.column("text").to_pylist(), words)
+            own, first, count, h = w.segments()
+            seg = w.hashes(first, first + count + (words - 2)).view(np.int64) if len(own) else h
+            s = first - np.array(w.bounds)[own]
+            yield pa.RecordBatch.from_arrays([rows.column("rid").take(pa.array(own)), pa.array(h), pa.array(seg), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))],
+                                             ["rid", "h", "seg", "s", "m"])
 
-    return docs.select(row_key(), "text").mapInArrow(run, "rid binary, h long, seg binary, s int, m int")
+    return docs.select(row_key(), "text").mapInArrow(run, "rid binary, h long, seg long, s int, m int")
 
 
 def _windows(texts: DataFrame, words: int) -> DataFrame:
@@ -252,19 +264,28 @@ def _windows(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         for rows in batches:
-            out = []
-            for text, wanted in zip(rows.column("text").to_pylist(), rows.column("windows").to_pylist(), strict=True):
-                data = (text or "").encode()
-                starts, ends = (x.tolist() for x in spans(~_SPACE[np.frombuffer(data, dtype=np.uint8)]))
-                out += [(w["h"], w["seg"], i, w["n"], w["r0"], w["r1"], xxhash.xxh3_128_digest(data[starts[w["s"] + i]: ends[w["s"] + i + words - 1]])) for w in wanted for i in range(w["m"])]
-            made = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "i", "n", "r0", "r1", "own"])
-
-    return texts.mapInArrow(run, "h long, seg binary, i int, n long, r0 binary, r1 binary, own binary")
+            w = _Words(rows.column("text").to_pylist(), words)
+            wanted = rows.column("windows")
+            own = np.repeat(np.arange(rows.num_rows), wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            h, seg, s, m, n, r0, r1 = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
+            first = np.array(w.bounds)[own] + s
+            order = np.argsort(first, kind="stable")  # as the hashes want them
+            own, h, seg, m, n, r0, r1, first = (x[order] for x in (own, h, seg, m, n, r0, r1, first))
+            # the row is found by a hash of its key: what does not fit is another row
+            fits = np.flatnonzero(first + m + (words - 1) <= np.array(w.bounds)[own + 1])
+            fits = fits[w.hashes(first[fits], first[fits] + m[fits] + (words - 2)).view(np.int64) == seg[fits]] if len(fits) else fits
+            at = np.repeat(fits, m[fits])
+            i = np.arange(len(at)) - np.repeat(np.cumsum(m[fits]) - m[fits], m[fits])
+            start = first[at] + i
+            order = np.argsort(start, kind="stable")
+            at, i, start = at[order], i[order], start[order]
+            made = w.hashes(start, start + (words - 1)).view(np.int64) if len(at) else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(seg[at]), pa.array(i.astype(np.int32)), pa.array(n[at]), pa.array(r0[at]), pa.array(r1[at]), pa.array(made)],
+                                             ["h", "seg", "i", "n", "r0", "r1", "own"])
+
+    return texts.mapInArrow(run, "h long, seg long, i int, n long, r0 long, r1 long, own long")
 
 
 def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, block: int = BLOCK, words: int = 0, elsewhere: bool = False) -> DataFrame:
@@ -279,25 +300,29 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     size = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "kinds-of-anchor")
     many = kinds.join(size, "h")
     # bytes are needed of one occurrence of every segment whose anchor has several
-    wanted = many.filter("kinds > 1").select("one.rid", F.struct("h", "seg", "one.s", "one.m", "one.anchor", F.lit(length - 1).alias("more")).alias("w"), F.lit(None).alias("p"))
+    wanted = many.filter("kinds > 1").select("one.rid", F.struct("h", "seg", "one.s", "one.m", "one.anchor", F.lit(length - 1).alias("more")).alias("w"))
     rids = seen.select("rid")
     if words:
         word_anchors = written(_word_anchors(docs, words), "word-anchors")
         again = "r0 != r1" if elsewhere else "n > 1"
-        counted = (F.count("*").alias("n"), F.min("rid").alias("r0"), F.max("rid").alias("r1"))
-        again_h = written(word_anchors.groupBy("h").agg(*counted).filter(again).select("h"), "often-words")
-        word_seen = written(word_anchors.join(again_h, "h"), "repeated-words")
-        word_kinds = written(word_seen.groupBy("h", "seg").agg(*counted, F.min(F.struct("rid", "s", "m")).alias("one")), "word-kinds")
-        word_size = written(word_kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h"), "several-words")
-        several = word_kinds.join(word_size, "h")
-        wanted = wanted.withColumn("p", F.lit(None).cast("struct<h:bigint,seg:binary,s:int,m:int,n:bigint,r0:binary,r1:binary>")).union(
-            several.select("one.rid", F.lit(None), F.struct("h", "seg", "one.s", "one.m", "n", "r0", "r1")))
+        r = F.xxhash64("rid")
+        counted = (F.count("*").alias("n"), F.min(r).alias("r0"), F.max(r).alias("r1"))  # fixed width, so that they are hashed, not sorted
+        often = written(word_anchors.groupBy("h").agg(*counted).filter(again).select("h"), "often-words")
+        word_seen = written(word_anchors.join(often, "h"), "repeated-words")
+        place = F.min_by(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("m").cast("long")), r).alias("place")
+        word_kinds = written(word_seen.groupBy("h", "seg").agg(*counted, place), "word-kinds")
+        several = written(word_kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h"), "several-words")
+        s, m = F.shiftright("place", 32).cast("int").alias("s"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("m")
+        windows = word_kinds.join(several, "h").groupBy("r0").agg(F.collect_list(F.struct("h", "seg", s, m, "n", "r0", "r1")).alias("windows")).withColumnRenamed("r0", "of")
         rids = rids.union(word_seen.select("rid"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"), F.collect_list("p").alias("windows"))
-    needed = rids.distinct().join(wanted, "rid", "left").withColumnRenamed("rid", "need")
+    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
+    needed = rids.distinct().join(wanted, "rid", "left")
+    if words:
+        needed = needed.withColumn("r", F.xxhash64("rid")).join(windows, F.col("r") == F.col("of"), "left").drop("r", "of")
+    needed = needed.withColumnRenamed("rid", "need")
     own = docs.select(row_key(), "text")
     held = written(own.join(needed, F.col("rid") == F.col("need")).drop("need").dropDuplicates(["rid"]), "held")
-    parts = written(_cut_out(held.select("text", "wanted").filter("size(wanted) > 0")), "segments")
+    parts = written(_cut_out(held.select("text", "wanted").filter("wanted is not null")), "segments")
     parts = parts.join(size, "h")
     found = _by_shards(parts.filter(F.col("kinds") <= hot), length)
     if not size.filter(F.col("kinds") > hot).isEmpty():
@@ -307,10 +332,11 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     out = held.select("rid", "text").join(_runs(seen, found).withColumnsRenamed({"rid": "at", "runs": "starts"}), F.col("rid") == F.col("at"), "left").drop("at")
     if not words:
         return out.filter("starts is not null").withColumn("passages", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    each = written(_windows(held.select("text", "windows").filter("size(windows) > 0"), words), "windows")
-    twice = written(each.groupBy("own").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).filter(again).select("own"), "windows-twice")
-    hits = each.join(twice, "own").groupBy("h", "seg").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
-    copied = word_kinds.filter(again).select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("one.m").alias("b"))).alias("runs"))
+    each = written(_windows(held.select("text", "windows").filter("windows is not null"), words), "windows")
+    # equal strings have equal anchors, so both hashes together name one
+    twice = written(each.groupBy("h", "own").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).filter(again).select("h", "own"), "windows-twice")
+    hits = each.join(twice, ["h", "own"]).groupBy("h", "seg").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+    copied = word_kinds.filter(again).select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), m.alias("b"))).alias("runs"))
     passages = _runs(word_seen, written(hits.union(copied), "found-words"))
     out = out.join(passages.withColumnsRenamed({"rid": "at", "runs": "passages"}), F.col("rid") == F.col("at"), "left")
     return out.drop("at").filter("starts is not null or passages is not null")
