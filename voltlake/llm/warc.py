@@ -82,6 +82,8 @@ def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     first = (
         pages.select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).alias("size")).filter(F.col("size") >= least_bytes)
         .groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    # a written table, so that the join reads plain shuffles, of which that of a frequent payload can be split
+    first = written(first, "payloads")
     held = rows.join(first, ["sha", "size"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return held.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "sha", F.col("size").cast("long").alias("size"),
