@@ -5,7 +5,7 @@ words, or the whole item when it is shorter. The automaton is built over the wor
 through it while the longest matching length is tracked: a length of ``window`` means that the last ``window`` words are
 a window of some item. A document word inside any occurrence is hit. Before the automaton, stretches are left out in
 which no run of a few words occurs in the items at all (by hash, so nothing that matches is lost; the automaton itself
-compares words). Items are dealt into automata of at most ``block_words`` words; documents stream through them one after the other.
+compares words). An automaton holds at most ``block_words`` words. A larger benchmark is dealt into blocks, and texts that may match are streamed through them one after the other.
 """
 
 from __future__ import annotations
@@ -17,11 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import small_batches
+from voltlake.llm.common import small_batches, text_key, written
 from voltlake.llm.textops import LOWER, sequences, spans, table, word_hashes
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+GRAM = 3
+SIEVE = 1 << 24  # flags
 WORD = table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
 
@@ -140,7 +142,7 @@ class Matcher:
 
     def __init__(self, items: dict, window: int):
         self.automaton = Automaton(items, window)
-        self.gram = min([3, *map(len, items.values())])
+        self.gram = min([GRAM, *map(len, items.values())])
         grams = [sequences(word_hashes(*_joined(w)), self.gram) for w in items.values()]
         self.grams = np.unique(np.concatenate(grams)) if grams else np.empty(0, dtype=np.uint64)
         self.sieve = np.zeros(1 << 20, dtype=bool)
@@ -165,20 +167,77 @@ def _joined(words: list[bytes]):
     return (buf, *spans(WORD[buf]))
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[dict]:
-    """Normalised items in blocks of at most ``block_words`` words (a longer item is a block of its own). The test items are the one
-    table that is sent to every task, a block at a time."""
-    blocks, size = [{}], 0
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[dict]:
+    """Normalised items in blocks of at most ``block_words`` words (a longer item is a block of its own); the driver holds one block at a time."""
+    block, size = {}, 0
     for item, text in benchmark.select("item_id", "text").filter("text is not null").orderBy("item_id", "text").toLocalIterator():
         words = words_of(*word_bounds(text))
         if not words:
             continue
         if size and size + len(words) > block_words:
-            blocks.append({})
-            size = 0
-        blocks[-1][(item, hashlib.md5(text.encode()).digest())] = words  # items of one id may have several texts
+            yield block
+            block, size = {}, 0
+        block[(item, hashlib.md5(text.encode()).digest())] = words  # items of one id may have several texts
         size += len(words)
-    return [b for b in blocks if b]
+    if block:
+        yield block
+
+
+def _sieves(blocks: Iterator[dict]) -> dict[int, np.ndarray]:
+    """Flags of the hashes of the items' word runs by their length, of a fixed size."""
+    out: dict[int, np.ndarray] = {}
+    for block in blocks:
+        gram = min([GRAM, *map(len, block.values())])
+        flags = out.setdefault(gram, np.zeros(SIEVE, dtype=bool))
+        for words in block.values():
+            flags[sequences(word_hashes(*_joined(words)), gram) & np.uint64(SIEVE - 1)] = True
+    return out
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """(tid, spans, items) of every text with hits, for a benchmark of more than one block.
+
+    One pass over all texts keeps those with a word run that any block may have (a fixed number of flags is sent to the tasks); those few are
+    written and read once for each block, of which the tasks and the driver hold one at a time.
+    """
+    spark = docs.sparkSession
+    flags = spark.sparkContext.broadcast(_sieves(item_blocks(benchmark, block_words)))
+
+    def sift(batches: Iterator) -> Iterator:
+        for rows in batches:
+            keep = []
+            for text in rows.column("text").to_pylist():
+                hashes = word_hashes(*word_bounds(text))
+                keep.append(any(f[sequences(hashes, gram) & np.uint64(SIEVE - 1)].any() for gram, f in flags.value.items()))
+            yield rows.filter(keep)
+
+    def mark(shared):
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            matcher = Matcher(shared.value, window)
+            for rows in batches:
+                tid, spans_, items = [], [], []
+                for key, text in zip(rows.column("tid").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    _, _, hit, _, found = _hits([matcher], text)
+                    if found:
+                        tid.append(key)
+                        spans_.append([{"a": int(a), "b": int(b)} for a, b in zip(*spans(hit), strict=True)])
+                        items.append(["null" if i is None else str(i) for i in found])
+                yield pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), pa.array(spans_, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
+                                                 ["tid", "spans", "items"])
+
+        return run
+
+    some = written(docs.select(text_key(), "text").mapInArrow(sift, "tid binary, text string").dropDuplicates(["tid"]), "may-be-hit")
+    all_ = None
+    for block in item_blocks(benchmark, block_words):
+        shared = spark.sparkContext.broadcast(block)
+        part = written(some.mapInArrow(mark(shared), "tid binary, spans array<struct<a:int,b:int>>, items array<string>"), "hits")
+        shared.destroy()
+        all_ = part if all_ is None else all_.union(part)
+    merged = all_.groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return written(merged, "marks")
 
 
 def _hits(matchers: list[Matcher], text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, set]:
@@ -202,28 +261,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     nothing. As the columns of ``docs`` stay in their struct, their names may clash with the counts.
     """
     small_batches(docs.sparkSession)
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, block_words)]
+    blocks = item_blocks(benchmark, block_words)
+    first, more = next(blocks, None), next(blocks, None)
     asked = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(first)  # at most block_words words, or one item
+    if more:
+        marks = _marked(docs, benchmark, window, block_words)
+        asked = asked.withColumn("_own", text_key()).join(marks, F.col("_own") == F.col("tid"), "left").select("row", "text", "spans", "items")
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        matchers = [Matcher(b.value, window) for b in shared]
+        matchers = [Matcher(shared.value, window)] if first and not more else []
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
         for rows in batches:
             out = []
-            for text in rows.column("text").to_pylist():
+            known = zip(rows.column("spans").to_pylist(), rows.column("items").to_pylist(), strict=True) if more else [(None, None)] * rows.num_rows
+            for text, (marked, found) in zip(rows.column("text").to_pylist(), known, strict=True):
                 starts, ends, hit, buf, items = _hits(matchers, text)
+                for x in marked or ():
+                    hit[x["a"]: x["b"]] = True
                 n, n_hit = len(starts), int(hit.sum())
-                ids = ",".join(sorted("null" if i is None else str(i) for i in items))
+                ids = ",".join(sorted({"null" if i is None else str(i) for i in found or items}))
                 clean = text
                 if texts and n_hit:
                     keep = np.ones(len(buf), dtype=bool)
                     for a, b in zip(*spans(hit), strict=True):
                         keep[starts[a]: ends[b - 1]] = False
                     clean = np.frombuffer(text.encode(), dtype=np.uint8)[keep].tobytes().decode()
-                out.append((n, n_hit, len(items), hashlib.sha256(ids.encode()).hexdigest(), n_hit > 0, clean if texts else None, n_hit > max_share * n))
+                out.append((n, n_hit, len(found or items), hashlib.sha256(ids.encode()).hexdigest(), n_hit > 0, clean if texts else None, n_hit > max_share * n))
             made = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([rows.column("row")] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["row", *names])
 
