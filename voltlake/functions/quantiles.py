@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions.ordered import join_back, running_total, value_slot
+from voltlake.session import stored
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -26,9 +27,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add ``median``, ``mad`` and ``z`` = 0.6745 (x - median) / MAD per key; ``z`` is null where MAD is 0."""
-    med = percentiles(df, keys, value, {"median": 0.5})
+    """Add ``median``, ``mad`` and ``z`` = 0.6745 (x - median) / MAD per key; ``z`` is null where MAD is 0.
+
+    The statistics, one row a key, are stored: an aggregate below the joins would keep a hot key's rows in one task.
+    """
+    med = stored(percentiles(df, keys, value, {"median": 0.5}), "medians")
     dev = join_back(df, med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = percentiles(dev, keys, "_dev", {"mad": 0.5})
+    both = stored(join_back(percentiles(dev, keys, "_dev", {"mad": 0.5}), med, keys), "deviations")
     z = F.when(F.col("mad") > 0, F.lit(0.6745) * (F.col(value) - F.col("median")) / F.col("mad"))
-    return join_back(dev, mad, keys).drop("_dev").withColumn("z", z)
+    return join_back(df, both, keys).withColumn("z", z)

@@ -57,3 +57,10 @@ def checkpointed(df):
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one; every run gets its own."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df, name: str):
+    """The frame as a table in the shared folder, so that joins of it read a plain shuffle, which adaptive execution can split."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
