@@ -90,6 +90,16 @@ def ml_explain(t):
     return rows.select("custkey", *[r6(f).alias(f) for f in FEATURES], "top_driver")
 
 
+@query("ml_explain_trees")
+def ml_explain_trees(t):
+    """Attributions of a boosted ensemble fitted on the training split, for every customer; tests hold them to the sums and to brute force."""
+    from voltlake.operators.explain import explain_trees
+
+    model, _ = L.train(t.fx_churn, FEATURES, "custkey", kind="gbt")
+    rows = t.fx_churn.select("custkey", *[F.col(f).cast("double").alias(f) for f in FEATURES])
+    return explain_trees(model, rows, "custkey", FEATURES)
+
+
 @query("ml_importance", """with m as (select avg(n) as mn, avg(cast(spend as double)) as ms, avg(recency) as mr from fx_churn)
     select 'n' as feature, round(avg(abs(-0.2e0 * (n - mn))), 6) as importance from fx_churn, m
     union all select 'spend', round(avg(abs(-0.000001e0 * (cast(spend as double) - ms))), 6) from fx_churn, m
