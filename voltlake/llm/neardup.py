@@ -377,6 +377,10 @@ def near_duplicates(docs: DataFrame, percent: float = PERCENT, n: int = SHINGLE,
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their component; of rows that repeat id and text, one."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_vl_id"), F.col("tid").alias("_vl_tid")).distinct()
+    kept = near_duplicates(docs, **options).filter("kept").groupBy(F.col("doc_id").alias("_vl_id"), F.col("tid").alias("_vl_tid")).agg(F.count("*").alias("n"))
+    kept = written(kept, "kept")
     tid = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_vl_id")) & (tid == F.col("_vl_tid")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_vl_id")) & (tid == F.col("_vl_tid")), "left_semi")
+    if kept.filter("n > 1").isEmpty():
+        return out
+    return out.withColumn("_vl_key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["_vl_key"]).drop("_vl_key")
