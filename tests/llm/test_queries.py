@@ -1,5 +1,7 @@
 """The registered queries and the pipeline over the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,35 @@ def test_pipeline_passages(spark, documents):
     assert not any(w in again for text in got.values() for w, _ in windows(text))
     untouched = {d for d, n, gone, *_ in removed_by_brute_force(rows, corpus_pipeline.REPEAT_BYTES) if not gone and not any(w in again for w, _ in windows(dict(rows)[d]))}
     assert all(got[d] == dict(rows)[d] for d in untouched if (dict(rows)[d] or "").strip())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties and repeated rows, an extra column with a name the stages use themselves."""
+    rng = random.Random(2)
+    word = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    base = word(300)
+    rows = [(1, base, "en", "src0", 1), (2, base, "en", "src0", 1), (None, base, None, None, None), (3, None, None, None, None), (None, None, "en", "src1", 0), (4, "", "en", "src1", 0), (5, " \n", "en", "src1", 2),
+            (6, word(60_000), "fr", "src2", 9), (7, word(80), "de", "src3", 9), (7, word(80), "de", "src3", 9), (8, word(20), "en", None, 9), (8, word(20), "en", None, 9)]
+    rows.append(rows[-1])
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("own") for c in ("rid", "node", "label", "keep", "spans", "tid", "_own")}).repartition(3)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, odd, name, stage):
+    out = stage(spark, odd, SF)
+    rows = out.collect()
+    last = stage is corpus_pipeline.STAGES[-1][1]
+    assert out.columns[: len(odd.columns)] == odd.columns and (last or len(out.columns) == len(odd.columns))
+    assert all(r.rid == r.label == "own" for r in rows)
+    texts = {(r.doc_id, (r.text or "")[:20]) for r in rows}
+    before = {(r.doc_id, (r.text or "")[:20]) for r in odd.collect()}
+    if name == "near_dedup":
+        assert (1, rows_text := next(t for d, t in before if d == 1)) in texts and not {(2, rows_text), (None, rows_text)} & texts
+        assert sum(r.doc_id == 8 for r in rows) == 2
+    if name in ("near_dedup", "suffix_array_dedup", "benchmark_decontamination"):
+        assert {(3, ""), (None, ""), (4, ""), (5, " \n")} <= texts and any(r.doc_id == 6 and len(r.text) > 100_000 for r in rows)
+    if name == "suffix_array_dedup":
+        assert not {1, 2} & {d for d, _ in texts} and all(r.text is None for r in rows if r.doc_id == 3)
+    empty = stage(spark, odd.limit(0), SF)
+    assert empty.collect() == [] and empty.columns == out.columns
