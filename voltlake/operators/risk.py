@@ -25,12 +25,13 @@ def value_at_risk(pnl: DataFrame, value: str = "pnl", level: float = 0.05) -> Da
 
 
 def monte_carlo(positions: DataFrame, instrument: str, exposure: str, paths: int = 10_000, daily_vol: float = 0.02, seed: int = 11) -> DataFrame:
-    """Simulated one-day P&L: each position is expanded into its paths where it lies, and summed per path.
+    """Simulated one-day P&L: exposures are summed per instrument, each instrument is expanded into its paths, and paths are summed.
 
     A path's move of an instrument is a normal number made of a hash of both (Box and Muller), so it does not depend on
     partitioning. Moves are added as decimals.
     """
-    sims = positions.select(exposure, F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"), F.col(instrument).alias("_i"))
+    held = positions.groupBy(instrument).agg(F.sum(exposure).alias(exposure))
+    sims = held.select(exposure, F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"), F.col(instrument).alias("_i"))
     sims = sims.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_i").cast("string"), F.col("path").cast("string"))))
     u = lambda at: (F.conv(F.substring("_h", at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(13))
