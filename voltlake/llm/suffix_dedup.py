@@ -307,7 +307,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         again = "r0 != r1" if elsewhere else "n > 1"
         r = F.xxhash64("rid")
         counted = (F.count("*").alias("n"), F.min(r).alias("r0"), F.max(r).alias("r1"))  # fixed width, so that they are hashed, not sorted
-        often = written(word_anchors.groupBy("h").agg(*counted).filter(again).select("h"), "often-words")
+        often = written(word_anchors.groupBy("h").agg(*(counted[1:] if elsewhere else counted[:1])).filter(again).select("h"), "often-words")
         word_seen = written(word_anchors.join(often, "h"), "repeated-words")
         place = F.min_by(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("m").cast("long")), r).alias("place")
         word_kinds = written(word_seen.groupBy("h", "seg").agg(*counted, place), "word-kinds")
@@ -334,7 +334,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         return out.filter("starts is not null").withColumn("passages", F.lit(None).cast("array<struct<a:int,b:int>>"))
     each = written(_windows(held.select("text", "windows").filter("windows is not null"), words), "windows")
     # equal strings have equal anchors, so both hashes together name one
-    twice = written(each.groupBy("h", "own").agg(F.sum("n").alias("n"), F.min("r0").alias("r0"), F.max("r1").alias("r1")).filter(again).select("h", "own"), "windows-twice")
+    twice = written(each.groupBy("h", "own").agg(*([F.min("r0").alias("r0"), F.max("r1").alias("r1")] if elsewhere else [F.sum("n").alias("n")])).filter(again).select("h", "own"), "windows-twice")
     hits = each.join(twice, ["h", "own"]).groupBy("h", "seg").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
     copied = word_kinds.filter(again).select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), m.alias("b"))).alias("runs"))
     passages = _runs(word_seen, written(hits.union(copied), "found-words"))
