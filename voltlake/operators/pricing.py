@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltlake.functions.scalars import r6, ratio
+from voltlake.session import stored
 
 GRID = tuple(round(0.80 + 0.05 * i, 2) for i in range(9))
 COST_SHARE, ELASTICITY, STANDING_SHARE = 0.7, -1.5, 0.05
@@ -36,6 +39,52 @@ def best(cands: DataFrame, strategy: str) -> DataFrame:
         (-F.col("b.nf")).alias("factor"))
 
 
+def best_within(cands: DataFrame, max_loss: float, width: int = 32, rounds: int = 5) -> tuple[DataFrame, dict]:
+    """Candidates of largest total margin while all segments together lose at most ``max_loss`` of today's demand, and a report.
+
+    The bound is one price on lost demand (a Lagrange multiplier): each segment takes the candidate of best margin less price x loss, and the smallest price that
+    keeps the bound is narrowed down ``width`` values a pass over the segments; only totals reach the driver. The best margin of all choices lies between ``margin`` and
+    ``margin`` + ``gap`` of the report. A bound that no choice keeps gives the choice of least loss, ``feasible`` false.
+    """
+    lost = F.col("q0") - F.col("demand")
+    packed = stored(cands.where(lost.isNotNull() & F.col("margin").isNotNull()).groupBy("segment").agg(
+        F.collect_list(F.struct("factor", "margin", lost.alias("lost"))).alias("c"), F.max("q0").alias("q0")), "candidates")  # one row a segment
+
+    def pick(price: float):
+        least = math.isinf(price)
+        value = lambda x: -x["lost"] if least else x["margin"] - F.lit(float(price)) * x["lost"]
+        return F.array_max(F.transform("c", lambda x: F.struct(value(x).alias("v"), (-x["lost"]).alias("kept"), x["margin"].alias("margin"), (-x["factor"]).alias("nf"))))
+
+    def totals(prices: list[float]) -> list[tuple[float, float, float]]:
+        row = packed.select("q0", *[pick(p).alias(f"b{i}") for i, p in enumerate(prices)]).agg(
+            F.sum("q0").alias("q"), *[f(F.sum(f"b{i}.{n}")).alias(f"{n}{i}") for i in range(len(prices)) for n, f in (("margin", lambda c: c), ("kept", lambda c: -c))]).first()
+        nonlocal budget
+        budget = max_loss * (row["q"] or 0.0)
+        return [(p, row[f"margin{i}"] or 0.0, row[f"kept{i}"] or 0.0) for i, p in enumerate(prices)]
+
+    budget = 0.0
+    seen = totals([0.0, math.inf])
+    ok = lambda t: t[2] <= budget + 1e-9 * max(1.0, abs(budget))
+    low, high = 0.0, math.inf
+    if ok(seen[0]):
+        high = 0.0
+    elif ok(seen[1]):
+        scale = totals([2.0 ** k for k in range(-width // 2, width // 2 + 1)])
+        seen += scale
+        high = min((t[0] for t in scale if ok(t)), default=math.inf)
+        low = max((t[0] for t in scale if not ok(t) and t[0] < high), default=0.0)
+        for _ in range(rounds if math.isfinite(high) else 0):
+            grid = totals([low + (high - low) * i / (width + 1) for i in range(1, width + 1)])
+            seen += grid
+            high = min([high, *(t[0] for t in grid if ok(t))])
+            low = max([low, *(t[0] for t in grid if not ok(t) and t[0] < high)])
+    chosen = next(t for t in seen if t[0] == high)
+    dual = min((m + p * (budget - l) for p, m, l in seen if math.isfinite(p)))
+    report = {"price": high, "margin": chosen[1], "lost": chosen[2], "budget": budget, "gap": max(0.0, dual - chosen[1]), "feasible": ok(chosen)}
+    b = packed.select("segment", "q0", pick(high).alias("b"))
+    return b.select("segment", (-F.col("b.nf")).alias("factor"), F.col("b.margin").alias("margin"), (-F.col("b.kept")).alias("lost")), report
+
+
 def sensitivity(cands: DataFrame) -> DataFrame:
     """Objective per scenario and its slope between neighbouring factors; nine rows per segment."""
     w = W.partitionBy("segment").orderBy("factor")

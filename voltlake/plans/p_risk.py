@@ -39,6 +39,13 @@ def price_optimise(t):
     return P.best(c, "maximize_margin").unionByName(P.best(c, "maximize_retention"))
 
 
+@query("price_optimise_bounded")
+def price_optimise_bounded(t):
+    """Rates of largest margin while all segments together lose at most a twentieth of today's demand; held to exhaustive search by a test."""
+    chosen, report = P.best_within(P.candidates(tariff_segments(t)), 0.05)
+    return chosen.select("segment", "factor", F.round("margin", 2).alias("margin"), F.round("lost", 4).alias("lost"), F.lit(report["feasible"]).alias("feasible"), F.lit(report["gap"] / max(report["margin"], 1e-9)).alias("relative_gap"))
+
+
 @query("price_sensitivity", f"""with {CAND} select segment, factor, round(margin, 2) as margin, round((margin - lag(margin) over w) / (factor - lag(factor) over w), 2) as slope
     from c window w as (partition by segment order by factor)""")
 def price_sensitivity(t):
