@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import small_batches, tasks, written
 from voltlake.llm.suffix_array import plcp, suffix_array
-from voltlake.llm.textops import BASE, PIECE, U, mixed, sequences, spans, table, word_hashes
+from voltlake.llm.textops import BASE, PIECE, U, mixed, spans, table, word_hashes
 
 LENGTH = 400
 GRAM = 64
@@ -222,8 +222,13 @@ class _Words:
         buf = np.frombuffer(b"\n".join(data), dtype=np.uint8)  # all texts at once; no string below reaches over a separator
         starts, ends = spans(~_SPACE[buf])
         self.word = word_hashes(buf, starts, ends)
-        self.apart = word_hashes(buf, starts, np.append(starts[1:], len(buf)))
-        self.grams = sequences(self.word, self.gram)
+        behind = np.append(starts[1:], len(buf))
+        gap = buf[np.minimum(ends, len(buf) - 1)].astype(U) if len(buf) else self.word
+        wide = np.flatnonzero(behind - ends > 1)  # mostly one space stands between words
+        gap[wide] = word_hashes(buf, ends[wide], behind[wide])
+        self.apart = mixed(self.word * BASE + gap)
+        at = np.arange(max(0, len(starts) - self.gram + 1))
+        self.grams = word_hashes(self.word, at, at + self.gram)
         self.bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(d) + 1 for d in data]))).tolist()
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
