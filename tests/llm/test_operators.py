@@ -475,6 +475,19 @@ def test_fingerprints_by_brute_force(docs, rows):
     assert as_set((r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == want
 
 
+def test_own_fingerprints_are_made_once(spark, docs):
+    """Texts are looked up twice, as they are and edited; what else needs a fingerprint reads it."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    try:
+        out = fingerprints.fingerprints(docs, idf_band=(0.5, 9.0))
+        out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Final Plan" in plan and plan.count("Generate posexplode") == 2
+
+
 def test_lexicon_is_counted_by_term(spark):
     """More terms than any table of buckets: once-only terms and too frequent ones stay out, the others are in, whatever else occurs."""
     once = [[f"rare{i}x{j}" for j in range(1500)] for i in range(400)]

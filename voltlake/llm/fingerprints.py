@@ -91,9 +91,14 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(shared & (either > 0), same / either).otherwise(0.0).cast("double")
 
 
+def _never_null(key: Column) -> Column:
+    """A key that Spark knows to have no nulls, so that no join adds a filter of its own to a shuffle that it could share."""
+    return F.coalesce(key, F.lit(bytearray()))
+
+
 def row_key() -> Column:
     """One key for id and text, never null, so that joins and the shuffle before them agree on the partitioning."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5("text")))).alias("key")
+    return _never_null(F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5("text"))))).alias("key")
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
@@ -122,15 +127,19 @@ def fingerprints(docs: DataFrame, idf_band=IDF_BAND) -> DataFrame:
     by itself. Other columns are ignored.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = tasks(docs.sparkSession)
     terms = lexicon(docs, *idf_band)
-    # both joins below read this one shuffle, and the lookups need no other
-    own = with_fingerprint(docs.select(row_key(), "text").repartition(tasks(docs.sparkSession), "key"), "text", "fingerprint", terms)
+    # all below read this one shuffle of the texts, and the lookups need no other
+    texts = docs.select(row_key(), "text").repartition(n, "key")
+    # Spark does not know this key for that of the shuffle, so fingerprints, without texts, are dealt once more: they are made once and not by each of their readers
+    own = with_fingerprint(texts, "text", "fingerprint", terms).select(_never_null(F.unhex(F.hex("key"))).alias("key"), "fingerprint")
+    texts = texts.dropDuplicates(["key"])
     keys = docs.select("doc_id", row_key(), F.char_length("text").alias("n")).groupBy("doc_id", "key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
     order = next_keys(keys).withColumnRenamed("key", "before")
     tails = (
-        own.join(order, own["key"] == order["nx"])
-        .select("before", "doc_id", "n", "copies", F.col("fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail")))
-    both = own.join(tails, own["key"] == tails["before"])
+        texts.join(order, texts["key"] == order["nx"]).join(own.alias("after"), F.col("nx") == F.col("after.key"))
+        .select("before", "doc_id", "n", "copies", F.col("after.fingerprint").alias("nx_fingerprint"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("tail")))
+    both = texts.join(tails, texts["key"] == tails["before"]).join(own, "key")
     edited = both.select(
         "key", "doc_id", "copies", F.col("n").cast("long").alias("n_chars"), "fingerprint", "nx_fingerprint",
         F.concat(F.substring("text", F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int")), "tail").alias("edited"))
