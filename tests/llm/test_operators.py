@@ -158,6 +158,43 @@ def test_passage_words(docs, rows, options):
     assert as_set((r.doc_id, r.n_removed) for r in got) == as_set((r[0], r[2]) for r in removed_by_brute_force(rows, 100))
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "block": 4}])
+def test_copies_meet_one_row(spark, options, monkeypatch):
+    """What is found of a segment is one row, however many its copies are and however it was found, so that the join with its copies adds none."""
+    rng = random.Random(12)
+    passage = words(rng, 80)
+    texts = [f"{words(rng, 40)} {passage} {words(rng, 40)}" for _ in range(40)] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    joined, plain = [], suffix_dedup._runs
+    monkeypatch.setattr(suffix_dedup, "_runs", lambda seen, found: joined.append((seen, found)) or plain(seen, found))
+    got = suffix_dedup.repeats(docs, length=100, words=12, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert as_set(tuple(r) for r in got) == as_set(removed_by_brute_force(list(enumerate(texts)), 100))
+    assert len(joined) == 2
+    for seen, found in joined:
+        assert found.count() == found.select("h", "seg").distinct().count()
+        assert seen.join(found, ["h", "seg"]).count() <= seen.count()
+
+
+def test_candidates_of_an_anchor():
+    """Strings that occur in two segments of an anchor lie in the stretches that are sorted; segments without any are left out."""
+    rng = random.Random(4)
+    for length, gram in ((40, 8), (9, 8), (8, 8)):
+        left = 0
+        for _ in range(60):
+            kinds = []
+            for _ in range(rng.randrange(2, 6)):
+                far, near = sorted((rng.randrange(length - gram + 1), rng.randrange(length - gram + 1)), reverse=True)
+                sides = ["".join(rng.choice("xy") * rng.randrange(5, 30) for _ in range(20)) for _ in range(2)]
+                kinds.append(((sides[0][-far:] if far else "").encode() + b"a" * gram + sides[1].encode()[: length - near - gram], far))
+            starts = [{(a - i, b[i: i + length]) for i in range(len(b) - length + 1)} for b, a in kinds]
+            every = Counter(x for own in starts for x in own)
+            for (b, a), own, (lo, hi) in zip(kinds, starts, suffix_dedup.shared(kinds, length, gram)):
+                again = [a - d for d, x in own if every[d, x] > 1]
+                assert all(lo <= i and i + length <= hi for i in again)
+                left += lo == hi
+        assert left or length < 2 * gram
+
+
 def test_texts_without_repeats(docs, rows, empty):
     out = suffix_dedup.without_repeats(docs, length=100)
     assert out.columns == docs.columns

@@ -13,6 +13,7 @@ Passages of a number of whole words are found in the same way from word anchors,
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import small_batches, tasks, written
 from voltlake.llm.suffix_array import plcp, suffix_array
-from voltlake.llm.textops import BASE, PIECE, U, mixed, spans, table, word_hashes
+from voltlake.llm.textops import BASE, PIECE, U, gram_hashes, mixed, spans, table, word_hashes
 
 LENGTH = 400
 GRAM = 64
 HOT = 512
 BLOCK = 16
 SHARD = 1 << 20  # bytes of text sorted at once; one anchor's segments may add up to HOT * 2 * LENGTH more
+PARTS = 8
 GRAM_WORDS = 8
 _END = 0xFF  # occurs in no UTF-8 text
 _SPACE = table(b" \t\n\r\x0b\x0c")
@@ -58,8 +60,7 @@ def segments(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     out = []
     for at in range(0, len(buf) - length + 1, PIECE):
         part = buf[at: at + PIECE + length - 1]
-        grams = np.arange(len(part) - gram + 1)
-        h = word_hashes(part, grams, grams + gram)
+        h = gram_hashes(part, gram)
         first, count, place = _dealt(h, length - gram + 1)
         out.append((first + at, count, place + at, h[place].view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -96,21 +97,48 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _cut_out(texts: DataFrame) -> DataFrame:
-    """Of rows (rid, text, wanted) the wanted segments with their bytes: (h, seg, m, anchor, body)."""
+    """Of rows (rid, text, wanted) the wanted segments with their bytes: (h, seg, once, m, anchor, body)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
         for rows in batches:
-            out = []
-            for text, wanted in zip(rows.column("text").to_pylist(), rows.column("wanted").to_pylist(), strict=True):
-                data = (text or "").encode()
-                out += [(w["h"], w["seg"], w["m"], w["anchor"] - w["s"], data[w["s"]: w["s"] + w["m"] + w["more"]]) for w in wanted or ()]
-            made = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "m", "anchor", "body"])
+            data = [(text or "").encode() for text in rows.column("text").to_pylist()]
+            wanted = rows.column("wanted")
+            own = np.repeat(np.arange(rows.num_rows), wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            first, count, more = (wanted.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("s", "m", "more"))
+            body = [data[k][a:b] for k, a, b in zip(own.tolist(), first.tolist(), (first + count + more).tolist(), strict=True)]
+            # the row is found by a hash of its key: what does not fit is another row
+            fits = pa.array([xxhash.xxh3_128_digest(x) == seg for x, seg in zip(body, wanted.flatten().field("seg").to_pylist(), strict=True)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*(wanted.flatten().field(c) for c in ("h", "seg", "once", "m", "anchor")), pa.array(body, pa.binary())],
+                                             ["h", "seg", "once", "m", "anchor", "body"])
+            yield out.filter(fits)
+
+    return texts.mapInArrow(run, "h long, seg binary, once boolean, m int, anchor int, body binary")
+
 
-    return texts.mapInArrow(run, "h long, seg binary, m int, anchor int, body binary")
+def shared(kinds: list[tuple[bytes, int]], length: int, gram: int, parts: int = PARTS) -> list[tuple[int, int]]:
+    """Of each of an anchor's distinct segments (bytes, place of the anchor) the stretch that can hold strings of another one; (0, 0) if there is none.
+
+    Equal strings start as far before the anchor as each other. All that start within one of ``parts`` ranges of distances have some bytes
+    in common, and where no other segment has these bytes, none of the strings occurs again.
+    """
+    parts = max(1, min(parts, length - gram))
+    cuts = [(length - gram) * k // parts for k in range(parts + 1)]
+    cores = []
+    for body, anchor in kinds:
+        own = []
+        for k in range(parts):
+            a, b = anchor - cuts[k], anchor - cuts[k + 1] + length
+            own.append(body[a:b] if a >= 0 and b <= len(body) else None)  # a segment that has such a string has these bytes
+        cores.append(own)
+    seen = Counter((k, core) for own in cores for k, core in enumerate(own) if core is not None)
+    out = []
+    for (body, anchor), own in zip(kinds, cores, strict=True):
+        some = [k for k, core in enumerate(own) if core is not None and seen[k, core] > 1]
+        out.append((max(0, anchor - cuts[some[-1] + 1]), min(len(body), anchor - cuts[some[0]] + length)) if some else (0, 0))
+    return out
 
 
 def repeated_starts(bodies: list[bytes], length: int) -> list[list[tuple[int, int]]]:
@@ -138,36 +166,49 @@ def repeated_starts(bodies: list[bytes], length: int) -> list[list[tuple[int, in
 _RUNS = "h long, seg binary, runs array<struct<a:int,b:int>>"
 
 
-def _by_shards(parts: DataFrame, length: int) -> DataFrame:
-    """Repeated starts of segments whose anchors are not hot."""
+def _by_shards(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Repeated starts of segments that occur once and whose anchors are not hot. Of an anchor's segments only what may occur in another one is sorted."""
 
     def flush(held: list):
         import pyarrow as pa
 
         runs = repeated_starts([x[2] for x in held], length)
-        some = [(x[0], x[1], [{"a": a, "b": b} for a, b in r]) for x, r in zip(held, runs, strict=True) if r]
+        some = [(x[0], x[1], [{"a": a + x[4], "b": b + x[4]} for a, b in r]) for x, r in zip(held, runs, strict=True) if r and x[3]]
         made = list(zip(*some, strict=True)) or [[]] * 3
         kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "runs"])
 
     def run(batches: Iterator) -> Iterator:
-        held, size = [], 0
+        group, held, size = [], [], 0
+
+        def chosen() -> int:
+            """Moves the group's candidates to the shard; bytes added."""
+            added = 0
+            for (h, seg, once, _, body), (a, b) in zip(group, shared([(x[4], x[3]) for x in group], length, gram), strict=True):
+                if a < b:
+                    held.append((h, seg, body[a:b], once, a))
+                    added += b - a + 1
+            group.clear()
+            return added
+
         for rows in batches:
-            for h, seg, body in zip(*(rows.column(c).to_pylist() for c in ("h", "seg", "body")), strict=True):
-                if size >= SHARD and h != held[-1][0]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((h, seg, body))
-                size += len(body) + 1
+            for row in zip(*(rows.column(c).to_pylist() for c in ("h", "seg", "once", "anchor", "body")), strict=True):
+                if group and row[0] != group[0][0]:
+                    size += chosen()
+                    if size >= SHARD:
+                        yield flush(held)
+                        held, size = [], 0
+                group.append(row)
+        chosen()
         if held:
             yield flush(held)
 
-    spread = parts.select("h", "seg", "body").repartition(tasks(parts.sparkSession), "h").sortWithinPartitions("h")
+    spread = parts.select("h", "seg", "once", "anchor", "body").repartition(tasks(parts.sparkSession), "h").sortWithinPartitions("h")
     return spread.mapInArrow(run, _RUNS)
 
 
 def _by_content(parts: DataFrame, length: int, block: int) -> DataFrame:
-    """Repeated starts of segments of hot anchors.
+    """Repeated starts of segments that occur once and have hot anchors, one row a segment.
 
     Strings are grouped by how far before the anchor they start, ``block`` distances at a time. Equal strings of a group
     share the bytes that all its strings have in common, the core. Groups in which only one text occurs are decided by its count; of the
@@ -180,15 +221,15 @@ def _by_content(parts: DataFrame, length: int, block: int) -> DataFrame:
 
         for rows in batches:
             out = []
-            for h, seg, m, anchor, body in zip(*(rows.column(c).to_pylist() for c in ("h", "seg", "m", "anchor", "body")), strict=True):
+            for h, seg, once, m, anchor, body in zip(*(rows.column(c).to_pylist() for c in ("h", "seg", "once", "m", "anchor", "body")), strict=True):
                 for q in range((anchor - m + 1) // block, anchor // block + 1):
                     a, b = max(0, anchor - q * block - block + 1), min(m, anchor - q * block + 1)
                     if a < b:
                         core = body[max(0, anchor - q * block): anchor - q * block - block + 1 + length]
-                        out.append((h, seg, q, a, b, xxhash.xxh3_128_digest(core), xxhash.xxh3_128_digest(body[a: b - 1 + length] + bytes([b - a]))))
-            made = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "q", "a", "b", "core", "own"])
+                        out.append((h, seg, once, q, a, b, xxhash.xxh3_128_digest(core), xxhash.xxh3_128_digest(body[a: b - 1 + length] + bytes([b - a]))))
+            made = list(zip(*out, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "once", "q", "a", "b", "core", "own"])
 
     def strings(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -196,21 +237,22 @@ def _by_content(parts: DataFrame, length: int, block: int) -> DataFrame:
 
         for rows in batches:
             out = []
-            for h, seg, a, b, body in zip(*(rows.column(c).to_pylist() for c in ("h", "seg", "a", "b", "body")), strict=True):
-                out += [(h, seg, i, xxhash.xxh3_128_digest(body[i: i + length])) for i in range(a, b)]
-            made = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, [pa.int64(), pa.binary(), pa.int32(), pa.binary()], strict=True)], ["h", "seg", "i", "own"])
+            for h, seg, once, a, b, body in zip(*(rows.column(c).to_pylist() for c in ("h", "seg", "once", "a", "b", "body")), strict=True):
+                out += [(h, seg, once, i, xxhash.xxh3_128_digest(body[i: i + length])) for i in range(a, b)]
+            made = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], ["h", "seg", "once", "i", "own"])
 
-    cut = written(parts.mapInArrow(blocks, "h long, seg binary, q int, a int, b int, core binary, own binary"), "blocks")
+    cut = written(parts.mapInArrow(blocks, "h long, seg binary, once boolean, q int, a int, b int, core binary, own binary"), "blocks")
     kinds = cut.groupBy("h", "q", "core", "own").agg(F.count("*").alias("n"))
     groups = kinds.groupBy("h", "q", "core").agg(F.count("*").alias("kinds"), F.max("n").alias("most"))
     some = cut.join(groups.filter("kinds > 1 or most > 1"), ["h", "q", "core"])
-    whole = some.filter("kinds = 1").select("h", "seg", F.array(F.struct("a", "b")).alias("runs"))
-    single = some.filter("kinds > 1").select("h", "seg", "a", "b").join(parts.select("h", "seg", "body"), ["h", "seg"]).mapInArrow(strings, "h long, seg binary, i int, own binary")
+    whole = some.filter("kinds = 1 and once").select("h", "seg", F.array(F.struct("a", "b")).alias("runs"))
+    single = some.filter("kinds > 1").select("h", "seg", "once", "a", "b").join(parts.select("h", "seg", "body"), ["h", "seg"]).mapInArrow(strings, "h long, seg binary, once boolean, i int, own binary")
     single = written(single, "strings")
     twice = single.groupBy("own").agg(F.count("*").alias("n")).filter("n > 1").select("own")
-    hits = single.join(twice, "own").groupBy("h", "seg").agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
-    return whole.union(hits)
+    hits = single.filter("once").join(twice, "own").groupBy("h", "seg").agg(F.transform(F.collect_list("i"), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+    return whole.union(hits).groupBy("h", "seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 class _Words:
@@ -301,17 +343,19 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     # counts are written tables, so that the joins below read plain shuffles, of which hot partitions can be split
     often = written(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     seen = written(anchors.join(often, "h"), "repeated")
-    kinds = written(seen.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "s", "m", "anchor")).alias("one")), "kinds")
+    # equal segments have their anchor at the same place; the values have fixed width, so that they are hashed, not sorted
+    r = F.xxhash64("rid")
+    one = (F.min(r).alias("r"), F.min_by("s", r).alias("s"), F.max("m").alias("m"), F.max(F.col("anchor") - F.col("s")).alias("anchor"))
+    kinds = written(seen.groupBy("h", "seg").agg(F.count("*").alias("n"), *one), "kinds")
     size = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "kinds-of-anchor")
     many = kinds.join(size, "h")
     # bytes are needed of one occurrence of every segment whose anchor has several
-    wanted = many.filter("kinds > 1").select("one.rid", F.struct("h", "seg", "one.s", "one.m", "one.anchor", F.lit(length - 1).alias("more")).alias("w"))
+    wanted = many.filter("kinds > 1").select(F.col("r").alias("has"), F.struct("h", "seg", (F.col("n") == 1).alias("once"), "s", "m", "anchor", F.lit(length - 1).alias("more")).alias("w"))
     rids = seen.select("rid")
     if words:
         word_anchors = written(_word_anchors(docs, words), "word-anchors")
         again = "r0 != r1" if elsewhere else "n > 1"
-        r = F.xxhash64("rid")
-        counted = (F.count("*").alias("n"), F.min(r).alias("r0"), F.max(r).alias("r1"))  # fixed width, so that they are hashed, not sorted
+        counted = (F.count("*").alias("n"), F.min(r).alias("r0"), F.max(r).alias("r1"))
         often = written(word_anchors.groupBy("h").agg(*(counted[1:] if elsewhere else counted[:1])).filter(again).select("h"), "often-words")
         word_seen = written(word_anchors.join(often, "h"), "repeated-words")
         place = F.min_by(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("m").cast("long")), r).alias("place")
@@ -320,19 +364,20 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         s, m = F.shiftright("place", 32).cast("int").alias("s"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("m")
         windows = word_kinds.join(several, "h").groupBy("r0").agg(F.collect_list(F.struct("h", "seg", s, m, "n", "r0", "r1")).alias("windows")).withColumnRenamed("r0", "of")
         rids = rids.union(word_seen.select("rid"))
-    wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    needed = rids.distinct().join(wanted, "rid", "left")
+    wanted = wanted.groupBy("has").agg(F.collect_list("w").alias("wanted"))
+    needed = rids.distinct().withColumn("r", r).join(wanted, F.col("r") == F.col("has"), "left")
     if words:
-        needed = needed.withColumn("r", F.xxhash64("rid")).join(windows, F.col("r") == F.col("of"), "left").drop("r", "of")
-    needed = needed.withColumnRenamed("rid", "need")
+        needed = needed.join(windows, F.col("r") == F.col("of"), "left").drop("of")
+    needed = needed.drop("r", "has").withColumnRenamed("rid", "need")
     own = docs.select(row_key(), "text")
     held = written(own.join(needed, F.col("rid") == F.col("need")).drop("need").dropDuplicates(["rid"]), "held")
     parts = written(_cut_out(held.select("text", "wanted").filter("wanted is not null")), "segments")
     parts = parts.join(size, "h")
-    found = _by_shards(parts.filter(F.col("kinds") <= hot), length)
+    found = _by_shards(parts.filter(F.col("kinds") <= hot), length, gram)
     if not size.filter(F.col("kinds") > hot).isEmpty():
         found = found.union(_by_content(parts.filter(F.col("kinds") > hot), length, block))
-    copied = many.filter("n > 1").select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("one.m").alias("b"))).alias("runs"))
+    # a segment that occurs several times is repeated as a whole and has this row alone, so that its copies meet one
+    copied = many.filter("n > 1").select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), F.col("m").alias("b"))).alias("runs"))
     found = written(found.union(copied), "found")
     out = held.select("rid", "text").join(_runs(seen, found).withColumnsRenamed({"rid": "at", "runs": "starts"}), F.col("rid") == F.col("at"), "left").drop("at")
     if not words:
@@ -340,7 +385,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     each = written(_windows(held.select("text", "windows").filter("windows is not null"), words), "windows")
     # equal strings have equal anchors, so both hashes together name one
     twice = written(each.groupBy("h", "own").agg(*([F.min("r0").alias("r0"), F.max("r1").alias("r1")] if elsewhere else [F.sum("n").alias("n")])).filter(again).select("h", "own"), "windows-twice")
-    hits = each.join(twice, ["h", "own"]).groupBy("h", "seg").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
+    hits = each.filter(f"not ({again})").join(twice, ["h", "own"]).groupBy("h", "seg").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), (i + 1).alias("b"))).alias("runs"))
     copied = word_kinds.filter(again).select("h", "seg", F.array(F.struct(F.lit(0).alias("a"), m.alias("b"))).alias("runs"))
     passages = _runs(word_seen, written(hits.union(copied), "found-words"))
     out = out.join(passages.withColumnsRenamed({"rid": "at", "runs": "passages"}), F.col("rid") == F.col("at"), "left")
@@ -353,10 +398,17 @@ def _runs(seen: DataFrame, found: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))))).alias("runs"))
 
 
-def covered(starts, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the maximal runs of bytes that strings with these starts cover."""
-    runs = np.array(sorted((x["a"], x["b"]) for x in starts), dtype=np.int64).reshape(-1, 2)
-    a, b = runs[:, 0], np.maximum.accumulate(runs[:, 1] + length - 1)
+def _bounds(runs) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the runs of every row of an Arrow column of lists; a null is an empty list."""
+    ends = np.cumsum(runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    a, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in runs.flatten().flatten())
+    return [(a[lo:hi], b[lo:hi]) for lo, hi in zip([0, *ends], ends)]
+
+
+def covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the maximal runs of bytes that strings with starts in [a, b) cover."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order] + length - 1)
     head = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
     return a[head], b[np.append(head[1:] - 1, len(b) - 1)]
 
@@ -369,11 +421,11 @@ def _removed(rows: DataFrame, length: int, words: int = 0, cut: bool = False) ->
 
         for part in batches:
             out = []
-            for text, starts, passages in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "passages")), strict=True):
+            for text, starts, passages in zip(part.column("text").to_pylist(), _bounds(part.column("starts")), _bounds(part.column("passages")), strict=True):
                 data = (text or "").encode()
                 u = np.frombuffer(data, dtype=np.uint8)
                 keep, whole = np.ones(len(u), dtype=bool), np.ones(len(u), dtype=bool)
-                first, last = covered(starts, length) if starts else (np.empty(0, dtype=np.int64),) * 2
+                first, last = covered(*starts, length) if len(starts[0]) else starts
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     keep[a:b] = False
                     while a < b and u[a] & 0xC0 == 0x80:
@@ -382,8 +434,8 @@ def _removed(rows: DataFrame, length: int, words: int = 0, cut: bool = False) ->
                         b -= 1
                     whole[a:b] = False
                 n = 0
-                if passages:
-                    from_, to = covered(passages, words)
+                if len(passages[0]):
+                    from_, to = covered(*passages, words)
                     n = int((to - from_).sum())
                     if cut:
                         begin, end = spans(~_SPACE[u])

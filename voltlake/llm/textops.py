@@ -7,6 +7,7 @@ import numpy as np
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 PIECE = 1 << 20  # bytes hashed at once, so that a very long text needs little memory
+CACHED = 1 << 15  # bytes hashed at once where words are short: arrays of this length stay in a core's cache
 
 #: ASCII lower case; all other bytes stay.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -57,7 +58,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     first = 0
     while first < len(starts):
         at = int(starts[first])
-        last = max(first + 1, int(np.searchsorted(ends, at + PIECE, side="right")))
+        last = max(first + 1, int(np.searchsorted(ends, at + CACHED, side="right")))
         if ends[last - 1] - at > PIECE:  # a word longer than a piece
             out[first] = _long_word(buf, at, int(ends[first]))
             first += 1
@@ -71,6 +72,19 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` bytes from every place: eight bytes are a number, and neighbouring runs are joined until they are long enough."""
+    if gram < 8 or gram & (gram - 1):
+        at = np.arange(len(buf) - gram + 1)
+        return word_hashes(buf, at, at + gram)
+    buf = np.ascontiguousarray(buf)
+    out, size, base = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,)), 8, int(BASE)
+    while size < gram:
+        out = out[:-size] * U(base) + out[size:]
+        size, base = 2 * size, base * base % (1 << 64)
+    return mixed(out)
+
+
 def _long_word(buf: np.ndarray, start: int, end: int) -> U:
     """The same hash, added up over pieces."""
     up, total = powers()[0], 0
