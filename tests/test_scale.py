@@ -111,6 +111,14 @@ def test_postings(spark, docs, block):
         assert blocks.where("term = 'the'").count() > 100
 
 
+def test_postings_are_made_once(docs):
+    """Counts are dealt into ranges before lists are made of them: no list is dealt out again, and none is made for drawing the ranges."""
+    plan = retrieval.postings(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("collect_list") < plan.index("Exchange rangepartitioning")  # nearer to the result
+    above = plan[:plan.index("Exchange rangepartitioning")]
+    assert "Exchange" not in above and "collect_list" not in plan[len(above):]
+
+
 @pytest.mark.parametrize("query", ["the", "w1 w2", "the w7 w250", "w299", "nowhere", "", "w3 the w3 nowhere"])
 def test_search_skips_blocks_only(spark, docs, query):
     full = retrieval.search(docs, "doc_id", "text", query, 7).collect()

@@ -41,17 +41,20 @@ def postings(docs: DataFrame, doc_id: str, text: str, block: int = BLOCK) -> Dat
     """
     if block > 1 << 15:
         raise ValueError("distances are kept in 16 bits")
-    tf = term_counts(docs, doc_id, text).withColumnRenamed(doc_id, "_id")
-    rows = tf.groupBy("term", F.floor(F.col("_id") / block).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_id").alias("id"), "tf"))).alias("p"), F.max("tf").alias("max_tf"))
-    first = F.col("p")[0]["id"]
-    return rows.select("term", "block", F.size("p").alias("n"), first.alias("first"), F.transform("p", lambda x: (x["id"] - first).cast("smallint")).alias("gaps"), F.col("p.tf").alias("tfs"), "max_tf")
+    place = F.coalesce(F.pmod("_id", F.lit(block).cast("long")), F.lit(0).cast("long"))
+    tf = term_counts(docs, doc_id, text).withColumnRenamed(doc_id, "_id").select("term", F.floor((F.col("_id") - place) / block).alias("block"), "_id", "tf")
+    # counts, not lists, are dealt into ranges, so that every list is made once, in the task that writes it; a place in the block and its count are one number, as numbers sort fast
+    rows = tf.repartitionByRange("term", "block").groupBy("term", "block").agg(
+        F.sort_array(F.collect_list(F.shiftleft(place, 48).bitwiseOR(F.col("tf")))).alias("p"), F.min("_id").alias("first"), F.max("tf").alias("max_tf"))
+    at = F.shiftright(F.col("p")[0], 48)
+    return rows.select("term", "block", F.size("p").alias("n"), "first", F.transform("p", lambda x: (F.shiftright(x, 48) - at).cast("smallint")).alias("gaps"),
+                       F.transform("p", lambda x: x.bitwiseAND(F.lit((1 << 48) - 1))).alias("tfs"), "max_tf")
 
 
 def write_postings(docs: DataFrame, doc_id: str, text: str, path: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Postings in the order of their terms, so that a search reads few row groups, and the lexicon (term, df), one row a term."""
     spark = docs.sparkSession
-    postings(docs, doc_id, text, block).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    postings(docs, doc_id, text, block).sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
     blocks = spark.read.parquet(f"{path}/postings")
     blocks.groupBy("term").agg(F.sum("n").alias("df")).write.parquet(f"{path}/lexicon")
     return blocks, spark.read.parquet(f"{path}/lexicon")
