@@ -175,6 +175,35 @@ def test_copies_meet_one_row(spark, options, monkeypatch):
         assert seen.join(found, ["h", "seg"]).count() <= seen.count()
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 1, "block": 4}])
+def test_repeats_inside_a_text_are_one_row(spark, options, monkeypatch):
+    """However often a text holds a segment, it is one row of the joins, and every place of it is still found."""
+    rng = random.Random(13)
+    texts = [f"{words(rng, 20)} {'ab cd ' * (30 + k)}{words(rng, 20)}" for k in range(12)] + ["ab cd " * 200, "xy " * 150, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    joined, plain = [], suffix_dedup._runs
+    monkeypatch.setattr(suffix_dedup, "_runs", lambda seen, found: joined.append((seen, found)) or plain(seen, found))
+    got = suffix_dedup.repeats(docs, length=100, words=12, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words").collect()
+    want, passages = removed_by_brute_force(list(enumerate(texts)), 100), dict(passage_words_by_brute_force(list(enumerate(texts)), 12))
+    assert as_set(tuple(r) for r in got) == as_set((*r, passages[r[0]]) for r in want) and sum(r[2] > 0 for r in want) == 14
+    assert len(joined) == 2
+    for seen, found in joined:
+        assert seen.count() == seen.select("rid", "h", "seg").distinct().count()
+        assert seen.join(found, ["h", "seg"]).count() <= 16 * len(texts)  # before: a row for each of the thousands of places
+
+
+def test_once_a_text():
+    rng = np.random.default_rng(5)
+    for n in [0, 1, *rng.integers(2, 40, 60)]:
+        own, a, b = np.sort(rng.integers(0, 4, n)), rng.integers(0, 3, n), rng.integers(0, 3, n)
+        want = defaultdict(list)
+        for i in range(n):
+            want[own[i], a[i], b[i]].append(i + 7)
+        new, more = suffix_dedup._once_a_text(own, (a, b), np.arange(n) + 7)
+        assert (new + 7).tolist() == [v[0] for v in want.values()]
+        assert more.to_pylist() == [v[1:] or None for v in want.values()]
+
+
 def test_candidates_of_an_anchor():
     """Strings that occur in two segments of an anchor lie in the stretches that are sorted; segments without any are left out."""
     rng = random.Random(4)

@@ -2,7 +2,7 @@
 
 Every string of LENGTH bytes belongs to the smallest hash among its GRAM-byte runs (the rightmost of equals), its anchor. Equal
 strings have equal anchors, so the strings of a text fall into segments, one an anchor occurrence, and repeats are found among the
-segments of one anchor. Anchors that occur once are left out, equal segments are counted as one, and the distinct
+segments of one anchor. Equal segments of a text are one row with all their starts. Anchors that occur once are left out, equal segments are counted as one, and the distinct
 segments of the others are dealt by anchor into shards. A shard's suffix array is built by induced sorting; a
 string repeats where the permuted common prefix reaches LENGTH. An anchor with more than HOT distinct segments is split by
 content instead: blocks of strings that share a core, then single strings, both counted with pre-aggregation.
@@ -66,11 +66,35 @@ def segments(buf: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-_PART = "h long, seg binary, s int, m int, anchor int"
+_PART = "h long, seg binary, s int, more array<int>, m int, anchor int"
+
+
+def _once_a_text(own: np.ndarray, keys: tuple[np.ndarray, ...], s: np.ndarray) -> tuple:
+    """Of segments in order, those of text ``own`` equal where ``keys`` are: which are the first of their kind in the text, and the starts ``s`` of the further ones (null: none)."""
+    import pyarrow as pa
+
+    order = np.lexsort((*keys, own))  # stable
+    differ = np.zeros(max(0, len(own) - 1), dtype=bool)
+    for x in (own, *keys):
+        differ |= x[order[1:]] != x[order[:-1]]
+    head = np.flatnonzero(np.append(True, differ)) if len(own) else order
+    kind = np.empty(len(own), dtype=np.int64)
+    kind[order] = np.repeat(order[head], np.diff(np.append(head, len(own))))
+    new = kind == np.arange(len(own))
+    rest = np.flatnonzero(~new)
+    rest = rest[np.argsort(kind[rest], kind="stable")]
+    n = np.bincount(kind[rest], minlength=len(own))[new]
+    ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+    return np.flatnonzero(new), pa.ListArray.from_arrays(ends, pa.array(s[rest].astype(np.int32)), mask=pa.array(n == 0))
+
+
+def _occurrences() -> Column:
+    return F.sum(F.lit(1) + F.coalesce(F.array_size("more"), F.lit(0))).alias("n")
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(rid, h, seg, s, m, anchor): hash of the anchor and of the segment, first start, number of starts, place of the anchor."""
+    """(rid, h, seg, s, more, m, anchor): hash of the anchor and of the segment, first start, further starts of equal segments in the text (null: none),
+    number of strings, place of the anchor."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -88,10 +112,12 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 own.append(np.full(len(first), k))
                 seg += [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(first.tolist(), (first + count + (length - 1)).tolist(), strict=True)]
             s, m, anchor, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty,) * 4
-            rid = rows.column("rid").take(pa.array(np.concatenate(own) if own else empty))
+            own = np.concatenate(own) if own else empty
+            new, more = _once_a_text(own, tuple(np.frombuffer(b"".join(seg), dtype=np.int64).reshape(-1, 2).T), s)
             yield pa.RecordBatch.from_arrays(
-                [rid, pa.array(h), pa.array(seg, pa.binary()), *(pa.array(x.astype(np.int32)) for x in (s, m, anchor))],
-                ["rid", "h", "seg", "s", "m", "anchor"])
+                [rows.column("rid").take(pa.array(own[new])), pa.array(h[new]), pa.array(seg, pa.binary()).take(pa.array(new)), pa.array(s[new].astype(np.int32)), more,
+                 *(pa.array(x[new].astype(np.int32)) for x in (m, anchor))],
+                ["rid", "h", "seg", "s", "more", "m", "anchor"])
 
     return docs.select(row_key(), "text").mapInArrow(run, "rid binary, " + _PART)
 
@@ -290,7 +316,7 @@ class _Words:
 
 
 def _word_anchors(docs: DataFrame, words: int) -> DataFrame:
-    """(rid, h, seg, s, m): as ``_anchors`` for strings of ``words`` whole words; s and m count words."""
+    """(rid, h, seg, s, more, m): as ``_anchors`` for strings of ``words`` whole words; s, more and m count words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -300,10 +326,12 @@ def _word_anchors(docs: DataFrame, words: int) -> DataFrame:
             own, first, count, h = w.segments()
             seg = w.hashes(first, first + count + (words - 2)).view(np.int64) if len(own) else h
             s = first - np.array(w.bounds)[own]
-            yield pa.RecordBatch.from_arrays([rows.column("rid").take(pa.array(own)), pa.array(h), pa.array(seg), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32))],
-                                             ["rid", "h", "seg", "s", "m"])
+            new, more = _once_a_text(own, (h, seg), s)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("rid").take(pa.array(own[new])), pa.array(h[new]), pa.array(seg[new]), pa.array(s[new].astype(np.int32)), more, pa.array(count[new].astype(np.int32))],
+                ["rid", "h", "seg", "s", "more", "m"])
 
-    return docs.select(row_key(), "text").mapInArrow(run, "rid binary, h long, seg long, s int, m int")
+    return docs.select(row_key(), "text").mapInArrow(run, "rid binary, h long, seg long, s int, more array<int>, m int")
 
 
 def _windows(texts: DataFrame, words: int) -> DataFrame:
@@ -341,12 +369,12 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     docs = docs.select("doc_id", "text")
     anchors = written(_anchors(docs, length, gram), "anchors")
     # counts are written tables, so that the joins below read plain shuffles, of which hot partitions can be split
-    often = written(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
+    often = written(anchors.groupBy("h").agg(_occurrences()).filter("n > 1").select("h"), "often")
     seen = written(anchors.join(often, "h"), "repeated")
     # equal segments have their anchor at the same place; the values have fixed width, so that they are hashed, not sorted
     r = F.xxhash64("rid")
     one = (F.min(r).alias("r"), F.min_by("s", r).alias("s"), F.max("m").alias("m"), F.max(F.col("anchor") - F.col("s")).alias("anchor"))
-    kinds = written(seen.groupBy("h", "seg").agg(F.count("*").alias("n"), *one), "kinds")
+    kinds = written(seen.groupBy("h", "seg").agg(_occurrences(), *one), "kinds")
     size = written(kinds.groupBy("h").agg(F.count("*").alias("kinds")), "kinds-of-anchor")
     many = kinds.join(size, "h")
     # bytes are needed of one occurrence of every segment whose anchor has several
@@ -355,7 +383,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     if words:
         word_anchors = written(_word_anchors(docs, words), "word-anchors")
         again = "r0 != r1" if elsewhere else "n > 1"
-        counted = (F.count("*").alias("n"), F.min(r).alias("r0"), F.max(r).alias("r1"))
+        counted = (_occurrences(), F.min(r).alias("r0"), F.max(r).alias("r1"))
         often = written(word_anchors.groupBy("h").agg(*(counted[1:] if elsewhere else counted[:1])).filter(again).select("h"), "often-words")
         word_seen = written(word_anchors.join(often, "h"), "repeated-words")
         place = F.min_by(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("m").cast("long")), r).alias("place")
@@ -394,8 +422,9 @@ def spans_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 def _runs(seen: DataFrame, found: DataFrame) -> DataFrame:
     """(rid, runs): what was found of each segment, moved to where it stands in every row."""
-    return seen.select("rid", "h", "seg", "s").join(found, ["h", "seg"]).groupBy("rid").agg(
-        F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((r["a"] + F.col("s")).alias("a"), (r["b"] + F.col("s")).alias("b"))))).alias("runs"))
+    starts = F.concat(F.array("s"), F.coalesce("more", F.array().cast("array<int>")))
+    moved = F.transform(starts, lambda s: F.transform("runs", lambda r: F.struct((r["a"] + s).alias("a"), (r["b"] + s).alias("b"))))
+    return seen.select("rid", "h", "seg", "s", "more").join(found, ["h", "seg"]).groupBy("rid").agg(F.flatten(F.collect_list(F.flatten(moved))).alias("runs"))
 
 
 def _bounds(runs) -> list[tuple[np.ndarray, np.ndarray]]:
